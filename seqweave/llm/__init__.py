@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from seqweave.llm import exact_dedup, licenses, mixing, packing, pivots, token_counts, toxicity, urls
+from seqweave.llm import exact_dedup, fingerprints, licenses, mixing, packing, pii, pivots, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_separator_scan": token_counts.op5_separator_scan,
     "op6_url_filter": urls.op6_url_filter,
     "op7_simhash_near_dedup": pivots.op7_simhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {"op1_source_mixing": mixing.SQL, "op6_url_filter": urls.SQL, "op10_exact_dedup": exact_dedup.SQL}

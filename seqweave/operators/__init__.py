@@ -1 +1 @@
-""""""
+"""Operators over the position table; each takes and returns DataFrames."""

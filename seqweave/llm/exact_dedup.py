@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.shared import shared_folder, written
+from seqweave.llm.urls import blocks_for, bloom_filter, fits_broadcast, may_be_in
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -55,6 +56,21 @@ def read_registry(spark: SparkSession, registry: str) -> DataFrame:
     return spark.read.schema(schema).parquet(registry).groupBy("digest", "length").agg(F.max_by(F.struct("stays", "group_size"), "batch").alias("x")).select("digest", "length", "x.*")
 
 
+def _clashes(mine: DataFrame, keys: DataFrame) -> DataFrame:
+    """text_sha256, _length of the keys under which different texts were seen, by the bytes of every hit.
+
+    A blocked Bloom filter over the keys seen more than once, while it is small enough to broadcast, keeps the texts
+    of all other rows out of the exchange; what it passes by mistake has one text and is no clash.
+    """
+    hits = written(keys.where("_size > 1").select(F.col("text_sha256").alias("url")), "dedup-hits")
+    blocks = blocks_for(hits.count())
+    rows = mine.select("text_sha256", "_length", F.coalesce("_text", F.lit("")).alias("_bytes"))
+    if fits_broadcast(blocks):
+        rows = may_be_in(rows, "text_sha256", F.broadcast(bloom_filter(hits, blocks)), blocks, "_maybe").where("_maybe").drop("_maybe")
+    texts = rows.distinct().groupBy("text_sha256", "_length").agg(F.count("*").alias("_texts"))
+    return written(texts.where("_texts > 1").select("text_sha256", "_length"), "dedup-clashes")
+
+
 def mark_duplicates(spark: SparkSession, path: str) -> DataFrame:
     """Every row of the Parquet table at path, with keep_id, group_size, kept, text_sha256.
 
@@ -64,8 +80,7 @@ def mark_duplicates(spark: SparkSession, path: str) -> DataFrame:
     doc_id and text are carried along; those named like a result column are replaced.
 
     A hit on a digest is checked in full: among rows whose key was seen more than once, the bytes themselves are
-    grouped. Keys that turn out to hold different texts are decided by the text, all others by the key, so that only
-    the texts of hits are ever shuffled, and those combined map-side.
+    grouped. Keys that turn out to hold different texts are decided by the text, all others by the key.
     """
     root = shared_folder(spark, "exact-dedup")
     table = spark.read.parquet(path)
@@ -78,15 +93,11 @@ def mark_duplicates(spark: SparkSession, path: str) -> DataFrame:
     mine = table.select(*(c for c in table.columns if c not in results), F.col("text").alias("_text"), _digest().alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("_length"), _located().alias("_at"))
     keys = registry.select(F.col("digest").alias("text_sha256"), F.col("length").alias("_length"), F.col("stays").alias("_stays"), F.col("group_size").alias("_size"))
 
-    hit = keys.where("_size > 1").select("text_sha256", "_length")
-    bytes_ = mine.select("text_sha256", "_length", F.coalesce("_text", F.lit("")).alias("_bytes"), "_at")
-    texts = bytes_.join(hit, ["text_sha256", "_length"], "left_semi").groupBy("text_sha256", "_length", "_bytes").agg(F.max("_at").alias("_own"), F.count("*").alias("_n"))
-    clash = texts.groupBy("text_sha256", "_length").agg(F.count("*").alias("_texts")).where("_texts > 1")
-    clash = written(clash.join(texts, ["text_sha256", "_length"]), "digest-clashes")
-
     joined = mine.join(keys, ["text_sha256", "_length"])
-    if not clash.isEmpty():
-        own = clash.select("text_sha256", "_length", "_bytes", "_own", "_n")
+    clashes = _clashes(mine, keys)
+    if not clashes.isEmpty():
+        mixed = mine.withColumn("_bytes", F.coalesce("_text", F.lit(""))).join(clashes, ["text_sha256", "_length"], "left_semi")
+        own = mixed.groupBy("text_sha256", "_length", "_bytes").agg(F.max("_at").alias("_own"), F.count("*").alias("_n"))
         joined = joined.withColumn("_bytes", F.coalesce("_text", F.lit(""))).join(own, ["text_sha256", "_length", "_bytes"], "left")
         joined = joined.withColumn("_stays", F.coalesce("_own", "_stays")).withColumn("_size", F.coalesce("_n", "_size"))
     return joined.select(

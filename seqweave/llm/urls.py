@@ -60,6 +60,25 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(WORDS)))
 
 
+def fits_broadcast(blocks: int) -> bool:
+    return blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES
+
+
+def blocks_for(keys: int) -> int:
+    return max(1, -(-keys * BITS_PER_URL // (64 * WORDS)))
+
+
+def may_be_in(rows: DataFrame, key: str, table: DataFrame, blocks: int, name: str) -> DataFrame:
+    """rows with column name: whether the key (string) may be in the filter; null keys are not."""
+    probe = rows.withColumn("_block", _block(key, blocks))
+    probe = probe.join(table, probe["_block"] == table["block"], "left")
+    passes = F.col(key).isNotNull()
+    for i in range(WORDS):
+        bit = _bit(key, i)
+        passes = passes & (F.col(f"w{i}").bitwiseAND(bit) == bit)
+    return probe.withColumn(name, F.coalesce(passes, F.lit(False))).drop("_block", "block", *(f"w{i}" for i in range(WORDS)))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict.
 
@@ -72,19 +91,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...
     results = ("host", "path", "rule", "verdict")
     carried = [F.col(c) for c in pages.columns if c not in results]
     listed = written(listed.select("url").where(F.col("url").isNotNull()).distinct(), "listed-urls")
-    blocks = max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS)))
+    blocks = blocks_for(listed.count())
     table = bloom_filter(listed, blocks)
-    if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
+    if fits_broadcast(blocks):
         table = F.broadcast(table)
     split = pages.select(*carried, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     ruled = split.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    keyed = ruled.withColumn("_canonical", canonical(F.col("host"), F.col("path"))).withColumn("_block", _block("_canonical", blocks))
-    probe = keyed.join(table, keyed["_block"] == table["block"], "left")
-    passes = F.lit(True)
-    for i in range(WORDS):
-        bit = _bit("_canonical", i)
-        passes = passes & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    probe = probe.withColumn("_maybe", F.coalesce(passes, F.lit(False)) & F.col("_rule").isNull()).drop("block", *(f"w{i}" for i in range(WORDS)))
+    keyed = ruled.withColumn("_canonical", canonical(F.col("host"), F.col("path")))
+    probe = may_be_in(keyed, "_canonical", table, blocks, "_maybe").withColumn("_maybe", F.col("_maybe") & F.col("_rule").isNull())
     hits = probe.where("_maybe").join(listed.select(F.col("url").alias("_listed")).hint("shuffle_hash"), F.col("_canonical") == F.col("_listed"), "left")
     rest = probe.where("not _maybe").withColumn("_listed", F.lit(None).cast("string"))
     decided = hits.unionByName(rest)

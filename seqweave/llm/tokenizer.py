@@ -3,36 +3,42 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import cache
 
 import public_tokenizers
 import tiktoken
 
-#: Chunks whose ids a Python worker remembers at once; full, it starts afresh.
-REMEMBERED = 300_000
+#: Chunks whose ids a Python worker remembers, the first that it meets.
+REMEMBERED = 1_000_000
+#: The special token whose string in a text stands for one id, as the tokenizer file has it.
+SPECIAL = "<|endoftext|>"
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 class _Chunks(dict):
-    """Chunk to the bytes of its ids (little-endian unsigned 32 bits)."""
+    """Chunk, without the space before it, to the bytes of its ids (little-endian unsigned 32 bits)."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = b"".join(x.to_bytes(4, "little") for x in self.encode(chunk))
-        self[chunk] = ids
+        ids = _packed(self.encode(" " + chunk))
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
         return ids
 
 
 @cache
-def _loaded(path: str) -> _Chunks:
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    special = {"<|endoftext|>": len(ranks)}
-    coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _Chunks(lambda text: coder.encode(text, allowed_special="all"))
+def _loaded(name: str) -> tuple[tiktoken.Encoding, _Chunks]:
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    return coder, _Chunks(coder.encode_ordinary)
 
 
 def id_bytes(text: str | None, name: str = "byte_bpe_50k") -> bytes:
@@ -44,10 +50,10 @@ def id_bytes(text: str | None, name: str = "byte_bpe_50k") -> bytes:
     """
     if not text:
         return b""
-    chunks = _loaded(public_tokenizers.path(f"{name}.tiktoken"))
-    if "  " in text or "<|endoftext|>" in text:
-        return b"".join(x.to_bytes(4, "little") for x in chunks.encode(text))
+    coder, chunks = _loaded(name)
+    if SPECIAL in text:
+        return _packed(coder.encode(text, allowed_special="all"))
+    if "  " in text:
+        return _packed(coder.encode_ordinary(text))
     first, *rest = text.split(" ")
-    if not first:
-        return b"".join([chunks[" " + x] for x in rest])
-    return b"".join([chunks[first], *[chunks[" " + x] for x in rest]])
+    return _packed(coder.encode_ordinary(first)) + b"".join(map(chunks.__getitem__, rest))

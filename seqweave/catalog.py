@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqweave.plans import evaluation, preparation, windowing  # noqa: F401  (they register their queries)
+from seqweave.plans import evaluation, files, modelling, motifs, preparation, windowing  # noqa: F401  (they register their queries)
 from seqweave.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "a10_evaluation_summary"

@@ -74,7 +74,7 @@ def id_list(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
 
 def text_features(spark: SparkSession, path: str, suffix: str = ".resfeat.txt") -> DataFrame:
     """protein_id, position, embedding of text matrices <id><suffix>: a line per position, numbers between blanks."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
     rows = files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("protein_id"), F.posexplode(lines).alias("ix", "line"))
     return rows.select("protein_id", (F.col("ix") + 1).alias("position"), F.transform(F.split("line", "\\s+"), lambda x: x.cast("float")).alias("embedding"))

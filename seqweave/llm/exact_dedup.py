@@ -9,8 +9,13 @@ from seqweave.functions.shared import shared_folder, written
 from seqweave.llm.urls import blocks_for, bloom_filter, fits_broadcast, may_be_in
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-OVERHEAD = "spark.sql.streaming.noDataMicroBatches.enabled"
+#: While the stream runs: disk-backed state, whose files aren't allocated ahead (a store per partition would hold
+#: megabytes of nothing), and no trigger without data.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def _digest() -> F.Column:
@@ -39,9 +44,9 @@ def ingest(spark: SparkSession, path: str, registry: str, checkpoint: str, files
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{registry}/batch={batch:09d}")
 
-    held = {k: spark.conf.get(k, None) for k in (PROVIDER, OVERHEAD)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(OVERHEAD, "false")
+    held = {k: spark.conf.get(k, None) for k in STREAM_SETTINGS}
+    for k, v in STREAM_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()

@@ -91,7 +91,8 @@ def mark_duplicates(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(path)
     if not table.isEmpty():
         ingest(spark, path, f"{root}/registry", f"{root}/state")
-        registry = read_registry(spark, f"{root}/registry")
+        # A table, so that the join below reads two plain exchanges and AQE can split a hot digest's rows.
+        registry = written(read_registry(spark, f"{root}/registry"), "dedup-registry")
     else:
         registry = spark.createDataFrame([], "digest string, length int, stays struct<doc_id:long,file:string,row:long>, group_size long")
     results = ("keep_id", "group_size", "kept", "text_sha256")

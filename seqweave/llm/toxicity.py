@@ -223,4 +223,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
     """docs without those whose score is at least reject; same columns."""
     model = fit(docs, labels, held_out=False)
-    return docs.withColumn("_score", score(docs, model)).where(F.col("_score") < reject).select(*(docs[c] for c in docs.columns))
+    return docs.where(score(docs, model) < reject)

@@ -55,9 +55,9 @@ def _bit(url: str, word: int) -> Column:
 
 
 def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
-    """block, w0..w7: a blocked Bloom filter over column url, as a table of 512-bit blocks."""
-    rows = listed.select(_block("url", blocks).alias("block"), *(_bit("url", i).alias(f"w{i}") for i in range(WORDS)))
-    return rows.groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(WORDS)))
+    """bloom_block, bloom_0 .. bloom_7: a blocked Bloom filter over column url, as a table of 512-bit blocks."""
+    rows = listed.select(_block("url", blocks).alias("bloom_block"), *(_bit("url", i).alias(f"bloom_{i}") for i in range(WORDS)))
+    return rows.groupBy("bloom_block").agg(*(F.expr(f"bit_or(bloom_{i})").alias(f"bloom_{i}") for i in range(WORDS)))
 
 
 def fits_broadcast(blocks: int) -> bool:
@@ -70,13 +70,12 @@ def blocks_for(keys: int) -> int:
 
 def may_be_in(rows: DataFrame, key: str, table: DataFrame, blocks: int, name: str) -> DataFrame:
     """rows with column name: whether the key (string) may be in the filter; null keys are not."""
-    probe = rows.withColumn("_block", _block(key, blocks))
-    probe = probe.join(table, probe["_block"] == table["block"], "left")
+    probe = rows.withColumn("_block", _block(key, blocks)).join(table, F.col("_block") == F.col("bloom_block"), "left")
     passes = F.col(key).isNotNull()
     for i in range(WORDS):
         bit = _bit(key, i)
-        passes = passes & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    return probe.withColumn(name, F.coalesce(passes, F.lit(False))).drop("_block", "block", *(f"w{i}" for i in range(WORDS)))
+        passes = passes & (F.col(f"bloom_{i}").bitwiseAND(bit) == bit)
+    return probe.withColumn(name, F.coalesce(passes, F.lit(False))).drop("_block", "bloom_block", *(f"bloom_{i}" for i in range(WORDS)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

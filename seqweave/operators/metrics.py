@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import ratio
+from seqweave.functions.shared import written
 from seqweave.operators.rank import running
 
 GRID = (0.05, 0.95, 0.05)
@@ -60,7 +61,8 @@ def threshold_report(df: DataFrame, by: list[str], threshold: float = 0.5) -> Da
 
 def _distinct(df: DataFrame, by: list[str], sign: int = 1) -> DataFrame:
     rows = scored(df).where(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    return rows.withColumn("neg", F.col("n") - F.col("pos")).withColumn("_key", sign * F.col("score"))
+    # A table, since the range bounds and the running sums both read it, and what is below may be costly.
+    return written(rows.withColumn("neg", F.col("n") - F.col("pos")).withColumn("_key", sign * F.col("score")), "distinct-scores")
 
 
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
@@ -135,10 +137,11 @@ def best_threshold(df: DataFrame, by: list[str], grid: tuple[float, float, float
 
 
 def evaluation_summary(df: DataFrame, by: list[str], order: list[str], threshold: float | None = None) -> DataFrame:
-    """records, residues, average_precision, auroc, threshold, f1, mcc of every group in one job.
+    """records, residues, average_precision, auroc, threshold, f1, mcc of every group, from one pass over the input.
 
     Without a threshold the sweep chooses it and gives F1 and MCC; with one, they are computed at it.
     """
+    df = written(df.select(*dict.fromkeys([*by, "protein_id", *order, "label", "score"])), "scored-positions")
     base = df.groupBy(*by).agg(F.countDistinct("protein_id").alias("records"), F.count_if(F.col("label").isin(0, 1)).alias("residues"))
     if threshold is None:
         cut = best_threshold(df, by)

@@ -38,7 +38,7 @@ def evaluation_starts(records: DataFrame, width: int, stride: int | None = None,
 
 def windows(records: DataFrame, starts: Column, width: int) -> DataFrame:
     """protein_id, window_ix (from 0), start (from 0), end_exclusive, length."""
-    rows = records.select("protein_id", F.length("sequence").alias("n"), F.posexplode(starts).alias("window_ix", "start"))
+    rows = records.select("protein_id", F.length("sequence").alias("n"), starts.alias("starts")).select("protein_id", "n", F.posexplode("starts").alias("window_ix", "start"))
     end = F.least(F.col("start") + width, F.col("n"))
     return rows.select("protein_id", "window_ix", "start", end.alias("end_exclusive"), (end - F.col("start")).alias("length"))
 

@@ -25,7 +25,9 @@ def flat_token_blocks(docs: DataFrame, end: int = END, block: int = BLOCK) -> tu
 
     blocks has (stream, block, payload): payload is a run of little-endian unsigned 16-bit ids of a fixed size (the
     last of a stream is shorter); documents run on across blocks and nothing says where one begins. order has
-    (stream, ordinal, doc_id), the order in which documents were written. A stream is what one task writes.
+    (stream, ordinal, doc_id), the order in which documents were written. A stream is what one task writes. Null and
+    empty texts are empty documents, repeated rows are written each, and the end token's string in a text is ordinary
+    text, so the end id closes documents only. No rows: no blocks. Extra columns are ignored.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +37,7 @@ def flat_token_blocks(docs: DataFrame, end: int = END, block: int = BLOCK) -> tu
             docs_of = []
             stream = int(batch["stream"].iloc[0]) if len(batch) and stream is None else stream
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(id_bytes(text), dtype="<u4").astype("<u2")
+                ids = np.frombuffer(id_bytes(text, special=False), dtype="<u4").astype("<u2")
                 held += [ids, np.array([end], dtype="<u2")]
                 count += len(ids) + 1
                 docs_of.append((docs_seen, doc))

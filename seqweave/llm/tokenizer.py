@@ -41,9 +41,11 @@ def _loaded(name: str) -> tuple[tiktoken.Encoding, _Chunks]:
     return coder, _Chunks(coder.encode_ordinary)
 
 
-def id_bytes(text: str | None, name: str = "byte_bpe_50k") -> bytes:
+def id_bytes(text: str | None, name: str = "byte_bpe_50k", special: bool = True) -> bytes:
     """The ids of text as little-endian unsigned 32-bit numbers; null and empty: none.
 
+    special: the special token's string in a text stands for its one id; without, it is ordinary text.
+
     A space before a character that is no white space always begins a piece of the pre-tokenizer, so text is cut there
     and equal chunks are encoded once. Only where two spaces meet is the text encoded in one go.
     The rank file holds the same vocabulary as ``byte_bpe_50k.json``; the tests hold both against each other.
@@ -51,7 +53,7 @@ def id_bytes(text: str | None, name: str = "byte_bpe_50k") -> bytes:
     if not text:
         return b""
     coder, chunks = _loaded(name)
-    if SPECIAL in text:
+    if special and SPECIAL in text:
         return _packed(coder.encode(text, allowed_special="all"))
     if "  " in text:
         return _packed(coder.encode_ordinary(text))

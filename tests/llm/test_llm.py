@@ -260,6 +260,13 @@ def test_separator_scan_stitches_blocks(spark, monkeypatch):
     assert token_counts.separator_counts(spark.createDataFrame([], token_counts.BLOCKS)).count() == 0
 
 
+def test_the_end_token_s_string_is_ordinary_text(spark):
+    rows = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string").coalesce(1)
+    blocks, order = token_counts.flat_token_blocks(rows)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.separator_counts(blocks).join(order, ["stream", "ordinal"]).collect()}
+    assert got == {1: len(id_bytes("a <|endoftext|> b", special=False)) // 4, 2: 1} and got[1] > 5
+
+
 def test_separator_edges(odd):
     blocks, order = token_counts.flat_token_blocks(odd, block=1000)
     assert token_counts.separator_counts(blocks).join(order, ["stream", "ordinal"]).count() == len(ODD)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqweave.functions.expressions import sanitize
+from seqweave.functions.expressions import safe_key, sanitize
 from seqweave.functions.shared import shared_folder
 from seqweave.operators import splits, windows
 from seqweave.plans.registry import query
-from seqweave.sources import scans, sinks
+from seqweave.sources import scans, sinks, structures
 from seqweave.sources.adapters import EMBEDDING_POSITIONS, EVENT_RESIDUES, EVENT_SEQUENCES, embedding_positions, event_residues, event_sequences, table
 
 ES = f"WITH {EVENT_RESIDUES}, {EVENT_SEQUENCES}"
@@ -126,3 +126,46 @@ def s13(spark, sf):
     rows = event_residues(spark, sf).groupBy("protein_id").agg(F.collect_list(F.struct(F.col("protein_id").alias("run"), F.col("position").alias("step"), F.col("score").alias("auroc"))).alias("eval_history"))
     rows.select("eval_history").write.json(path)
     return spark.read.schema("eval_history array<struct<run:string,step:long,auroc:double>>").json(path).select(F.inline("eval_history"))
+
+
+def _atoms(spark, sf):
+    """The event sequences as structure text, two atoms to a residue, and its atom lines."""
+    name = F.create_map(*(F.lit(x) for pair in (("S", "SER"), ("E", "GLU"), ("C", "CYS"), ("V", "VAL"), ("P", "PRO")) for x in pair))
+    rows = event_residues(spark, sf).select("protein_id", "position", name[F.col("symbol")].alias("code"), F.explode(F.array(F.lit("CA"), F.lit("CB"))).alias("atom"))
+    line = F.format_string("ATOM  %5d  %s  %s A%4d      11.000  12.000  13.000  1.00 20.00           C  ", "position", "atom", "code", "position")
+    texts = rows.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("position", "atom", line.alias("line")))).alias("lines"))
+    return structures.atom_lines(texts.select(F.col("protein_id").alias("structure_id"), F.concat(F.array_join("lines.line", "\n"), F.lit("\nENDMDL\n"), F.element_at("lines.line", -1)).alias("text")))
+
+
+@query("s11_structure_scan", f"{EV} SELECT protein_id AS structure_id, 'A' AS chain, position AS subject_pos, position AS resseq, symbol FROM ev")
+def s11(spark, sf):
+    return structures.chain_residues(_atoms(spark, sf)).select("structure_id", "chain", "subject_pos", "resseq", "symbol")
+
+
+@query("k10_annotated_structure", f"{EV} SELECT protein_id AS structure_id, position, printf('%6.2f', CASE WHEN position % 3 = 0 THEN -1.0 ELSE score END) AS b, 2::BIGINT AS atoms FROM ev")
+def k10(spark, sf):
+    scores = event_residues(spark, sf).where("position % 3 <> 0").select(F.col("protein_id").alias("structure_id"), F.lit("A").alias("chain"), F.col("position").alias("resseq"), F.lit("").alias("icode"), "score")
+    path = shared_folder(spark, "annotated")
+    sinks.annotated_structures(structures.annotated_lines(_atoms(spark, sf), scores), path)
+    lines = spark.read.text(path).select(F.col("name").cast("string").alias("structure_id"), "value").where("value like 'ATOM%'")
+    rows = lines.select("structure_id", F.trim(F.substring("value", 23, 4)).cast("int").alias("position"), F.substring("value", 61, 6).alias("b"), F.substring("value", 14, 2).alias("atom"))
+    last = rows.groupBy("structure_id").agg(F.max("position").alias("last"))
+    # the line behind ENDMDL repeats the last atom and belongs to another model, so it keeps its old value
+    rows = rows.join(last, "structure_id").where((F.col("position") != F.col("last")) | (F.col("b") != " 20.00"))
+    return rows.groupBy("structure_id", "position", "b").agg(F.count("*").alias("atoms"))
+
+
+@query("s6b_source_resolution", f"""{ES}, n AS (SELECT protein_id, protein_id::BIGINT AS i FROM es)
+SELECT protein_id, CASE WHEN i % 2 = 0 THEN '/f/' || protein_id || '.npy' ELSE '/f/' || protein_id || '.resfeat.txt' END AS path FROM n WHERE i % 2 = 0 OR i % 3 = 0""")
+def s6b(spark, sf):
+    ids = event_sequences(spark, sf).select("protein_id", safe_key(F.col("protein_id")).alias("key"))
+    n = F.col("protein_id").cast("long")
+    names = ids.where(n % 2 == 0).select(F.concat("protein_id", F.lit(".npy")).alias("name")).unionByName(ids.where(n % 3 == 0).select(F.concat("protein_id", F.lit(".resfeat.txt")).alias("name")))
+    return scans.resolve_sources(ids, names.withColumn("path", F.concat(F.lit("/f/"), "name")))
+
+
+@query("k9_structure_manifest", f"{ES} SELECT protein_id, length(sequence)::INT AS length FROM es")
+def k9(spark, sf):
+    path = shared_folder(spark, "structures")
+    sinks.structure_manifest(event_sequences(spark, sf).select("protein_id", F.length("sequence").alias("length")), path)
+    return spark.read.schema("protein_id string, length int").option("sep", "\t").option("header", True).csv(path)

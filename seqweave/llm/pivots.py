@@ -26,6 +26,8 @@ from seqweave.llm.components import connected_components
 
 #: Distinct fingerprints of one key that one task handles at once; larger keys are dealt out as pairs of chunks.
 RUN_CAP = 8192
+#: Keys of up to so many fingerprints are compared pair by pair, many keys at once; larger ones hub by hub.
+SMALL = 12
 FULL = (1 << 64) - 1
 
 
@@ -79,16 +81,33 @@ def shingle_fingerprint(k: int):
     return fingerprint
 
 
-def word_set_fingerprint():
-    """pandas UDF: text to SimHash (long) over its distinct words."""
+def near_duplicate_fingerprints(k: int):
+    """pandas UDF: text to four SimHashes: w0 and w1 over its distinct words, s0 and s1 over its shingles of k words.
 
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signed(majority(_hashed(sorted(set(text_words(t)))))) for t in texts], dtype="int64")
+    The second of each comes from the first one's hashes, mixed once more, so a word is hashed once.
+    """
+
+    @F.pandas_udf("w0 long, w1 long, s0 long, s1 long")
+    def fingerprint(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            words = text_words(text)
+            plain, shingled = _hashed(sorted(set(words))), shingle_hashes(words, k)
+            out.append([_signed(majority(h)) for h in (plain, _mixed(plain), shingled, _mixed(shingled))])
+        return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 4), columns=["w0", "w1", "s0", "s1"])
 
     return fingerprint
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of the same things: a finaliser of xor-shifts and odd multiplications."""
+    x = hashes ^ (hashes >> np.uint64(32))
+    x = x * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(28)
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 class PivotTables:
     """Pivot families for 64-bit fingerprints: pairs within radius agree on at least ``kept`` of ``blocks`` families."""
 
@@ -126,16 +145,15 @@ class PivotTables:
         return signed.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
 
 
-def _linker(radius: int, spread: np.ndarray, check_radius: int | None, cap: int | None):
-    """mapInPandas function over rows sorted by key: a spanning forest of each key's links, and keys over cap as they are."""
+def _linker(radius: int, spread: np.ndarray, checks: list[str], check_radius: int, cap: int | None):
+    """mapInPandas function over rows sorted by (key, node): a spanning forest of each key's links, and keys over cap as they are."""
 
-    def near(one: int, rest: np.ndarray, fp: np.ndarray, coordinates: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    def near(one: int, rest: np.ndarray, fp: np.ndarray, coordinates: np.ndarray, check: np.ndarray) -> np.ndarray:
         hits = rest[(np.abs(coordinates[rest] - coordinates[one]) <= radius).all(axis=1)]
         hits = hits[np.bitwise_count(fp[hits] ^ fp[one]) <= radius]
-        return hits if check is None else hits[np.bitwise_count(check[hits] ^ check[one]) <= check_radius]
+        return hits[np.bitwise_count(check[hits] ^ check[one]).sum(axis=1) <= check_radius] if checks else hits
 
-    def forest(fp: np.ndarray, check: np.ndarray | None) -> list[tuple[int, int]]:
-        coordinates = np.bitwise_count(fp[:, None] ^ spread[None, :]).astype(np.int16)
+    def forest(fp: np.ndarray, check: np.ndarray, coordinates: np.ndarray) -> list[tuple[int, int]]:
         rest, out = np.arange(len(fp)), []
         while len(rest) > 1:
             frontier, rest = [int(rest[0])], rest[1:]
@@ -158,19 +176,27 @@ def _linker(radius: int, spread: np.ndarray, check_radius: int | None, cap: int
         def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
             key, node = part["key"].to_numpy(), part["node"].to_numpy()
             fp = part["fp"].to_numpy().view(np.uint64)
-            check = part["check"].to_numpy().view(np.uint64) if check_radius is not None else None
+            check = part[checks].to_numpy(dtype=np.int64).view(np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
-            two = starts[sizes == 2]
-            if len(two):
-                coordinates = np.abs(np.bitwise_count(fp[two][:, None] ^ spread).astype(np.int16) - np.bitwise_count(fp[two + 1][:, None] ^ spread).astype(np.int16))
-                ok = (coordinates.max(axis=1) <= radius) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius)
-                if check is not None:
-                    ok &= np.bitwise_count(check[two] ^ check[two + 1]) <= check_radius
-                two = two[ok]
-                yield frame(key[two], node[two], node[two + 1], 0)
-            for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                pairs = forest(fp[at : at + n], None if check is None else check[at : at + n])
+            shared, small = np.repeat(sizes > 1, sizes), np.repeat(sizes <= SMALL, sizes)
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            coordinates = np.zeros((len(fp), len(spread)), dtype=np.int16)
+            coordinates[shared] = np.bitwise_count(fp[shared][:, None] ^ spread).astype(np.int16)
+            for apart in range(1, min(SMALL, len(fp))):
+                one = np.flatnonzero((run[apart:] == run[:-apart]) & small[:-apart])
+                if not len(one):
+                    break
+                other = one + apart
+                ok = np.abs(coordinates[one] - coordinates[other]).max(axis=1) <= radius
+                one, other = one[ok], other[ok]
+                ok = np.bitwise_count(fp[one] ^ fp[other]) <= radius
+                if checks:
+                    ok &= np.bitwise_count(check[one] ^ check[other]).sum(axis=1) <= check_radius
+                if ok.any():
+                    yield frame(key[one[ok]], node[one[ok]], node[other[ok]], 0)
+            for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+                pairs = forest(fp[at : at + n], check[at : at + n], coordinates[at : at + n])
                 if pairs:
                     a, b = np.array(pairs).T
                     yield frame(np.full(len(a), key[at]), node[at + a], node[at + b], 0)
@@ -207,22 +233,24 @@ def _linker(radius: int, spread: np.ndarray, check_radius: int | None, cap: int
     return link
 
 
-def near_links(nodes: DataFrame, tables: PivotTables, check_radius: int | None = None, cap: int = RUN_CAP) -> DataFrame:
+def near_links(nodes: DataFrame, tables: PivotTables, checks: list[str] = (), check_radius: int = 0, cap: int = RUN_CAP) -> DataFrame:
     """Links (u, v) between nodes that connect exactly what the pairs within the radius connect.
 
-    nodes: node (long, unique), fp (long, distinct unless check is given), and check (long) when check_radius is set:
-    a link then also needs check fingerprints within check_radius. A key gives a spanning forest of its links, at most
-    its rows less one, never all pairs. A key with more than cap rows is split into chunks, and each pair of chunks is
-    a group of its own, so no task holds a whole hot key and no link is lost.
+    nodes: node (long, unique), fp (long, distinct unless checks are given), and the columns of checks (long): a link
+    then also needs these, taken as one fingerprint, within check_radius. A key of more than SMALL rows gives a
+    spanning forest of its links, at most its rows less one, never all pairs. A key with more than cap rows is split
+    into chunks, and each pair of chunks is a group of its own, so no task holds a whole hot key and no link is lost.
+    The smallest node of a key is its first hub, so that the tables agree on hubs and a large group of near copies
+    gives few links more than it has nodes.
     """
     spark = nodes.sparkSession
-    columns = ["node", "fp"] + (["check"] if check_radius is not None else [])
+    columns, checks = ["node", "fp", *checks], list(checks)
     out = "key long, u long, v long, over int"
 
     def linked(keyed: DataFrame, limit: int | None) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
-        return dealt.mapInPandas(_linker(tables.radius, tables.spread, check_radius, limit), out)
+        dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "node")
+        return dealt.mapInPandas(_linker(tables.radius, tables.spread, checks, check_radius, limit), out)
 
     first = written(linked(tables.keyed(nodes.select(*columns), "fp"), cap), "pivot-links")
     links = first.where("over = 0").select("u", "v")
@@ -255,7 +283,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tables: PivotTables |
     links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), tables or PivotTables())
     roots = connected_components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_doc")
-    first = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    first = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-firsts")
     lookup = rooted.join(first, "root").select("fp", "component_id")
     return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
@@ -263,21 +291,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tables: PivotTables |
 def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, tables: PivotTables | None = None) -> DataFrame:
     """doc_id, component_id: near-duplicate groups at a similarity of ``likeness`` on shingles of ``shingle`` words.
 
-    The similarity of two documents is the cosine that their shingle fingerprints estimate, cos(pi * bits / 64). At
-    that angle the fingerprints differ in more bits than any block scheme can guarantee, so candidates come from a
-    second fingerprint over the distinct words, which an edit moves far less; the pivot tables are keyed by it.
-    Nulls, empty texts, repeats and empty tables are as in simhash_components.
+    The similarity of two documents is the cosine that 128 bits of shingle fingerprint estimate, cos(pi * bits / 128).
+    At that angle the fingerprints differ in more bits than any block scheme can guarantee, so candidates come from
+    fingerprints over the distinct words, which an edit moves far less: the pivot tables are keyed by two of them, and
+    a pair needs to be within the tables' radius on either. Nulls, empty texts, repeats and empty tables are as in
+    simhash_components.
     """
-    check = int(np.floor(64 * np.arccos(likeness) / np.pi))
-    tables = tables or PivotTables(radius=7, blocks=10)
-    prints = written(docs.select("doc_id", shingle_fingerprint(shingle)("text").alias("check"), word_set_fingerprint()("text").alias("fp")), "fingerprints")
-    nodes = written(prints.groupBy("fp", "check").agg(F.min("doc_id").alias("first_doc")).select("*", F.xxhash64("fp", "check").alias("node")), "fingerprint-nodes")
-    links = near_links(nodes, tables, check)
-    roots = connected_components(links)
-    rooted = nodes.join(roots, "node", "left").select("fp", "check", F.coalesce("root", "node").alias("root"), "first_doc")
-    first = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    lookup = rooted.join(first, "root").select("fp", "check", "component_id")
-    return prints.join(lookup, ["fp", "check"]).select("doc_id", "component_id")
+    tables = tables or PivotTables(radius=6, blocks=9)
+    reach, checks = int(np.floor(128 * np.arccos(likeness) / np.pi)), ["s0", "s1"]
+    prints = docs.select("doc_id", near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "p.*")
+    prints = written(prints.withColumn("node", F.xxhash64("w0", "w1", *checks)), "fingerprints")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in ("w0", "w1", *checks))), "fingerprint-nodes")
+    links = [near_links(nodes.withColumnRenamed(w, "fp"), tables, checks, reach) for w in ("w0", "w1")]
+    roots = connected_components(links[0].unionByName(links[1]))
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_doc")
+    first = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-firsts")
+    lookup = rooted.join(first, "root").select("node", "component_id")
+    return prints.join(lookup, "node").select("doc_id", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,9 @@ def matches(records: DataFrame, motifs: DataFrame) -> DataFrame:
 
     The library is small by definition and its patterns are compiled once per task; sequences stream through in Arrow batches.
     """
-    known = [(r["motif_order"], r["motif_id"], r["token"], r["regex"]) for r in motifs.orderBy("motif_order").limit(MAX_MOTIFS).collect()]
+    known = [(r["motif_order"], r["motif_id"], r["token"], r["regex"]) for r in motifs.orderBy("motif_order").limit(MAX_MOTIFS + 1).collect()]
+    if len(known) > MAX_MOTIFS:
+        raise ValueError("a library holds at most 100,000 motifs")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(order, name, token, re.compile(f"(?=({regex}))")) for order, name, token, regex in known]

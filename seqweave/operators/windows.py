@@ -68,16 +68,19 @@ def window_scores(residues: DataFrame, spans: DataFrame, penalty: float = 3.0) -
     """spans with positives, cuts (runs of positives that a window's edge cuts), score = positives - penalty x cuts.
 
     A window cuts a run at its left edge if positions start and start + 1 are both positive, at its right edge
-    likewise; a run that sticks out on both sides is one cut.
+    likewise; a run that sticks out on both sides is one cut. So two equi-joins with the positions that a run goes
+    on from decide, whatever the number of runs and windows in a sequence.
     """
     at = window_positions(spans).join(residues.select("protein_id", "position", "label"), ["protein_id", "position"], "left")
-    positives = at.groupBy("protein_id", "start", "end_exclusive").agg(F.count_if(F.col("label") == 1).alias("positives"))
-    runs = positive_runs(residues)
-    over = (F.col("run_start") <= F.col("end_exclusive")) & (F.col("run_end") > F.col("start"))
-    inside = (F.col("run_start") > F.col("start")) & (F.col("run_end") <= F.col("end_exclusive"))
-    cuts = spans.select("protein_id", "start", "end_exclusive").join(runs, "protein_id").where(over & ~inside).groupBy("protein_id", "start").agg(F.count("*").alias("cuts"))
-    out = spans.join(positives.drop("end_exclusive"), ["protein_id", "start"]).join(cuts, ["protein_id", "start"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(0)))
-    return out.withColumn("score", F.col("positives") - F.lit(penalty) * F.col("cuts"))
+    positives = at.groupBy("protein_id", "start").agg(F.count_if(F.col("label") == 1).alias("positives"))
+    goes_on = positive_runs(residues).where("run_end > run_start")
+    goes_on = goes_on.select("protein_id", "run_start", F.explode(F.sequence(F.col("run_start"), F.col("run_end") - 1)).alias("edge"))
+    left = goes_on.select("protein_id", F.col("edge").alias("start"), F.col("run_start").alias("_left"))
+    right = goes_on.select("protein_id", F.col("edge").alias("end_exclusive"), F.col("run_start").alias("_right"))
+    out = spans.join(positives, ["protein_id", "start"]).join(left, ["protein_id", "start"], "left").join(right, ["protein_id", "end_exclusive"], "left")
+    both = F.coalesce(F.col("_left") == F.col("_right"), F.lit(False))
+    cuts = F.col("_left").isNotNull().cast("int") + F.col("_right").isNotNull().cast("int") - both.cast("int")
+    return out.withColumn("cuts", cuts).drop("_left", "_right").withColumn("score", F.col("positives") - F.lit(penalty) * F.col("cuts"))
 
 
 def best_training_window(scored: DataFrame, seed: int = 0) -> DataFrame:

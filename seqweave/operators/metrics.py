@@ -5,6 +5,9 @@ Inputs have label (1, 0; null is masked and never scored) and score. Rows with a
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +117,7 @@ def best_threshold(df: DataFrame, by: list[str], grid: tuple[float, float, float
     """
     steps = threshold_grid(*grid)
     table = F.array(*map(F.lit, steps))
-    reached = F.size(F.filter(table, lambda t: t <= F.col("score")))
+    reached = F.coalesce(reduce(operator.add, ((F.col("score") >= t).cast("int") for t in steps), F.lit(0)), F.lit(0))
     histogram = scored(df).groupBy(*by, reached.alias("reached")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     cells = histogram.groupBy(*by).agg(F.collect_list(F.struct("reached", "pos", "n")).alias("cells"))
 

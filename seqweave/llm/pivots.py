@@ -29,6 +29,13 @@ RUN_CAP = 8192
 #: Keys of up to so many fingerprints are compared pair by pair, many keys at once; larger ones hub by hub.
 SMALL = 12
 FULL = (1 << 64) - 1
+#: Near duplicates: fingerprints of samples of shingles, and shingles in each (the majority of five is spelled out).
+SAMPLES, DRAWN = 24, 5
+#: Texts of one loosely linked group that are compared by their shingles at once; larger groups are dealt out in chunks.
+SET_CAP = 512
+#: Texts of a larger group that each of its chunks has besides its own.
+HUBS = 8
+_ORDERS = np.random.default_rng(11).integers(0, FULL, size=(2, SAMPLES * DRAWN), dtype=np.uint64) | np.array([[0], [1]], dtype=np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -81,24 +88,51 @@ def shingle_fingerprint(k: int):
     return fingerprint
 
 
+def sample_names() -> list[str]:
+    return [f"m{i}" for i in range(SAMPLES)]
+
+
 def near_duplicate_fingerprints(k: int):
-    """pandas UDF: text to four SimHashes: w0 and w1 over its distinct words, s0 and s1 over its shingles of k words.
+    """pandas UDF: text to SimHashes over its distinct shingles of k words: s0 and s1 over all of them, m0, m1, ... over samples.
 
-    The second of each comes from the first one's hashes, mixed once more, so a word is hashed once.
+    A sample is DRAWN shingles, each the smallest under an order of its own (a keyed hash), so two texts of Jaccard
+    similarity J draw the same sample, and have the same fingerprint of it, with probability J ** DRAWN at least,
+    wherever in the text they differ.
     """
 
-    @F.pandas_udf("w0 long, w1 long, s0 long, s1 long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in ("s0", "s1", *sample_names())))
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            words = text_words(text)
-            plain, shingled = _hashed(sorted(set(words))), shingle_hashes(words, k)
-            out.append([_signed(majority(h)) for h in (plain, _mixed(plain), shingled, _mixed(shingled))])
-        return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 4), columns=["w0", "w1", "s0", "s1"])
+        out = np.zeros((len(texts), 2 + SAMPLES), dtype=np.uint64)
+        for row, text in zip(out, texts, strict=True):
+            hashes = np.unique(shingle_hashes(text_words(text), k))
+            row[0], row[1], row[2:] = majority(hashes), majority(_mixed(hashes)), sampled_fingerprints(hashes)
+        return pd.DataFrame(out.view(np.int64), columns=["s0", "s1", *sample_names()])
 
     return fingerprint
 
 
+def sampled_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SAMPLES fingerprints: bits set in over half of the DRAWN smallest hashes, each under another order; no hashes: zeros."""
+    if not len(hashes):
+        return np.zeros(SAMPLES, dtype=np.uint64)
+    least = np.full(len(_ORDERS[0]), FULL, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[at : at + 2048] ^ _ORDERS[0][:, None]) * _ORDERS[1][:, None]).min(axis=1), out=least)
+    a, b, c, d, e = _mixed(least).reshape(DRAWN, SAMPLES)
+    one, two = (a & b) | ((a ^ b) & c), ((a ^ b ^ c) & d) | ((a ^ b ^ c ^ d) & e)
+    return (one & two) | ((one | two) & (a ^ b ^ c ^ d ^ e))
+
+
+def shingle_set(k: int):
+    """pandas UDF: text to the sorted distinct hashes of its shingles of k words, eight bytes each."""
+
+    @F.pandas_udf("binary")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(text_words(t), k)).astype("<u8").tobytes() for t in texts], dtype=object)
+
+    return grams
+
+
 def _mixed(hashes: np.ndarray) -> np.ndarray:
     """Other 64-bit hashes of the same things: a finaliser of xor-shifts and odd multiplications."""
     x = hashes ^ (hashes >> np.uint64(32))
@@ -139,9 +173,13 @@ class PivotTables:
         return out
 
     def keyed(self, nodes: DataFrame, fp: str) -> DataFrame:
-        """nodes with a row for each table: key (long) stands for the table and the coordinates it is keyed by."""
+        """nodes with a row for each table: key (long) stands for the table and the coordinates it is keyed by.
+
+        Rows with different values of a column ``at``, if there is one, are of different fingerprints and never share a key.
+        """
+        kind = [F.col("at")] if "at" in nodes.columns else []
         signed = nodes.select("*", *(s.alias(f"_s{i}") for i, s in enumerate(self.signatures(F.col(fp)))))
-        keys = [F.xxhash64(F.lit(t), *(F.col(f"_s{i}") for i in chosen)) for t, chosen in enumerate(combinations(range(len(self.masks)), self.kept))]
+        keys = [F.xxhash64(F.lit(t), *kind, *(F.col(f"_s{i}") for i in chosen)) for t, chosen in enumerate(combinations(range(len(self.masks)), self.kept))]
         return signed.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
 
 
@@ -237,7 +275,8 @@ def near_links(nodes: DataFrame, tables: PivotTables, checks: list[str] = (), ch
     """Links (u, v) between nodes that connect exactly what the pairs within the radius connect.
 
     nodes: node (long, unique), fp (long, distinct unless checks are given), and the columns of checks (long): a link
-    then also needs these, taken as one fingerprint, within check_radius. A key of more than SMALL rows gives a
+    then also needs these, taken as one fingerprint, within check_radius. A node may have several fingerprints, a row
+    for each, told apart by a column ``at``; a link needs any of them within the radius. A key of more than SMALL rows gives a
     spanning forest of its links, at most its rows less one, never all pairs. A key with more than cap rows is split
     into chunks, and each pair of chunks is a group of its own, so no task holds a whole hot key and no link is lost.
     The smallest node of a key is its first hub, so that the tables agree on hubs and a large group of near copies
@@ -247,23 +286,24 @@ def near_links(nodes: DataFrame, tables: PivotTables, checks: list[str] = (), ch
     columns, checks = ["node", "fp", *checks], list(checks)
     out = "key long, u long, v long, over int"
 
+    keyed = tables.keyed(nodes.select(*columns, *(c for c in nodes.columns if c == "at")), "fp").select("key", *columns)
+
     def linked(keyed: DataFrame, limit: int | None) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "node")
         return dealt.mapInPandas(_linker(tables.radius, tables.spread, checks, check_radius, limit), out)
 
-    first = written(linked(tables.keyed(nodes.select(*columns), "fp"), cap), "pivot-links")
+    first = written(linked(keyed, cap), "pivot-links")
     links = first.where("over = 0").select("u", "v")
-    over = first.where("over = 1").select("key", F.col("u").alias("node"))
+    over = first.where("over = 1").select("key")
     if not over.isEmpty():
         chunks = over.groupBy("key").agg(F.ceil(F.count("*") / F.lit(cap)).cast("long").alias("chunks"))
         chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
         paired = (
-            over.join(chunks, "key")
+            keyed.join(F.broadcast(chunks), "key")  # a key has more than cap rows, so these are few
             .withColumn("mine", chunk)
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
-            .join(nodes.select(*columns), "node")
+            .withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
             .select("key", *columns)
         )
         links = links.unionByName(linked(paired, None).where("over = 0").select("u", "v"))
@@ -291,19 +331,20 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tables: PivotTables |
 def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, tables: PivotTables | None = None) -> DataFrame:
     """doc_id, component_id: near-duplicate groups at a similarity of ``likeness`` on shingles of ``shingle`` words.
 
-    The similarity of two documents is the cosine that 128 bits of shingle fingerprint estimate, cos(pi * bits / 128).
-    At that angle the fingerprints differ in more bits than any block scheme can guarantee, so candidates come from
-    fingerprints over the distinct words, which an edit moves far less: the pivot tables are keyed by two of them, and
-    a pair needs to be within the tables' radius on either. Nulls, empty texts, repeats and empty tables are as in
-    simhash_components.
+    At that similarity fingerprints over whole texts differ in more bits than any block scheme can guarantee, so
+    candidates come from SAMPLES independent fingerprints over samples of shingles: a pair needs to be within the
+    tables' radius on any of them, which 1 - (1 - likeness ** DRAWN) ** SAMPLES of the pairs at ``likeness`` are at
+    least (0.9999), wherever they differ. 128 bits over the distinct shingles check them. Nulls, empty texts, repeats
+    and empty tables are as in simhash_components.
     """
-    tables = tables or PivotTables(radius=6, blocks=9)
+    tables = tables or PivotTables(radius=0)
     reach, checks = int(np.floor(128 * np.arccos(likeness) / np.pi)), ["s0", "s1"]
-    prints = docs.select("doc_id", near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "p.*")
-    prints = written(prints.withColumn("node", F.xxhash64("w0", "w1", *checks)), "fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in ("w0", "w1", *checks))), "fingerprint-nodes")
-    links = [near_links(nodes.withColumnRenamed(w, "fp"), tables, checks, reach) for w in ("w0", "w1")]
-    roots = connected_components(links[0].unionByName(links[1]))
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = docs.select("doc_id", node.alias("node"), near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "node", "p.*")
+    prints = written(prints, "fingerprints")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in (*checks, *sample_names()))), "fingerprint-nodes")
+    links = near_links(nodes.select("node", *checks, F.posexplode(F.array(*sample_names())).alias("at", "fp")), tables, checks, reach)
+    roots = connected_components(links)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_doc")
     first = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-firsts")
     lookup = rooted.join(first, "root").select("node", "component_id")

@@ -377,6 +377,32 @@ def test_near_duplicates_recall_and_clean_documents(spark, docs):
         assert any(o != d and (sets[o] & sets[d] or not sets[d]) for o in sets)
 
 
+def five_grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_duplicates_whose_edit_is_one_stretch(spark, docs):
+    """Copies cut off, continued and with a replaced passage, at a similarity of 0.8 or more."""
+    texts_ = [t for _, t in sorted(texts(docs).items()) if 120 < len(t.split()) < 2000][:40]
+    rows, near = [], []
+    for kind in range(5):
+        for i, t in enumerate(texts_):
+            words, new = [f"{w}/{kind}" for w in t.split()], [f"new{i}x{k}" for k in range(400)]
+            n = len(words)
+            edited = [words[: n * 9 // 10], words[: n * 21 // 25], words[: n * 81 // 100], words + new[: n // 5], words[: n // 3] + new[: n * 8 // 100] + words[n // 3 + n * 8 // 100 :]][kind]
+            d = 2 * (kind * 1000 + i)
+            rows += [(d, " ".join(words)), (d + 1, " ".join(edited))]
+            if jaccard(*(five_grams(x[1]) for x in rows[-2:])) >= 0.8:
+                near.append(d)
+    got = {r["doc_id"]: r["component_id"] for r in pivots.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 150 and sum(got[d] == got[d + 1] for d in near) >= 0.95 * len(near)
+
+
 def test_drop_near_duplicates_edges(odd):
     kept = pivots.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and pivots.drop_near_duplicates(odd.limit(0)).count() == 0

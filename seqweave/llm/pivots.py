@@ -328,23 +328,133 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tables: PivotTables |
     return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
+def _verifier(likeness: float):
+    """mapInPandas function over rows sorted by (grp, node): links of pairs whose shingle sets have a Jaccard similarity of likeness.
+
+    Rows of one group: a spanning forest of its links. Where known differs from null, it is the component that the node
+    is in so far; then only rows with minor set look for partners, and give one link to each component they reach.
+    """
+
+    def near(one: int, codes: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        mine = codes[ends[one] : ends[one + 1]]
+        flags[mine] = 1
+        running = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.cumsum(flags[codes], out=running[1:])
+        flags[mine] = 0
+        shared, sizes = running[ends[1:]] - running[ends[:-1]], np.diff(ends)
+        return shared >= likeness * (sizes + len(mine) - shared) - 1e-9
+
+    def pairs(part: pd.DataFrame) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, dtype="<u8") for x in part["grams"]]
+        ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        flags, out = np.zeros(len(values), dtype=np.int64), []
+        if part["known"].notna().all():
+            known = part["known"].to_numpy(dtype=np.int64)
+            for one in np.flatnonzero(part["minor"].to_numpy(dtype=bool)):
+                hits = np.flatnonzero(near(one, codes, ends, flags) & (known != known[one]))
+                out += [(int(one), int(hits[i])) for i in np.unique(known[hits], return_index=True)[1]]
+            return out
+        rest = np.ones(len(sets), dtype=bool)
+        while rest.any():
+            frontier = [int(np.argmax(rest))]
+            rest[frontier] = False
+            while frontier and rest.any():
+                one = frontier.pop()
+                hits = np.flatnonzero(near(one, codes, ends, flags) & rest).tolist()
+                rest[hits] = False
+                frontier += hits
+                out += [(one, x) for x in hits]
+        return out
+
+    def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        grp, node = part["grp"].to_numpy(), part["node"].to_numpy()
+        edges, found = np.r_[np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]), len(grp)], []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > 1:
+                found += [(node[a + x], node[a + y]) for x, y in pairs(part.iloc[a:b])]
+        if found:
+            yield pd.DataFrame(np.array(found, dtype=np.int64), columns=["u", "v"])
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last group so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            grp = batch["grp"].to_numpy()
+            if held and grp[0] != held[0]["grp"].iloc[0]:
+                yield from done(pd.concat(held, ignore_index=True))
+                held = []
+            last = int(np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])[-1])
+            if last:
+                yield from done(pd.concat([*held, batch.iloc[:last]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[last:])
+        if held:
+            yield from done(pd.concat(held, ignore_index=True))
+
+    return link
+
+
+def verified_components(sets: DataFrame, likeness: float, cap: int = SET_CAP) -> DataFrame:
+    """(node, root), without the roots themselves: components of the pairs in one loose group that are alike enough.
+
+    sets: node (long, unique), grp (long), grams (binary of shingle_set); pairs of different groups aren't looked at.
+    A group of up to cap nodes is compared in one task. A larger one is dealt out in chunks which share some HUBS, and
+    that usually connects it; what is then not in the group's largest component is compared with every node of the
+    group, chunk by chunk, so no pair is left out.
+    """
+    spark, schema, none = sets.sparkSession, "u long, v long", F.lit(None).cast("long")
+    chunk = lambda n: F.pmod(F.xxhash64("node"), n)
+
+    def linked(rows: DataFrame) -> DataFrame:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select("grp", "node", "grams", "known", "minor").repartition(n, "grp").sortWithinPartitions("grp", "node")
+        return dealt.mapInPandas(_verifier(likeness), schema)
+
+    big = written(sets.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > cap).withColumn("chunks", F.ceil(F.col("n") / F.lit(cap)).cast("long")), "large-groups")
+    shared = sets.join(F.broadcast(big), "grp", "left")  # a large group has more than cap nodes, so these are few
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < HUBS
+    at = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(chunk(F.col("chunks"))))
+    rows = shared.withColumn("at", F.explode(at)).withColumn("grp", F.when(F.col("n").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", "at")))
+    links = written(linked(rows.withColumns({"known": none, "minor": F.lit(False)})), "verified-links")
+    roots = connected_components(links)
+    if big.isEmpty():
+        return roots
+    known = sets.join(F.broadcast(big), "grp").select("grp", "node", "chunks").join(roots, "node", "left").select("grp", "node", "chunks", F.coalesce("root", "node").alias("known"))
+    known = written(known, "known-components")
+    parts = known.groupBy("grp", "known").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("known", F.struct("size", "known")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("n"), F.max("size").alias("largest"))
+    open_groups = parts.where("parts > 1").select("grp", "most", F.ceil((F.col("n") - F.col("largest")) / F.lit(cap)).cast("long").alias("heaps"))
+    left = known.join(F.broadcast(open_groups), "grp").withColumn("minor", F.col("known") != F.col("most")).join(sets.select("node", "grams"), "node")
+    zero = F.lit(0).cast("long")
+    asking = left.where("minor").select("*", chunk(F.col("heaps")).alias("heap"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("at"))
+    asked = left.select("*", F.explode(F.sequence(zero, F.col("heaps") - 1)).alias("heap"), chunk(F.col("chunks")).alias("at")).withColumn("minor", F.lit(False))
+    more = asking.unionByName(asked).withColumn("grp", F.xxhash64("grp", "heap", "at"))
+    return connected_components(links.unionByName(linked(more)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, tables: PivotTables | None = None) -> DataFrame:
-    """doc_id, component_id: near-duplicate groups at a similarity of ``likeness`` on shingles of ``shingle`` words.
+    """doc_id, component_id: near-duplicate groups by a Jaccard similarity of at least ``likeness`` on distinct shingles of ``shingle`` words.
 
     At that similarity fingerprints over whole texts differ in more bits than any block scheme can guarantee, so
     candidates come from SAMPLES independent fingerprints over samples of shingles: a pair needs to be within the
     tables' radius on any of them, which 1 - (1 - likeness ** DRAWN) ** SAMPLES of the pairs at ``likeness`` are at
-    least (0.9999), wherever they differ. 128 bits over the distinct shingles check them. Nulls, empty texts, repeats
-    and empty tables are as in simhash_components.
+    least (0.9999), wherever they differ. 128 bits over all shingles, with five standard deviations to spare, drop
+    most of the pairs that are less alike. What these connect are only candidates: inside each such group the shingle
+    sets are compared, and only pairs that are alike enough link. Nulls, empty texts, repeats and empty tables are as in simhash_components.
     """
     tables = tables or PivotTables(radius=0)
-    reach, checks = int(np.floor(128 * np.arccos(likeness) / np.pi)), ["s0", "s1"]
+    apart, checks = float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), ["s0", "s1"]
+    reach = int(np.ceil(128 * apart + 5 * np.sqrt(128 * apart * (1 - apart))))
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     prints = docs.select("doc_id", node.alias("node"), near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "node", "p.*")
     prints = written(prints, "fingerprints")
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in (*checks, *sample_names()))), "fingerprint-nodes")
     links = near_links(nodes.select("node", *checks, F.posexplode(F.array(*sample_names())).alias("at", "fp")), tables, checks, reach)
-    roots = connected_components(links)
+    loose = connected_components(links)
+    members = loose.select("node", F.col("root").alias("grp")).unionByName(loose.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
+    texts = docs.select(node.alias("node"), "text").join(members, "node").dropDuplicates(["node"])
+    roots = verified_components(written(texts.select("node", "grp", shingle_set(shingle)("text").alias("grams")), "shingle-sets"), likeness)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_doc")
     first = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-firsts")
     lookup = rooted.join(first, "root").select("node", "component_id")

@@ -220,7 +220,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= Settings.threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
-    """docs without those whose score is at least reject; same columns."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = Settings.threshold) -> DataFrame:
+    """docs without those whose score is at least reject, from where on op3 predicts toxic; same columns."""
     model = fit(docs, labels, held_out=False)
     return docs.where(score(docs, model) < reject)

@@ -176,6 +176,12 @@ def test_swaps_take_weight_off_identity_terms(spark):
     assert toxicity.swapped({"muslims", "x"}, toxicity.IDENTITY_TERMS) == [{"christians", "x"}] and toxicity.swapped({"x"}, toxicity.IDENTITY_TERMS) == []
 
 
+def test_dropping_goes_by_the_operator_s_threshold():
+    import inspect
+
+    assert inspect.signature(toxicity.drop_toxic).parameters["reject"].default == toxicity.Settings.threshold
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, None), (77, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

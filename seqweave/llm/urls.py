@@ -17,6 +17,8 @@ BITS_PER_URL = 16
 #: A filter of at most so many bytes is broadcast; a larger one is joined by block.
 BROADCAST_BYTES = 64 << 20
 WORDS = 8
+#: Blocks of a filter that is as large as may be broadcast.
+BROADCAST_BLOCKS = BROADCAST_BYTES // ((WORDS + 1) * 8)
 
 
 def url_host(url: Column) -> Column:
@@ -61,7 +63,7 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 
 
 def fits_broadcast(blocks: int) -> bool:
-    return blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES
+    return blocks <= BROADCAST_BLOCKS
 
 
 def blocks_for(keys: int) -> int:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +31,15 @@ def flat_token_blocks(docs: DataFrame, end: int = END, block: int = BLOCK) -> tu
     text, so the end id closes documents only. No rows: no blocks. Extra columns are ignored.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, held, count, blocks, docs_seen = None, [], 0, 0, 0
         for batch in batches:
             payloads = []
-            docs_of = []
-            stream = int(batch["stream"].iloc[0]) if len(batch) and stream is None else stream
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            stream = batch["stream"][0].as_py() if stream is None and len(batch) else stream
+            for text in batch["text"].to_pylist():
                 ids = np.frombuffer(id_bytes(text, special=False), dtype="<u4").astype("<u2")
                 held += [ids, np.array([end], dtype="<u2")]
                 count += len(ids) + 1
-                docs_of.append((docs_seen, doc))
-                docs_seen += 1
                 if count >= block:
                     flat = np.concatenate(held)
                     for at in range(0, count - block + 1, block):
@@ -49,26 +47,27 @@ def flat_token_blocks(docs: DataFrame, end: int = END, block: int = BLOCK) -> tu
                         blocks += 1
                     held = [flat[count - count % block :]]
                     count %= block
-            yield frame(stream, docs_of, payloads)
+            yield frame(stream, docs_seen, batch["doc_id"], payloads)
+            docs_seen += len(batch)
         if count:
-            yield frame(stream, [], [(blocks, np.concatenate(held).tobytes())])
-
-    def frame(stream: int | None, docs_of: list, payloads: list) -> pd.DataFrame:
-        n = len(docs_of) + len(payloads)
-        return pd.DataFrame(
-            {
-                "stream": pd.array([stream] * n, dtype="Int64"),
-                "block": pd.array([None] * len(docs_of) + [b for b, _ in payloads], dtype="Int64"),
-                "payload": [None] * len(docs_of) + [p for _, p in payloads],
-                "ordinal": pd.array([o for o, _ in docs_of] + [None] * len(payloads), dtype="Int64"),
-                "doc_id": pd.array([d for _, d in docs_of] + [None] * len(payloads), dtype="Int64"),
-            }
-        )
+            yield frame(stream, docs_seen, pa.array([], pa.int64()), [(blocks, np.concatenate(held).tobytes())])
+
+    def frame(stream: int | None, first: int, docs: pa.Array, payloads: list) -> pa.RecordBatch:
+        """A row for every document, then one for every payload. The ids stay Arrow values, exact beside nulls."""
+        m, n = len(docs), len(payloads)
+        columns = [
+            pa.array([stream] * (m + n), pa.int64()),
+            pa.array([None] * m + [b for b, _ in payloads], pa.int64()),
+            pa.array([None] * m + [p for _, p in payloads], pa.binary()),
+            pa.array([*range(first, first + m), *[None] * n], pa.int64()),
+            pa.concat_arrays([docs.cast(pa.int64()), pa.nulls(n, pa.int64())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["stream", "block", "payload", "ordinal", "doc_id"])
 
     if not 0 <= end < 1 << 16:
         raise ValueError("the end id must fit 16 bits")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("stream"))
-    both = written(rows.mapInPandas(write, f"{BLOCKS}, ordinal long, doc_id long"), "flat-tokens", codec="zstd")
+    both = written(rows.mapInArrow(write, f"{BLOCKS}, ordinal long, doc_id long"), "flat-tokens", codec="zstd")
     return both.where("payload is not null").select("stream", "block", "payload"), both.where("payload is null").select("stream", "ordinal", "doc_id")
 
 

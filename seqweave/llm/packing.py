@@ -7,24 +7,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqweave.functions.shared import written
+from seqweave.llm.columns import carried, unpacked
 from seqweave.llm.tokenizer import id_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+RESULTS = ("sequence_id", "offset")
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds: tokens, documents, and attention cost (the sum of squared piece lengths)."""
+    """What one sequence holds: tokens, documents, and attention cost (the sum of squared piece lengths).
+
+    weights say how much a dimension counts when a bin is chosen, besides its scarcity (see best_fit).
+    """
 
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
     def vector(self) -> np.ndarray:
@@ -34,24 +40,27 @@ class Capacity:
 def cut_pieces(docs: DataFrame, size: int = 2048, end: int = 0) -> DataFrame:
     """Pieces of every document: its ids, then the end id, cut only where longer than size; the first may be shorter.
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts give one piece, the end id. Repeated rows
-    give repeated pieces.
+    docs: doc_id, text; other columns are ignored. Null and empty texts give one piece, the end id; a very long text
+    gives as many pieces as it needs, and is encoded whole in one task. Repeated rows give repeated pieces. A null
+    doc_id stays null. No rows: no pieces.
     """
     tail = end.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, text in enumerate(batch["text"].to_pylist()):
                 ids = id_bytes(text) + tail
                 n = len(ids) // 4
                 starts = [0, *range(n % size or size, n, size)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+                    rows.append((row, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+            row, piece, start, length, crc = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            # The ids are taken over as Arrow values: beside a null they are still exact.
+            columns = [batch["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +68,13 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
     An item needs (length, 1, length squared). Of the open bins that have room under every constraint it takes the one
     whose residual vector afterwards has the smallest weighted norm (rule "norm"), or whose residual has the largest
-    weighted dot product with the need (rule "dot"); vectors are counted in shares of the capacity. If none has room
-    it opens a bin. Ties go to the bin opened first.
+    weighted dot product with the need (rule "dot"). Vectors are counted in shares of the capacity, and a dimension
+    weighs its weight times its scarcity: what all items together need of it, in shares of the capacity, against the
+    scarcest. If no bin has room the item opens one. Ties go to the bin opened first, equal lengths in their order.
     """
-    full, weights = capacity.vector(), np.array(capacity.weights)
+    full = capacity.vector()
+    asked = np.array([lengths.sum(dtype=np.float64), len(lengths), (lengths.astype(np.float64) ** 2).sum()]) / full
+    weights = np.array(capacity.weights) * asked / max(asked.max(), 1e-300)
     order = np.lexsort((np.arange(len(lengths)), -lengths))
     bins = np.empty(len(lengths), dtype=np.int64)
     offsets = np.empty(len(lengths), dtype=np.int64)
@@ -102,33 +114,36 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), per_group: int = 16384) -> DataFrame:
-    """pieces with sequence_id and offset.
+    """pieces (length, and any further columns) with sequence_id and offset.
 
-    Pieces are dealt by a hash of (doc_id, piece) into groups of about per_group, whatever their document or source,
-    and each group is packed on its own: a task holds one group, and a group leaves one sequence partly filled, so the
-    loss is below one sequence in several thousand. Pieces as long as a sequence fill one alone. Empty: empty.
+    Every row is dealt by its own number into groups of about per_group, whatever it holds, so rows that repeat are
+    dealt like any others; each group is packed on its own. A task holds one group, and a group leaves one sequence
+    partly filled, so the loss is below one sequence in several thousand. Pieces as long as a sequence fill one alone.
+    Ties: see best_fit. Columns called like a result (in any case) are replaced. No rows: no rows.
     """
     spark = pieces.sparkSession
-    n = pieces.count()
-    groups = max(1, -(-n // per_group))
-    at = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups)))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
-        bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = (rows["pack_group"].to_numpy() << 32) + bins
-        rows["offset"] = offsets
-        return rows.drop(columns="pack_group")
+    numbered = pieces.select(carried(pieces, RESULTS).alias("own"), F.col("length").cast("long").alias("size"), F.monotonically_increasing_id().alias("nth"))
+    numbered = written(numbered, "pieces")  # the numbers are drawn once, whatever executors are lost later
+    groups = max(1, -(-numbered.count() // per_group))
+    dealt = numbered.withColumn("group", F.pmod(F.xxhash64("nth"), F.lit(groups)))
+    shape = StructType([numbered.schema["own"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        bins, offsets = best_fit(rows["size"].to_numpy(), capacity)
+        ids = (rows["group"][0].as_py() << 32) + bins
+        return pa.table({"own": rows["own"], "sequence_id": pa.array(ids), "offset": pa.array(offsets)})
 
     parts = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return at.repartition(parts, "pack_group").groupBy("pack_group").applyInPandas(fill, ", ".join(fields) + ", sequence_id long, offset long")
+    packed = dealt.repartition(parts, "group").groupBy("group").applyInArrow(fill, shape)
+    return packed.select(*unpacked(pieces, RESULTS, "own"), *RESULTS)
 
 
 def pack_documents(docs: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """Pieces of docs and their places in sequences; see cut_pieces and pack."""
-    return pack(written(cut_pieces(docs, capacity.tokens), "pieces"), capacity)
+    """Pieces of docs and their places in sequences; see cut_pieces and pack for nulls, repeats, long texts and ties."""
+    return pack(cut_pieces(docs, capacity.tokens), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every piece of documents; see pack_documents."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

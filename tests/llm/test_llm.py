@@ -468,6 +468,49 @@ def test_ids_are_the_tokenizer_s(docs):
         assert coder.encode(text, add_special_tokens=False).ids == np.frombuffer(id_bytes(text), "<u4").tolist()
 
 
+def test_ids_are_the_tokenizer_s_on_random_white_space():
+    import random
+
+    coder, draw = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    signs = [" ", " ", " ", "\u00a0", "\u0085", "\r", "\n", "\t", "\x1c", "\x1f", "\u2003", "\u3000", "\u200b", "\u180e", "a", "é", "1", ".", "'s", "漢", "😀"]
+    made = ["".join(draw.choices(signs, k=draw.randint(1, 9))) for _ in range(50_000)] + [" \u00a0 \u00a0\x85\r\x85é", "1 \x1c\x85. \u00a0 \u00a0"]
+    for text, want in zip(made, coder.encode_batch(made, add_special_tokens=False), strict=True):
+        assert want.ids == np.frombuffer(id_bytes(text), "<u4").tolist(), repr(text)
+
+
+LARGE = [(2**60 + 1, "one two"), (None, "three"), (2**60 + 3, "four five six")]
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    rows = spark.createDataFrame(LARGE, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack_documents(rows).collect()} == {x[0] for x in LARGE}
+    blocks, order = token_counts.flat_token_blocks(rows)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.separator_counts(blocks).join(order, ["stream", "ordinal"]).collect()}
+    assert got == {d: len(id_bytes(t)) // 4 for d, t in LARGE}
+
+
+def test_rows_that_repeat_are_dealt_into_many_groups(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("length"), F.lit("x").alias("nth"), F.lit(1).alias("Offset"))
+    got = packing.pack(rows, per_group=500)
+    assert got.columns == ["doc_id", "length", "nth", "sequence_id", "offset"]
+    frame = got.toPandas()
+    groups = (frame["sequence_id"].to_numpy() >> 32)
+    sizes = np.unique(groups, return_counts=True)[1]
+    assert len(frame) == 3000 and len(sizes) == 6 and sizes.max() < 700 and frame.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_other_dimensions_choose_bins():
+    """Bins with the same tokens left: documents and attention decide, and the number of sequences stays."""
+    lengths = np.array([50, 40, 40, 30, 20, 10, 10, 10, 10, 10, 10, 10, 10])
+    one, _ = packing.best_fit(lengths, packing.Capacity(tokens=100, documents=6, attention=100**2, weights=(1.0, 0.0, 0.0)))
+    two, _ = packing.best_fit(lengths, packing.Capacity(tokens=100, documents=6, attention=100**2, weights=(0.0, 1.0, 1.0)))
+    draw = np.random.default_rng(5)
+    many = draw.integers(1, 1500, size=3000)
+    a, b = (packing.best_fit(many, packing.Capacity(weights=w))[0] for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
+    assert one.tolist() != two.tolist() and a.tolist() != b.tolist()
+    assert max(a.max(), b.max()) + 1 <= -(-many.sum() // 2048) + 2
+
+
 def test_packing_round_trip(docs):
     got = packing.pack_documents(docs).toPandas()
     for d, text in texts(docs).items():
@@ -579,6 +622,44 @@ def test_exact_dedup_edges(spark, odd, tmp_path):
     assert exact_dedup.drop_duplicates(odd.limit(0)).count() == 0
 
 
+def test_exact_dedup_reads_its_table_alone(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def table(rows):
+        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])})
+
+    single = str(tmp_path / "documents.parquet")
+    pq.write_table(table([(1, "a"), (2, "b"), (3, "b")]), single)
+    for other in ("documents.parquet.old", "documents.parquet2", "xdocuments.parquet"):
+        pq.write_table(table([(9, "a"), (9, "b")]), str(tmp_path / other))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_duplicates(spark, single).collect()}
+    assert got == {1: (1, 1, True), 2: (3, 2, False), 3: (3, 2, True)}
+
+
+HELPERS = ("digest", "length", "at", "doc", "stays", "bytes", "maybe", "bloom_block", "_text", "_at", "Kept", "KEEP_ID", "a b.c")
+
+
+def test_exact_dedup_carries_columns_of_any_name(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in HELPERS})
+    rows.write.parquet(str(tmp_path / "t"))
+    got = exact_dedup.mark_duplicates(spark, str(tmp_path / "t"))
+    assert got.columns == ["doc_id", "text", *(c for c in HELPERS if c.lower() not in exact_dedup.RESULTS), *exact_dedup.RESULTS]
+    assert sorted(r["doc_id"] for r in got.where("kept").collect()) == [2, 3]
+    for docs in (rows, spark.read.parquet(str(tmp_path / "t"))):
+        left = exact_dedup.drop_duplicates(docs)
+        assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3] and left.where("Kept = 'Kept' and digest = 'digest'").count() == 2
+
+
+def test_a_plain_table_is_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(3).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert exact_dedup.table_path(table).endswith(path)
+    for other in (table.where("doc_id > 3"), table.select("text", "doc_id"), table.unionByName(table), spark.range(3)):
+        assert exact_dedup.table_path(other) is None
+
+
 def test_state_lives_on_between_runs(spark, tmp_path):
     schema = "doc_id long, text string"
     table, registry, state = (str(tmp_path / n) for n in ("t", "registry", "state"))

@@ -2,101 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.llm.spans import match_spans
+from seqweave.llm.columns import carried, unpacked
+from seqweave.llm.signatures import PRIORITIES, Rule, signature_rules
+from seqweave.llm.spans import bound, folded, match_spans
 from seqweave.llm.urls import LOWER, UPPER
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: The phrases of the base scan and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+DETECTION = "start:int,minus_end:int,priority:int,nth:int,label:string,confidence:double"
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(or_, conditions, F.lit(False))
+
 
-#: Label, keyword, and the name as it reads once words are joined by single spaces.
-FAMILIES = (
-    ("mit", "mit", "mit"),
-    ("mit-0", "mit", "mit (?:no attribution|0)"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2", "apache", "apache(?: license)?(?: version)? (?:v2|2)(?: 0)?"),
-    ("bsd", "bsd", "bsd"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)"),
-    ("gpl", "gnu", "gnu (?:general public license|gpl)"),
-    ("gpl-2", "gnu", "gnu (?:general public license|gpl)(?: version)? (?:v2|2)(?: 0)?"),
-    ("gpl-3", "gnu", "gnu (?:general public license|gpl)(?: version)? (?:v3|3)(?: 0)?"),
-    ("gpl-2", "gpl", "gpl ?(?:version )?v?2(?: 0)?"),
-    ("gpl-3", "gpl", "gpl ?(?:version )?v?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl ?v?2 1"),
-    ("lgpl-3", "lgpl", "lgpl ?v?3(?: 0)?"),
-    ("lgpl", "lesser", "gnu (?:lesser|library) general public license"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public license(?: version)? 2 1"),
-    ("lgpl-3", "lesser", "gnu lesser general public license(?: version)? (?:v3|3)(?: 0)?"),
-    ("agpl-3", "affero", "gnu affero general public license(?: version)? (?:v3|3)(?: 0)?"),
-    ("agpl-3", "agpl", "agpl ?v?3(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1"),
-    ("mpl-2", "mozilla", "mozilla public license(?: version)? (?:v2|2)(?: 0)?"),
-    ("mpl-2", "mpl", "mpl 2(?: 0)?"),
-    ("epl-1", "eclipse", "eclipse public license(?: version)? 1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public license(?: version)? 2(?: 0)?"),
-    ("cddl-1", "cddl", "cddl(?: version)? 1(?: 0)?"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("bsl-1", "boost", "boost software license(?: version)?(?: 1(?: 0)?)?"),
-    ("artistic-2", "artistic", "artistic license(?: version)? 2(?: 0)?"),
-    ("ofl-1.1", "sil", "sil open font license(?: version)?(?: 1 1)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("public-domain", "public domain", "public domain"),
-    ("eupl-1.2", "eupl", "eupl(?: version)? 1 2"),
-    ("ms-pl", "microsoft", "microsoft public license"),
-    ("odbl-1", "odbl", "odbl(?: 1 0)?"),
-    ("gfdl", "gfdl", "gfdl(?: 1 [123])?"),
-    ("gfdl", "free documentation", "gnu free documentation license(?: version)?(?: 1 [123])?"),
-    ("psf-2", "python", "python software foundation license(?: version)?(?: 2)?"),
-)
-#: Priority (lower wins), confidence, and how a name stands in a statement.
-TEMPLATES = (
-    (0, 0.99, "spdx license identifier {name}(?: only| or later)?"),
-    (1, 0.95, "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (1, 0.95, "(?:released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (2, 0.8, "under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (2, 0.8, "{name} licen[sc]e"),
-    (3, 0.6, "{name}(?= copyright)|licen[sc]e {name}"),
-)
-PRIORITIES = 4
-#: A document without any of these (under: as a word) can't match a rule: every match holds one.
-DOCUMENT_KEYWORDS = ("licen", "under", "copyright")
-
-
-def creative_commons() -> list[tuple[str, str, str]]:
-    """Families for every Creative Commons variant and version, by rule."""
-    out = []
-    long = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s"}
-    for parts in (("by",), ("by", "sa"), ("by", "nc"), ("by", "nd"), ("by", "nc", "sa"), ("by", "nc", "nd")):
-        name = f"(?:cc {' '.join(parts)}|creative commons {' '.join(long[p] for p in parts)})(?! (?:sa|nc|nd|share|non|no ?deriv))"
-        label = "cc-" + "-".join(parts)
-        for keyword in ("cc by", "creative commons"):
-            out.append((label, keyword, name))
-            out += [(f"{label}-{a}.{b}", keyword, f"{name} {a} {b}(?: international)?") for a, b in ((2, 0), (3, 0), (4, 0))]
-    return out
-
-
-def signature_rules() -> list[dict]:
-    """The ordered rules: every family in every template; order breaks ties."""
-    rules, seen = [], set()
-    for priority, confidence, template in TEMPLATES:
-        for label, keyword, name in (*FAMILIES, *creative_commons()):
-            regex = f"(?<![^ ])(?:{template.replace('{name}', f'(?:{name})')})(?![^ ])"
-            if (label, keyword, regex) not in seen:
-                seen.add((label, keyword, regex))
-                rules.append({"keyword": keyword, "regex": regex, "label": label, "priority": priority, "confidence": confidence, "nth": len(rules)})
-    return rules
-
-
-def _literal(rules: list[dict]) -> Column:
-    return F.array(*(F.struct(*(F.lit(r[k]).alias(k) for k in ("keyword", "regex", "label", "priority", "confidence", "nth"))) for r in rules))
+def may_match(text: Column, rules: Sequence[Rule], phrases: Sequence[tuple[str, str]]) -> Column:
+    """Whether a text, as it stands, can hold a phrase or a rule's match: it has the longest word of one, and an anchor.
+
+    A phrase or keyword may run over signs that aren't word characters; a word of it can't.
+    """
+    lower = F.lower(text)
+    wanted: dict[tuple[str, ...], set[str]] = {(): {max(p.split(" "), key=len) for p, _ in phrases}}
+    for r in rules:
+        wanted.setdefault(r.anchors, set()).update(max(k.split(" "), key=len) for k in r.keywords)
+    held = lambda words: _any([lower.contains(w) for w in sorted(words)])
+    return _any([held(anchors) & held(words) if anchors else held(words) for anchors, words in wanted.items()])
 
 
 def resolve(detections: Column) -> Column:
@@ -106,40 +46,54 @@ def resolve(detections: Column) -> Column:
     or after its end, so a running largest end per priority decides, in one pass.
     """
     ordered = F.array_sort(F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("minus_end"), d["priority"].alias("priority"), d["nth"].alias("nth"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
-    kind = "start:int,minus_end:int,priority:int,nth:int,label:string,confidence:double"
-    none = F.from_json(F.lit('{"ends":[' + ",".join(["0"] * PRIORITIES) + '],"kept":[]}'), f"struct<ends:array<int>,kept:array<struct<{kind}>>>")
 
-    def step(so_far: Column, d: Column) -> Column:
+    def step(ends: Column, d: Column) -> tuple[Column, Column, Column]:
         end = -d["minus_end"]
-        covered = F.array_max(F.slice(so_far["ends"], F.lit(1), d["priority"] + 1)) >= end
-        ends = F.transform(so_far["ends"], lambda e, i: F.when(i == d["priority"], F.greatest(e, end)).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(covered, so_far["kept"]).otherwise(F.array_append(so_far["kept"], d)).alias("kept"))
+        covered = F.array_max(F.slice(ends, F.lit(1), d["priority"] + 1)) >= end
+        return F.transform(ends, lambda e, i: F.when(i == d["priority"], F.greatest(e, end)).otherwise(e)), ~covered, d
 
-    return F.aggregate(ordered, none, step, lambda x: x["kept"])
+    return folded(ordered, F.array(*[F.lit(0)] * PRIORITIES), f"struct<{DETECTION}>", step)
 
 
-def scan(docs: DataFrame, rules: list[dict] | None = None, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+def awake(joined: Column, rules: Sequence[Rule]) -> Column:
+    """The rules that match somewhere, as structs with their place in the order.
+
+    Rules that share their keywords and anchors are looked at together: none of them unless the text has a keyword and
+    an anchor, and each for itself only where one pattern, made of all of theirs and compiled once, matches.
+    """
+    groups: dict[tuple, list[tuple[int, Rule]]] = {}
+    for nth, rule in enumerate(rules):
+        groups.setdefault((rule.keywords, rule.anchors), []).append((nth, rule))
+    kind = "array<struct<regex:string,label:string,priority:int,confidence:double,nth:int>>"
+    parts = []
+    for (keywords, anchors), members in groups.items():
+        rows = F.array(*(F.struct(F.lit(r.regex).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(n).alias("nth")) for n, r in members))
+        held = _any([joined.contains(k) for k in keywords]) & (_any([joined.contains(a) for a in anchors]) if anchors else F.lit(True)) & joined.rlike("|".join(r.regex for _, r in members))
+        parts.append(F.when(held, rows).otherwise(F.array().cast(kind)))
+    return F.filter(F.concat(*parts), lambda r: F.rlike(joined, r["regex"])) if parts else F.array().cast(kind)
+
+
+def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    docs: text; further columns are carried along, those named like a result column are replaced. Base: every place
-    where a phrase's words stand consecutively (A-Z lower-cased). Rules: a document is looked at only if it holds one
-    of DOCUMENT_KEYWORDS, a rule only if the document holds its keyword; matches are then resolved by priority and
-    interval containment. detections has what stays, as places in the words joined by single spaces. score is the
-    largest confidence of what was found, 0 if nothing. Null text is empty: no words, no labels, score 0. Everything
-    happens inside the row: nothing is shuffled, whatever the text's length.
+    docs: text; further columns are carried along, whatever their names, and those called like a result (in any case)
+    are replaced. Base: every place where a phrase's words stand consecutively (A-Z lower-cased). Rules: a document is
+    looked at only if it holds a word of a phrase or of a rule's keyword, a rule only if the document holds one of its
+    keywords (and anchors); matches are then resolved by priority and interval containment, ties by the order of the
+    rules. detections has what stays, as places in the words joined by single spaces. score is the largest confidence
+    of what was found, 0 if nothing. Null text is empty: no words, no labels, score 0. Repeated rows are scanned each;
+    no rows: no rows. Everything happens inside the row: nothing is shuffled, whatever the text's length, and the time
+    grows with the text and its matches.
     """
-    results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
-    looks = F.lower(text)
-    gate = F.lit(False)
-    for k in (*DOCUMENT_KEYWORDS, "cc"):
-        gate = gate | looks.contains(k)
-    one = docs.select("*", F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("_n"), F.when(gate, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_words"))
-    one = one.withColumn("_joined", F.array_join("_words", " "))
+    gate = may_match(text, rules, phrases)
+    one = docs.select(carried(docs, RESULTS).alias("own"), F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n"), F.when(gate, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("words"))
+    one = one.withColumn("joined", F.array_join("words", " "))
 
     def places(phrase: str) -> Column:
         parts = phrase.split(" ")
-        words, n = F.col("_words"), F.size("_words")
+        words, n = F.col("words"), F.size("words")
 
         def here(i: Column) -> Column:
             hit = F.lit(True)
@@ -147,37 +101,33 @@ def scan(docs: DataFrame, rules: list[dict] | None = None, phrases: tuple[tuple[
                 hit = hit & (F.get(words, i + k) == w)
             return hit
 
-        held = F.col("_joined").contains(phrase) & (n >= len(parts))
+        held = F.col("joined").contains(phrase) & (n >= len(parts))
         return F.when(held, F.filter(F.sequence(F.lit(0), n - len(parts)), here)).otherwise(F.array().cast("array<int>"))
 
-    found = one.select("*", *(F.when(F.col("_words").isNotNull(), places(p)).otherwise(F.array().cast("array<int>")).alias(f"_p{i}") for i, (p, _) in enumerate(phrases)))
-    every = F.concat(*(f"_p{i}" for i in range(len(phrases))))
-    base = F.array_compact(F.array(*(F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases))))
-
-    def spans(rule: Column) -> Column:
-        return F.transform(match_spans(F.col("_joined"), rule["regex"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), rule["priority"].alias("priority"), rule["nth"].alias("nth"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
-
-    table = _literal(signature_rules() if rules is None else rules)
-    awake = F.filter(table, lambda r: F.col("_joined").contains(r["keyword"]))
-    awake = F.filter(awake, lambda r: F.rlike(F.col("_joined"), r["regex"]))
-    named = F.col("_joined").rlike("licen|copyright|(?<![^ ])under(?![^ ])")
-    detections = F.when(named, resolve(F.flatten(F.transform(awake, spans))))
-    kept = found.withColumn("_kept", F.coalesce(detections, F.from_json(F.lit("[]"), "array<struct<start:int,minus_end:int,priority:int,nth:int,label:string,confidence:double>>")))
-    labels = F.array_sort(F.array_union(base, F.transform("_kept", lambda d: d["label"])))
-    confidence = F.coalesce(F.array_max(F.transform("_kept", lambda d: d["confidence"])), F.lit(0.0))
-    return kept.select(
-        *(F.col(c) for c in docs.columns if c not in results),
-        F.col("_n").alias("n_words"),
+    def found(rule: Column) -> Column:
+        return F.transform(match_spans(F.col("joined"), rule["regex"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), rule["priority"].alias("priority"), rule["nth"].alias("nth"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+
+    none = F.array().cast(f"array<struct<{DETECTION}>>")
+    kept = bound(awake(F.col("joined"), rules), lambda hits: F.when(F.size(hits) > 0, resolve(F.flatten(F.transform(hits, found)))).otherwise(none))
+    one = one.select("*", *(places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)), F.coalesce(F.when(F.col("joined").isNotNull(), kept), none).alias("kept"))
+    every = F.concat(*(f"p{i}" for i in range(len(phrases)))) if phrases else F.array().cast("array<int>")
+    base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)))) if phrases else F.array().cast("array<string>")
+    labels = F.array_sort(F.array_union(base, F.transform("kept", lambda d: d["label"])))
+    confidence = F.coalesce(F.array_max(F.transform("kept", lambda d: d["confidence"])), F.lit(0.0))
+    return one.select(
+        *unpacked(docs, RESULTS, "own"),
+        F.col("n").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.greatest(confidence, F.when(F.size(every) > 0, F.lit(0.95)).otherwise(F.lit(0.0))).alias("score"),
-        F.transform("_kept", lambda d: F.struct(d["start"].alias("start"), (-d["minus_end"]).alias("end"), d["label"].alias("label"))).alias("detections"),
+        F.transform("kept", lambda d: F.struct(d["start"].alias("start"), (-d["minus_end"]).alias("end"), d["label"].alias("label"))).alias("detections"),
     )
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every whole text of documents; see scan."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

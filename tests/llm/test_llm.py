@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seqweave.llm import exact_dedup, fingerprints, licenses, mixing, packing, pii, pivots, token_counts, toxicity, urls
+from seqweave.llm import exact_dedup, fingerprints, licenses, mixing, packing, pii, pivots, signatures, token_counts, toxicity, urls
 from seqweave.llm.components import connected_components
 from seqweave.llm.spans import match_spans
 from seqweave.llm.tokenizer import id_bytes
@@ -112,7 +112,65 @@ def test_license_rules_resolve(spark):
     ]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "gpl-3", 2: "cc-by-nc,cc-by-nc-4.0", 3: "mit", 4: "", 5: "bsd,mpl-2"}
-    assert len(licenses.signature_rules()) > 300
+
+LICENSED = [
+    (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "mit"),
+    (2, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2-or-later"),
+    (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd,bsd-3-clause"),
+    (4, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache-2"),
+    (5, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    (6, "This is free and unencumbered software released into the public domain.", "unlicense"),
+    (7, "SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+    (8, "a committee with a permit, misc. silver disc, mit freundlichen Gruessen, under the bridge", ""),
+    (9, "The software is provided as is without warranty of any kind", ""),
+]
+
+
+def test_license_texts_by_name(spark):
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([x[:2] for x in LICENSED], "doc_id long, text string")).collect()}
+    assert got == {d: want for d, _, want in LICENSED}
+
+
+def example(regex):
+    """A text that the signature matches: the first way at every choice."""
+    text, before = re.sub(r"\(\?:\[\^ \]\+ \)\{\d,\d+\}", "some ", regex), None
+    while text != before:
+        before, text = text, re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)
+    return re.sub(r"(.)\?", r"\1", re.sub(r"\[(.)[^\]]*\]", r"\1", text))
+
+
+def test_rules_against_brute_force(spark, docs):
+    """Every rule on every text, without keywords, groups or gates; then containment pair by pair."""
+    rules = signatures.signature_rules()
+    assert len({r.regex for r in rules}) == len(rules) > 350 and len(signatures.TEXTS) > 100
+    made = [(2_000_000 + i, f"x {example(t)} y. " + LICENSED[i % len(LICENSED)][1]) for i, (_, _, t) in enumerate(signatures.TEXTS)]
+    extra = spark.createDataFrame([(1_000_000 + d, t) for d, t, _ in LICENSED] + made, "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(extra)
+    known, seen = texts(every), set()
+    for r in licenses.scan(every).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", known[r["doc_id"]].translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+        joined = " ".join(words)
+        found = sorted((m.start(), -m.end(), rule.priority, n) for n, rule in enumerate(rules) for m in re.finditer(rule.regex, joined))
+        for start, _, _, n in found:
+            rule, match = rules[n], joined[start:]
+            assert any(k in joined for k in rule.keywords) and (not rule.anchors or any(a in match for a in rule.anchors)), rule
+        kept = [d for i, d in enumerate(found) if not any(e[2] <= d[2] and e[0] <= d[0] and e[1] <= d[1] for e in found[:i])]
+        assert [(d["start"], d["end"], d["label"]) for d in r["detections"]] == [(a, -b, rules[n].label) for a, b, _, n in kept], r["doc_id"]
+        assert r["labels"] == ",".join(sorted({rules[n].label for *_, n in kept} | set(filter(None, phrase_places(known[r["doc_id"]])[-1].split(",")))))
+        seen |= {rules[n].label for *_, n in kept}
+    assert seen >= {label for label, _, _ in signatures.TEXTS}
+
+
+def test_scan_carries_columns_of_any_name_and_long_texts(spark):
+    import time
+
+    names = ("n", "words", "joined", "p0", "kept", "_n", "Score", "own", "LABELS", "x.y")
+    rows = spark.createDataFrame([("Released under the MIT License. " * 8000,)], "text string").withColumns({c: F.lit(c) for c in names})
+    began = time.perf_counter()
+    got = licenses.scan(rows)
+    row = got.first()
+    assert got.columns == ["text", *(c for c in names if c not in ("Score", "LABELS")), *licenses.RESULTS] and row["own"] == "own"
+    assert row["n_base"] == 8000 and len(row["detections"]) == 8000 and time.perf_counter() - began < 60
 
 
 def test_resolve_against_pairs(spark):

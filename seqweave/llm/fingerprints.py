@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.ordering import LEAST, bucket_of, quantile_bounds
+from seqweave.functions.ordering import LEAST, bucket_of
 from seqweave.functions.shared import written
 
 SPACE = "[\\x00-\\x20]+"
@@ -54,22 +54,40 @@ def as_hex(name: str) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(f"{name}{k}")), 16, "0") for k in range(len(SEEDS))))
 
 
+def dealt_by_range(keyed: DataFrame, buckets: int) -> DataFrame:
+    """keyed (_k, _h) with bucket: ranges of (_k, _h) of about equal size, numbered in order.
+
+    Where one _k fills several ranges (a quantile that repeats), its rows are cut into as many by _h.
+    """
+    found = [int(x) for x in sorted(keyed.approxQuantile("_k", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))] if buckets > 1 else []
+    bounds = sorted(set(found))
+    parts = [1, *(found.count(v) for v in bounds)]  # ranges of the rows from each bound on
+    firsts = F.array(*(F.lit(sum(parts[:i])) for i in range(len(parts))))
+    at = bucket_of(F.col("_k"), bounds)
+    size, here = F.get(F.array(*map(F.lit, parts)), at), F.get(F.array(*map(F.lit, [LEAST, *bounds])), at)
+    share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
+    cut = F.when(F.col("_k") == here, F.least(F.floor(share * size).cast("int"), size - 1)).otherwise(size - 1)
+    return keyed.withColumn("bucket", F.get(firsts, at) + cut)
+
+
 def with_successor(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, guest, rn, doc_id, text, next_text): every document with the text of the next in doc_id order.
 
     Rows are dealt into ranges of doc_id; each range also gets the first document of the next one as a guest (the
     last range that of the first), so one exchange and no single task orders the whole table. A null doc_id comes
-    first; rows of one doc_id are ordered by text. Guests must be dropped at the end.
+    first; rows of one doc_id are ordered by a hash of the text, then the text, and dealt into several ranges if they
+    are many (only rows equal in both stay together). Guests must be dropped at the end.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_k"))
-    bounds = [int(x) for x in quantile_bounds(keyed, "_k", buckets)]
-    dealt = keyed.withColumn("bucket", bucket_of(F.col("_k"), bounds))
-    firsts = sorted((r["bucket"], r["k"]) for r in dealt.groupBy("bucket").agg(F.min("_k").alias("k")).collect())
-    hosts = [(firsts[(i + 1) % len(firsts)][1], b) for i, (b, _) in enumerate(firsts)]
-    guests = dealt.drop("bucket").join(F.broadcast(spark.createDataFrame(hosts, "_k long, bucket int")), "_k")
-    every = dealt.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
-    along = Window.partitionBy("bucket").orderBy("guest", "_k", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(LEAST)).alias("_k"), F.xxhash64("text").alias("_h"))
+    dealt = dealt_by_range(keyed, buckets)
+    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("_k", "_h")).alias("first")).collect())
+    hosts = [(*firsts[(i + 1) % len(firsts)][1], b) for i, (b, _) in enumerate(firsts)]
+    guests = dealt.drop("bucket").join(F.broadcast(spark.createDataFrame(hosts, "_k long, _h long, bucket int")), ["_k", "_h"])
+    guests = guests.groupBy("bucket").agg(F.min(F.struct("text", "doc_id", "_k", "_h")).alias("first")).select("bucket", "first.*").withColumn("guest", F.lit(1))
+    every = dealt.withColumn("guest", F.lit(0)).unionByName(guests)
+    along = Window.partitionBy("bucket").orderBy("guest", "_k", "_h", "text")
     return every.select("bucket", "guest", F.row_number().over(along).alias("rn"), "doc_id", "text", F.lead("text").over(along).alias("next_text"))
 
 
@@ -80,7 +98,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     document's beginning, or all of it if that is shorter. A word votes with its weight for the set bits of its hash
     and against the others, once for every time it occurs; words are what stands between ASCII white space and
     control characters. Null text is empty; an empty text has the zero fingerprint. A table of one row is its own
-    next. Repeated rows are fingerprinted each. No rows: no rows. Extra columns are ignored.
+    next. Repeated rows are fingerprinted each; ties are ordered as in with_successor. No rows: no rows. Extra columns
+    are ignored. A very long text is cut into words inside its task, and the votes are combined there.
 
     The votes are summed in the partitions that the ordering has already made: the texts are exchanged once.
     """

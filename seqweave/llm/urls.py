@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.shared import written
+from seqweave.llm.columns import carried, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the production query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Sites whose pages the production query lists.
 LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+RESULTS = ("host", "path", "rule", "verdict")
+#: Rules are unrolled into the plan; a list of URLs is the way to block many single pages.
 MAX_RULES = 1000
 BITS_PER_URL = 16
 #: A filter of at most so many bytes is broadcast; a larger one is joined by block.
@@ -71,7 +74,8 @@ def blocks_for(keys: int) -> int:
 
 
 def may_be_in(rows: DataFrame, key: str, table: DataFrame, blocks: int, name: str) -> DataFrame:
-    """rows with column name: whether the key (string) may be in the filter; null keys are not."""
+    """rows with column name: whether the key (string) may be in the filter; null keys are not. rows must have no column
+    _block or bloom_*."""
     probe = rows.withColumn("_block", _block(key, blocks)).join(table, F.col("_block") == F.col("bloom_block"), "left")
     passes = F.col(key).isNotNull()
     for i in range(WORDS):
@@ -83,28 +87,28 @@ def may_be_in(rows: DataFrame, key: str, table: DataFrame, blocks: int, name: st
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict.
 
-    pages: url; further columns are carried along, those named like a result column are replaced. listed: url, the
-    canonical URLs to block; nulls are ignored, repeats count once. A rule decides where one fits. Elsewhere a page is
-    blocked if its canonical URL is listed: a blocked Bloom filter, broadcast while its proven size (blocks x 72
-    bytes) allows, passes the possible hits, and only those are joined with the list by hash, which removes false
-    positives. A null url, or one without ://, has an empty host and path and is allowed. No pages: no rows.
+    pages: url; further columns are carried along, whatever their names, and those called like a result (in any case)
+    are replaced. listed: url, the canonical URLs to block; nulls are ignored, repeats count once. A rule decides where
+    one fits; of rules of one length the first in alphabetical order. Elsewhere a page is blocked if its canonical URL
+    is listed: a blocked Bloom filter, broadcast while its proven size (blocks x 72 bytes) allows and joined by block
+    beyond, passes the possible hits, and only those have a key in the hash join with the list, which removes false
+    positives. A null url, or one without ://, has an empty host and path and is allowed, as is an empty one. Repeated
+    rows are judged each, and very long urls like any other. No pages: no rows.
     """
-    results = ("host", "path", "rule", "verdict")
-    carried = [F.col(c) for c in pages.columns if c not in results]
     listed = written(listed.select("url").where(F.col("url").isNotNull()).distinct(), "listed-urls")
     blocks = blocks_for(listed.count())
     table = bloom_filter(listed, blocks)
     if fits_broadcast(blocks):
         table = F.broadcast(table)
-    split = pages.select(*carried, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    ruled = split.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    keyed = ruled.withColumn("_canonical", canonical(F.col("host"), F.col("path")))
-    probe = may_be_in(keyed, "_canonical", table, blocks, "_maybe").withColumn("_maybe", F.col("_maybe") & F.col("_rule").isNull())
-    hits = probe.where("_maybe").join(listed.select(F.col("url").alias("_listed")).hint("shuffle_hash"), F.col("_canonical") == F.col("_listed"), "left")
-    rest = probe.where("not _maybe").withColumn("_listed", F.lit(None).cast("string"))
-    decided = hits.unionByName(rest)
-    verdict = F.coalesce("_rule.verdict", F.when(F.col("_listed").isNotNull(), "block").otherwise("allow"))
-    return decided.select(*(F.col(c) for c in pages.columns if c not in results), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    split = pages.select(carried(pages, RESULTS).alias("own"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    ruled = split.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    keyed = ruled.withColumn("canonical", F.when(F.col("found").isNull(), canonical(F.col("host"), F.col("path"))))
+    probe = may_be_in(keyed, "canonical", table, blocks, "maybe")
+    # Two branches over the same narrow scan, so that pages which are no possible hit are never exchanged.
+    hits = probe.where("maybe").join(listed.select(F.col("url").alias("listed")).hint("shuffle_hash"), F.col("canonical") == F.col("listed"), "left")
+    rest = probe.where("not maybe").withColumn("listed", F.lit(None).cast("string"))
+    verdict = F.coalesce("found.verdict", F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
+    return hits.unionByName(rest).select(*unpacked(pages, RESULTS, "own"), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def site_urls(pages: DataFrame, sites: tuple[str, ...] = LISTED_SITES) -> DataFrame:
@@ -114,6 +118,7 @@ def site_urls(pages: DataFrame, sites: tuple[str, ...] = LISTED_SITES) -> DataFr
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every page; see judge."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, site_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 

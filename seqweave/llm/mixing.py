@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.shared import written
+from seqweave.llm.columns import carried, unpacked
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: More sources than this are refused: their totals are the only thing that reaches the driver.
-MAX_SOURCES = 100_000
+#: Budgets of so many sources are broadcast; of more, joined like any table.
+BROADCAST_SOURCES = 100_000
+#: Exponents that one pass over the totals tries: five bisections at once.
+TRIED = 31
 
 
 @dataclass(frozen=True)
@@ -44,27 +47,39 @@ def bisect(good, low: float = 0.0, high: float = 1.0, steps: int = 60) -> float:
     return high
 
 
-def exponent(tokens: list[int], mix: Mix) -> float:
-    """The exponent on the token shares that meets the target; 1 leaves the shares as they are, 0 makes them equal."""
-    sizes = [x for x in tokens if x > 0]
-    if len(sizes) < 2:
-        return 1.0
+def entropies(totals: DataFrame, tried: list[float]) -> list[float]:
+    """Entropy of the weights at each exponent, in one pass over totals (tokens)."""
+    share = F.col("tokens") / totals.agg(F.sum("tokens")).first()[0]
+    raised = totals.select(F.posexplode(F.array(*(F.pow(share, F.lit(a)) for a in tried))).alias("k", "x"))
+    # With norm N = sum x, the entropy is log N - sum(x log x) / N.
+    sums = raised.groupBy("k").agg(F.sum("x").alias("norm"), F.sum(F.when(F.col("x") > 0, F.col("x") * F.log("x")).otherwise(0.0)).alias("xlogx"))
+    return [r["h"] for r in sums.select("k", (F.log("norm") - F.col("xlogx") / F.col("norm")).alias("h")).orderBy("k").collect()]
+
+
+def exponent(totals: DataFrame, mix: Mix) -> float:
+    """The exponent on the token shares that meets the target; 1 leaves the shares as they are, 0 makes them equal.
+
+    totals: tokens, a row for each source. Only sums over the sources reach the driver, so there may be any number.
+    """
     if (mix.repetition is None) == (mix.entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
+    if mix.entropy is not None and not 0 <= mix.entropy <= 1:
+        raise ValueError("the target entropy is a share of the largest")
+    totals = totals.where("tokens > 0").select("tokens")
+    ends = totals.agg(F.count("*").alias("n"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    if ends["n"] < 2:
+        return 1.0
     if mix.repetition is not None:
-        ratio = min(sizes) / max(sizes)
+        ratio = ends["least"] / ends["most"]
         return bisect(lambda a: ratio ** (a - 1) <= mix.repetition)
-    total = sum(sizes)
-
-    def entropy(a: float) -> float:
-        raised = [(x / total) ** a for x in sizes]
-        norm = sum(raised)
-        return -sum(x / norm * math.log(x / norm) for x in raised)
-
-    if not 0 <= mix.entropy <= 1:
-        raise ValueError("the target entropy is a share of the largest")
-    goal = mix.entropy * math.log(len(sizes))
-    return 1.0 - bisect(lambda b: entropy(1 - b) >= goal)
+    goal, low, high = mix.entropy * math.log(ends["n"]), 0.0, 1.0
+    if entropies(totals, [1.0])[0] >= goal:
+        return 1.0
+    while high - low > 1e-12:  # the entropy falls with the exponent
+        tried = [low + (high - low) * k / (TRIED + 1) for k in range(1, TRIED + 1)]
+        good = sum(h >= goal for h in entropies(totals, tried))
+        low, high = ([low, *tried, high])[good : good + 2]
+    return low
 
 
 def _draw(*parts: Column | str) -> Column:
@@ -78,18 +93,14 @@ def budgets(units: DataFrame, mix: Mix) -> DataFrame:
     Budgets are in proportion to the weights and as small as lets every source be read in full at least once. A
     source without tokens is read once.
     """
-    spark = units.sparkSession
-    totals = units.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    largest = max((r["tokens"] for r in totals), default=0)
-    alpha = exponent([r["tokens"] for r in totals], mix)
-    rows = []
-    for r in totals:
-        budget = int(math.floor(r["tokens"] * (r["tokens"] / largest) ** (alpha - 1) + 0.5)) if r["tokens"] else 0
-        epochs = max(1, -(-budget // r["tokens"])) if r["tokens"] else 1
-        rows.append((r["source"], r["tokens"], budget, epochs, max(1, -(-r["tokens"] // mix.block_tokens))))
-    return spark.createDataFrame(rows, "source string, tokens long, budget long, epochs long, blocks long")
+    totals = written(units.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-totals")
+    alpha = exponent(totals, mix)
+    largest = totals.agg(F.max("tokens")).first()[0] or 0
+    tokens, some = F.col("tokens"), F.col("tokens") > 0
+    budget = F.when(some, F.floor(tokens * F.pow(tokens / F.lit(float(largest or 1)), F.lit(alpha - 1)) + 0.5)).otherwise(0).cast("long")
+    epochs = F.when(some, F.greatest(F.lit(1), F.ceil(F.col("budget") / tokens))).otherwise(1).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(tokens / F.lit(mix.block_tokens))).cast("long")
+    return totals.withColumn("budget", budget).select("source", "tokens", "budget", epochs.alias("epochs"), blocks.alias("blocks"))
 
 
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -102,9 +113,11 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows: no rows. Extra columns are ignored. Only a block's rows meet in a task, and per source one row per block.
     """
     units = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_tokens().alias("tokens")).groupBy("doc_id", "source").agg(F.sum("tokens").alias("tokens")), "mix-units")
-    of = budgets(units, mix)
+    of = written(budgets(units, mix), "mix-budgets")
     seed = str(mix.seed)
-    wide = units.join(F.broadcast(of.withColumnRenamed("tokens", "source_tokens")), units["source"].eqNullSafe(of["source"])).drop(of["source"])
+    few = of.count() <= BROADCAST_SOURCES
+    shares = of.select(F.col("source").alias("_of"), F.col("tokens").alias("source_tokens"), "budget", "epochs", "blocks")
+    wide = units.join(F.broadcast(shares) if few else shares, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     block = F.conv(F.substring(_draw(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % F.col("blocks")
     rows = wide.withColumn("block", block).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     inside = Window.partitionBy("source", "epoch", "block").orderBy(_draw(seed, F.col("epoch"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,14 +133,15 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs as often as the mixture reads them; same columns."""
-    times = mixture(docs, mix).groupBy("doc_id", "source").agg(F.count("*").alias("_times"))
-    times = times.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "_times")
-    joined = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & docs["source"].eqNullSafe(F.col("_source")))
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    """docs as often as the mixture reads them; same columns, whatever their names. Otherwise as mixture."""
+    times = mixture(docs, mix).groupBy("doc_id", "source").agg(F.count("*").alias("times"))
+    own = docs.select(carried(docs).alias("own"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("of"))
+    joined = own.join(times, F.col("doc").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")))
+    return joined.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).select(*unpacked(docs, (), "own"))
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, epoch, block, position, slot over all of documents; see mixture."""
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

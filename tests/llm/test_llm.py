@@ -64,15 +64,29 @@ def test_mixture_reads_the_budget_in_permuted_blocks(spark, docs):
     assert set(plan.loc[plan["epoch"] == 0, "doc_id"]) == set(sizes)
 
 
-def test_exponent():
+def test_exponent(spark):
     sizes = [100, 10, 5]
-    a = mixing.exponent(sizes, mixing.Mix(repetition=None, entropy=0.9))
+    totals = lambda x: spark.createDataFrame([(v,) for v in x], "tokens long")
+    a = mixing.exponent(totals(sizes), mixing.Mix(repetition=None, entropy=0.9))
     raised = np.array(sizes, dtype=float) ** a
     share = raised / raised.sum()
     assert -(share * np.log(share)).sum() == pytest.approx(0.9 * np.log(3), abs=1e-6)
-    assert mixing.exponent([5, 5], mixing.Mix()) == 0.0 and mixing.exponent([0, 7], mixing.Mix()) == 1.0
+    assert mixing.exponent(totals(sizes), mixing.Mix(repetition=None, entropy=0.1)) == 1.0
+    assert mixing.exponent(totals([5, 5]), mixing.Mix()) == 0.0 and mixing.exponent(totals([0, 7]), mixing.Mix()) == 1.0
     with pytest.raises(ValueError):
-        mixing.exponent(sizes, mixing.Mix(repetition=None))
+        mixing.exponent(totals(sizes), mixing.Mix(repetition=None))
+
+
+def test_many_sources_need_no_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mixture(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixture(docs).collect()), key=str) == want
+
+
+def test_mixing_carries_columns_of_any_name(spark, docs):
+    rows = docs.limit(30).withColumns({c: F.lit(c) for c in ("_times", "times", "own", "time", "of", "doc", "Tokens", "x.y")})
+    got = mixing.mixed_documents(rows)
+    assert got.columns == rows.columns and got.where("own = 'own'").count() >= 30
 
 
 def test_mixing_edges(odd):
@@ -344,6 +358,19 @@ def test_successor_covers_every_row(spark, odd):
     assert fingerprints.fingerprints(odd.limit(0)).count() == 0
 
 
+def test_a_hot_doc_id_is_dealt_into_several_ranges(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = fingerprints.with_successor(rows, 16).toPandas()
+    own = got[got["guest"] == 0]
+    sizes = own.groupby("bucket").size()
+    assert len(own) == 3000 and sizes.max() < 600 and len(got) - len(own) == len(sizes)
+    walk = got.sort_values(["bucket", "rn"])
+    order = walk[walk["guest"] == 0]["text"].tolist()
+    assert own.set_index("text")["next_text"].to_dict() == dict(zip(order, order[1:] + order[:1], strict=True))
+    ids = walk[walk["guest"] == 0]["doc_id"].fillna(-1).tolist()
+    assert ids == sorted(ids)
+
+
 def test_block_tables_find_all(spark):
     draw = np.random.default_rng(2)
     base = draw.integers(-(1 << 63), (1 << 63) - 1, size=(150, 2))
@@ -411,6 +438,14 @@ def test_urls_against_brute_force(spark):
     assert urls.judge(pages.limit(0), listed).count() == 0
 
 
+def test_urls_carry_columns_of_any_name(spark):
+    names = ("own", "found", "canonical", "maybe", "_block", "bloom_block", "listed", "Host", "VERDICT", "x.y")
+    pages = spark.createDataFrame([("http://a.de/x",)], "url string").withColumns({c: F.lit(c) for c in names})
+    got = urls.judge(pages, pages.select(F.lit("a.de/x").alias("url")))
+    assert got.columns == ["url", *(c for c in names if c not in ("Host", "VERDICT")), *urls.RESULTS]
+    assert got.first()["verdict"] == "block" and got.first()["bloom_block"] == "bloom_block"
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"))
     blocks = urls.blocks_for(5000)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ALPHABET = "ACDEFGHIKLMNPQRSTVWYBXZUO-"
 LABELS = "01-"
 LOW_COMPLEXITY = "PGSEDKRNQ"
+#: White space of any script.
+BLANK = "[\\s\\x1C-\\x1F\\x85\\p{Z}]"
 
 
 def normalize(sequence: Column) -> Column:
@@ -27,8 +29,9 @@ def bad_symbols(text: Column, alphabet: str) -> Column:
 
 
 def safe_key(name: Column) -> Column:
-    """A name fit for storage: slashes, then runs of anything but word characters, dots and hyphens, become one underscore each."""
-    flat = F.regexp_replace(F.regexp_replace(name, "[/\\\\]", "_"), "[^\\w.\\-]+", "_")
+    """A name fit for storage: blanks at the ends go, slashes become underscores, and runs of anything but letters and
+    numbers of any script, underscores, dots and hyphens become one underscore each."""
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, f"^{BLANK}+|{BLANK}+$", ""), "[/\\\\]", "_"), "[^\\p{L}\\p{N}_.\\-]+", "_")
     return F.when(flat == "", "empty_id").otherwise(flat)
 
 

@@ -53,6 +53,19 @@ def with_positive(records: DataFrame) -> DataFrame:
     return records.where(F.contains("labels", F.lit("1")))
 
 
+def with_positive_report(records: DataFrame) -> DataFrame:
+    """stage (before, after), records, pos, neg, masked of with_positive; that nothing is left is an error."""
+    n, labels = F.length("labels"), F.col("labels")
+    count = lambda mark: n - F.length(F.replace(labels, F.lit(mark), F.lit("")))
+    keeps = F.contains("labels", F.lit("1"))
+    stages = F.explode(F.array_compact(F.array(F.lit("before"), F.when(keeps, F.lit("after")))))
+    rows = records.select(stages.alias("stage"), *(count(m).cast("long").alias(c) for c, m in (("pos", "1"), ("neg", "0"), ("masked", "-"))))
+    out = rows.groupBy("stage").agg(F.count("*").alias("records"), *(F.sum(c).alias(c) for c in ("pos", "neg", "masked")))
+    if records.where(keeps).isEmpty():
+        raise ValueError("no sequence has a positive label")
+    return out
+
+
 def removed_sample(records: DataFrame, limit: int = 50) -> DataFrame:
     """The first ids, in order, that with_positive removes: a report."""
     return records.where(~F.contains("labels", F.lit("1"))).select("protein_id").orderBy("protein_id").limit(limit)

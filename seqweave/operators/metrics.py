@@ -1,6 +1,7 @@
 """Ranking and threshold metrics of scored positions, per group of columns ``by``.
 
-Inputs have label (1, 0; null is masked and never scored) and score. Rows with a null score are not scored.
+Inputs have label (1, 0; null is masked and never scored) and score. Rows with a null score are not scored. A null in
+a column of ``by`` is a group of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import ratio
 from seqweave.functions.shared import written
-from seqweave.operators.rank import running
+from seqweave.operators.rank import group_join, running
 
 GRID = (0.05, 0.95, 0.05)
 
@@ -79,8 +80,7 @@ def auroc(df: DataFrame, by: list[str]) -> DataFrame:
 def average_precision(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """average_precision: mean of tp / rank over the positives by falling score, ties in the given input order; 0 without positives.
 
-    Each range of scores is one window; a large group of ties should be split by making order's first column part of
-    the score, which is why order must be a total order.
+    Each range of (score, order) is one window, so ties are dealt out, too; order must be a total order.
     """
     rows = scored(df).where(F.col("score").isNotNull()).withColumns({"_key": -F.col("score"), "one": F.lit(1)})
     ranked = running(rows.select(*by, "_key", *order, "label", "one"), by, "_key", ["one", "label"], order)
@@ -94,7 +94,7 @@ def pr_auc(df: DataFrame, by: list[str]) -> DataFrame:
     total = rows.groupBy(*by).agg(F.sum("pos").alias("p"))
     before_n, before_pos = F.col("cum_n") - F.col("n"), F.col("cum_pos") - F.col("pos")
     precision, earlier = F.col("cum_pos") / F.col("cum_n"), F.when(before_n > 0, F.try_divide(before_pos.cast("double"), before_n.cast("double"))).otherwise(1.0)
-    area = rows.join(F.broadcast(total), by) if by else rows.crossJoin(F.broadcast(total))
+    area = group_join(rows, total, by, how="inner")
     area = area.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos").cast("double"), F.col("p").cast("double")) * (precision + earlier) / 2).alias("pr_auc"), F.max("p").alias("p"))
     return area.select(*by, F.when(F.col("p") > 0, F.col("pr_auc")).otherwise(float("nan")).alias("pr_auc"))
 
@@ -142,7 +142,8 @@ def best_threshold(df: DataFrame, by: list[str], grid: tuple[float, float, float
 def evaluation_summary(df: DataFrame, by: list[str], order: list[str], threshold: float | None = None) -> DataFrame:
     """records, residues, average_precision, auroc, threshold, f1, mcc of every group, from one pass over the input.
 
-    Without a threshold the sweep chooses it and gives F1 and MCC; with one, they are computed at it.
+    Without a threshold the sweep chooses it and gives F1 and MCC; with one, they are computed at it. A null group is
+    a group like any other. A group without any scored position has average precision, F1 and MCC 0 and threshold 0.5.
     """
     df = written(df.select(*dict.fromkeys([*by, "protein_id", *order, "label", "score"])), "scored-positions")
     base = df.groupBy(*by).agg(F.countDistinct("protein_id").alias("records"), F.count_if(F.col("label").isin(0, 1)).alias("residues"))
@@ -151,5 +152,5 @@ def evaluation_summary(df: DataFrame, by: list[str], order: list[str], threshold
     else:
         c = confusion(df, by, threshold)
         cut = c.select(*by, F.lit(threshold).alias("threshold"), f1_of(c.tp, c.fp, c.fn).alias("f1"), mcc_of(c.tp, c.fp, c.fn, c.tn).alias("mcc"))
-    out = base.join(average_precision(df, by, order), by, "left").join(auroc(df, by), by, "left").join(cut, by, "left")
+    out = group_join(group_join(group_join(base, average_precision(df, by, order), by), auroc(df, by), by), cut, by)
     return out.withColumns({"threshold": F.coalesce("threshold", F.lit(0.5)), "f1": F.coalesce("f1", F.lit(0.0)), "mcc": F.coalesce("mcc", F.lit(0.0)), "average_precision": F.coalesce("average_precision", F.lit(0.0))})

@@ -67,13 +67,30 @@ def exclusion_counts(ids: DataFrame, error: DataFrame, holdout: DataFrame) -> Da
     return counted.unionByName(missing)
 
 
-def resolve_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """split, listed, missing, sample (ten ids, in order): whether a manifest (protein_id, split) still fits the records."""
+def resolve_manifest(records: DataFrame, manifest: DataFrame, sample: int = 10) -> DataFrame:
+    """split, listed, missing, sample (of the missing ids the first ones, in order): whether a manifest (protein_id,
+    split) still fits the records. The samples are taken in each task first, so no task sees all missing ids."""
     has = records.select("protein_id").distinct().withColumn("has", F.lit(True))
-    joined = manifest.join(has, "protein_id", "left")
-    lost = F.when(F.col("has").isNull(), F.col("protein_id"))
-    first = joined.withColumn("lost", lost).withColumn("nth", F.row_number().over(Window.partitionBy("split", F.col("lost").isNull()).orderBy("lost")))
-    return first.groupBy("split").agg(F.count("*").alias("listed"), F.count("lost").alias("missing"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 10, F.col("lost")))).alias("sample"))
+    joined = manifest.join(has, "protein_id", "left").withColumn("lost", F.when(F.col("has").isNull(), F.col("protein_id")))
+    counts = joined.groupBy("split").agg(F.count("*").alias("listed"), F.count("lost").alias("missing"))
+    parts = joined.where("lost is not null").withColumn("part", F.pmod(F.xxhash64("lost"), F.lit(256)))
+    nth = lambda *by: F.row_number().over(Window.partitionBy("split", *by).orderBy("lost"))
+    few = parts.select("split", "part", "lost", nth("part").alias("nth")).where(F.col("nth") <= sample).select("split", "lost", nth().alias("nth")).where(F.col("nth") <= sample)
+    samples = few.groupBy("split").agg(F.array_sort(F.collect_list("lost")).alias("sample"))
+    none = F.array().cast("array<string>")
+    return counts.join(samples, "split", "left").select("split", "listed", "missing", F.coalesce("sample", none).alias("sample"))
+
+
+def use_or_rebuild(records: DataFrame, manifest: DataFrame | None, error: DataFrame, holdout: DataFrame, ratio: float = 0.2, seed: int = 42, rebuild: bool = True) -> tuple[DataFrame, str, DataFrame | None]:
+    """(protein_id, split; "used" or "rebuilt"; resolve_manifest's report): the manifest if every id it lists has a
+    record, else a new seeded split, or an error where rebuild is False. No manifest: as if it didn't fit."""
+    report = None if manifest is None else resolve_manifest(records, manifest)
+    if report is not None and report.where("missing > 0").isEmpty():
+        return manifest.select("protein_id", "split"), "used", report
+    if not rebuild:
+        lost = "there is none" if report is None else ", ".join(f"{r['split']}: {r['missing']} ids without a record" for r in report.where("missing > 0").orderBy("split").collect())
+        raise ValueError(f"the split manifest doesn't fit the records ({lost})")
+    return seeded_split(records.select("protein_id"), error, holdout, ratio, seed), "rebuilt", report
 
 
 def leaked(split: DataFrame, holdout: DataFrame) -> DataFrame:

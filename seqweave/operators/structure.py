@@ -109,3 +109,23 @@ def comparison_totals(rows: DataFrame) -> DataFrame:
     counts = rows.rollup("protein_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("tp", "fp", "fn", "tn", "unknown", "unmapped")))
     out = counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def manifest(choices: DataFrame, totals: DataFrame) -> DataFrame:
+    """A row for each sequence: where its structure comes from, how much of it is mapped, and how the labels compare.
+
+    choices: protein_id, uniprot, source_type, structure_id, chain, mapped_count, coverage, fallback_reason.
+    totals: comparison_totals; a sequence without any has zeros.
+    """
+    counts, ratios = ("tp", "fp", "fn", "tn", "unknown"), ("precision", "recall", "f1")
+    rows = choices.join(totals.where("protein_id is not null").select("protein_id", *counts, *ratios), "protein_id", "left")
+    named = ("protein_id", "uniprot", "source_type", "structure_id", "chain", "mapped_count", "coverage", "fallback_reason")
+    return rows.select(*named, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ratios))
+
+
+def manifest_summary(rows: DataFrame) -> DataFrame:
+    """One row over a manifest: sequences by source, those with a structure, and the counts and ratios in total."""
+    by = {"num_rcsb": "RCSB", "num_alphafold": "AlphaFold", "num_failed": "Failed"}
+    sums = rows.agg(F.count("*").alias("num_total"), *(F.count_if(F.col("source_type") == v).alias(k) for k, v in by.items()), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn", "unknown")))
+    out = sums.withColumn("num_success", F.col("num_total") - F.col("num_failed")).withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

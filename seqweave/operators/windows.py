@@ -10,8 +10,9 @@ from seqweave.functions.expressions import low_complexity
 
 def sliding_starts(length: Column, width: int, stride: int) -> Column:
     """0, stride, .. and a last window that ends with the sequence; [0] if one window covers it."""
-    last = length - width
-    return F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.array_append(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(max(1, stride))), last))))
+    last, step = length - width, max(1, stride)
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))  # in order; the last window is missing unless the stride meets it
+    return F.when(last <= 0, F.array(F.lit(0))).when(last % step == 0, starts).otherwise(F.array_append(starts, last))
 
 
 def tumbling_starts(length: Column, width: int) -> Column:

@@ -139,3 +139,40 @@ FROM (SELECT split, count(DISTINCT protein_id) AS records, count(*) FILTER (labe
 JOIN ap ON ap.split = e.split JOIN au ON au.split = e.split JOIN best ON best.split = e.split""")
 def a10(spark, sf):
     return rounded(metrics.evaluation_summary(event_residues(spark, sf), ["split"], ["protein_id", "position"]), "average_precision", "auroc", "f1", "mcc")
+
+
+NULLABLE = EVENT_RESIDUES + """, evn AS (SELECT protein_id, position, label, CASE WHEN score < 0.6 THEN 0.3::DOUBLE ELSE score END AS score,
+  CASE WHEN protein_id::BIGINT % 5 = 1 THEN 'none' ELSE split END AS split FROM ev)"""
+EVN, RECN, NAMED = "WITH " + NULLABLE, "WITH RECURSIVE " + NULLABLE, "nullif({}.split, 'none') AS split"
+
+
+def _nullable(spark, sf):
+    """Event positions where a fifth of the sequences is in no split, and most positions have the same score."""
+    rows = event_residues(spark, sf)
+    split = F.when(F.col("protein_id").cast("long") % 5 != 1, F.col("split"))
+    return rows.withColumns({"split": split, "score": F.when(F.col("score") < 0.6, 0.3).otherwise(F.col("score"))})
+
+
+@query("a5_auroc_null_group", f"{EVN}, {AUROC.format(by='split', rows='evn')} SELECT {NAMED.format('r')}, round(sum(pos * (below + neg / 2.0))::DOUBLE / nullif(sum(pos)::DOUBLE * sum(neg), 0), 9) AS auroc FROM r GROUP BY r.split")
+def a5_null(spark, sf):
+    return rounded(metrics.auroc(_nullable(spark, sf), ["split"]), "auroc")
+
+
+@query("a6_average_precision_null_group", f"{EVN}, {AP.format(by='split', rows='evn', order='protein_id, position')} SELECT {NAMED.format('ap')}, round(average_precision, 9) AS average_precision FROM ap")
+def a6_null(spark, sf):
+    return rounded(metrics.average_precision(_nullable(spark, sf), ["split"], ["protein_id", "position"]), "average_precision")
+
+
+@query("a7_pr_auc_null_group", f"""{EVN}, {PR.format(by='split', rows='evn')}
+SELECT {NAMED.format('c')}, round(sum(pos::DOUBLE / p * (cp::DOUBLE / cn + CASE WHEN cn > n THEN (cp - pos)::DOUBLE / (cn - n) ELSE 1.0 END) / 2), 9) AS pr_auc FROM c GROUP BY c.split""")
+def a7_null(spark, sf):
+    return rounded(metrics.pr_auc(_nullable(spark, sf), ["split"]), "pr_auc")
+
+
+@query("a10_evaluation_summary_null_group", f"""{RECN}, {SWEEP.replace('FROM ev, grid', 'FROM evn, grid')}, {AP.format(by='split', rows='evn', order='protein_id, position')}, {AUROC.format(by='split', rows='evn')},
+au AS (SELECT split, sum(pos * (below + neg / 2.0))::DOUBLE / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auroc FROM r GROUP BY split)
+SELECT {NAMED.format('e')}, records, residues, round(average_precision, 9) AS average_precision, round(auroc, 9) AS auroc, threshold, round(f1, 9) AS f1, round(mcc, 9) AS mcc
+FROM (SELECT split, count(DISTINCT protein_id) AS records, count(*) FILTER (label IN (0, 1)) AS residues FROM evn GROUP BY split) e
+JOIN ap ON ap.split = e.split JOIN au ON au.split = e.split JOIN best ON best.split = e.split""")
+def a10_null(spark, sf):
+    return rounded(metrics.evaluation_summary(_nullable(spark, sf), ["split"], ["protein_id", "position"]), "average_precision", "auroc", "f1", "mcc")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import safe_key, sanitize
-from seqweave.functions.shared import shared_folder
-from seqweave.operators import splits, windows
+from seqweave.functions.shared import shared_folder, written
+from seqweave.operators import metrics, splits, windows
 from seqweave.plans.registry import query
 from seqweave.sources import scans, sinks, structures
 from seqweave.sources.adapters import EMBEDDING_POSITIONS, EVENT_RESIDUES, EVENT_SEQUENCES, embedding_positions, event_residues, event_sequences, table
@@ -84,15 +89,82 @@ def k5(spark, sf):
 @query("s5_text_features", f"WITH {EMBEDDING_POSITIONS} SELECT protein_id, position, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 2) AS total FROM em")
 def s5(spark, sf):
     path = shared_folder(spark, "text-features")
-    rows = embedding_positions(spark, sf)
-    line = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
-    files = rows.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("at"))
-    files.select("protein_id", F.array_join("at.line", "\n").alias("value")).repartition("protein_id").write.partitionBy("protein_id").option("lineSep", "\n").text(path)
-    whole = spark.read.text(path).select(F.col("protein_id").cast("string").alias("protein_id"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ix"), F.transform(F.split("value", "\\s+"), lambda x: x.cast("double")).alias("v"))
-    from pyspark.sql import Window
-
-    position = F.row_number().over(Window.partitionBy("protein_id").orderBy("file", "ix"))
-    return whole.select("protein_id", position.alias("position"), F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    sinks.text_features(embedding_positions(spark, sf), path)
+    rows = scans.text_feature_folders(spark, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("protein_id", "position", F.size("embedding").alias("width"), F.round(total, 2).alias("total"))
+
+
+@query("s5b_feature_manifest", f"WITH {EMBEDDING_POSITIONS} SELECT protein_id, max(len(embedding))::BIGINT AS hidden_size, count(*) AS length FROM em GROUP BY protein_id")
+def s5b(spark, sf):
+    path = shared_folder(spark, "feature-manifests")
+    rows = embedding_positions(spark, sf).groupBy("protein_id").agg(F.max(F.size("embedding")).alias("hidden_size"), F.count("*").alias("length"))
+    rows.write.json(path)
+    return scans.feature_manifest(spark, path, multi_line=False).select("protein_id", "hidden_size", "length")
+
+
+@query("s6_array_features", f"WITH {EMBEDDING_POSITIONS} SELECT protein_id, position, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM em")
+def s6(spark, sf):
+    """The vectors as NumPy files of 25 rows, kept in a table of (name, content)."""
+
+    @F.pandas_udf("binary")
+    def saved(matrices: pd.Series) -> pd.Series:
+        def one(rows) -> bytes:
+            held = io.BytesIO()
+            np.save(held, np.stack([np.asarray(r["embedding"], dtype=np.float32) for r in rows]))
+            return held.getvalue()
+
+        return matrices.map(one)
+
+    matrices = embedding_positions(spark, sf).groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("position", "embedding"))).alias("rows"))
+    files = written(matrices.select(F.concat("protein_id", F.lit(".npy")).alias("name"), saved("rows").alias("content")), "arrays")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return scans.array_rows(files).select("protein_id", "position", F.size("embedding").alias("width"), F.round(total, 4).alias("total"))
+
+
+KINDS = """kd AS (SELECT DISTINCT p_brand, p_type FROM part), ml AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS i FROM kd)"""
+
+
+@query("s7_motif_library", f"""WITH {KINDS} SELECT p_brand AS library, i::INT AS motif_order, CASE WHEN i % 2 = 0 THEN p_type ELSE 'M' || (i + 1) END AS id, CASE WHEN i % 3 = 0 THEN 'prosite' ELSE 'regex' END AS kind,
+  CASE WHEN i % 3 = 0 THEN 'A-x(' || (i + 1) || ')' ELSE 'A.' END AS pattern, p_brand || '/' || i AS token FROM ml""")
+def s7(spark, sf):
+    """Part types as one motif library a brand; a library holds no more motifs than there are types."""
+    kinds = table(spark, sf, "part").select("p_brand", "p_type").distinct()
+    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type")) - 1
+    prosite = F.col("i") % 3 == 0
+    motif = F.struct(
+        "i", F.when(F.col("i") % 2 == 0, F.col("p_type")).alias("id"), F.when(prosite, "PROSITE").alias("kind"), F.when(prosite, F.concat(F.lit(" A-x("), F.col("i") + 1, F.lit(") "))).alias("pa"),
+        F.lit("A.").alias("pattern"), F.concat_ws("/", "p_brand", "i").alias("token"),
+    )
+    path = shared_folder(spark, "motifs")
+    kinds.withColumn("i", i).groupBy("p_brand").agg(F.array_sort(F.collect_list(motif)).alias("motifs")).repartition("p_brand").write.partitionBy("p_brand").json(path)
+    library = F.split(F.element_at(F.split("token", "/"), 1), "/")[0]
+    return scans.motif_json(spark, path).select(library.alias("library"), "motif_order", "id", "kind", "pattern", "token")
+
+
+@query("s8_prosite_flat", """SELECT 'P' || p_partkey || '_SITE' AS id, 'PS' || p_partkey AS ac, p_name || ' ' || p_type AS de, 'A-x(' || p_size || ')-C' AS pa, '<PROSITE:PS' || p_partkey || '>' AS token FROM part WHERE p_partkey % 3 <> 0""")
+def s8(spark, sf):
+    """Parts as records of a flat file; every third is no pattern."""
+    key = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_partkey") % 3 != 0, "PATTERN").otherwise("MATRIX")
+    lines = (F.concat(F.lit("ID   P"), key, F.lit("_SITE; "), kind, F.lit(".")), F.concat(F.lit("AC   PS"), key, F.lit(";")), F.concat(F.lit("DE   "), "p_name"), F.concat(F.lit("DE   "), "p_type", F.lit(".")), F.concat(F.lit("PA   A-x("), "p_size", F.lit(")")), F.lit("PA   -C."))
+    path = shared_folder(spark, "flat")
+    table(spark, sf, "part").select(F.concat_ws("\n", *lines).alias("value")).write.option("lineSep", "\n//\n").text(path)
+    return scans.prosite_flat(spark, path).select("id", "ac", "de", "pa", "token")
+
+
+@query("x5_cross_references", """WITH r AS (SELECT DISTINCT l_orderkey, 'S' || l_suppkey AS id FROM lineitem WHERE l_linenumber % 2 = 1)
+SELECT l_orderkey::VARCHAR AS protein_id, array_to_string(list_sort(list(id)), ',') AS ids FROM r GROUP BY l_orderkey""")
+def x5(spark, sf):
+    """Orders as annotations: a region for each line, with a reference to the structure bank in the odd ones."""
+    ref = F.struct(F.when(F.col("l_linenumber") % 2 == 1, "pdb").otherwise("GO").alias("db"), F.concat(F.lit(" s"), "l_suppkey").alias("id"))
+    region = F.struct(F.array(ref).alias("cross_refs"))
+    key = F.col("l_orderkey").cast("string")
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(region).alias("regions"))
+    path = shared_folder(spark, "annotations")
+    rows.select(F.when(F.col("l_orderkey") % 2 == 0, key).alias("acc"), F.when(F.col("l_orderkey") % 2 == 1, key).alias("accession"), "regions").write.json(path)
+    found = structures.cross_references(spark, path, multi_line=False)
+    return found.where(F.size("structure_ids") > 0).select("protein_id", F.array_join("structure_ids", ",").alias("ids"))
 
 
 @query("k6_split_manifest", """WITH o AS (SELECT doc_id::VARCHAR AS protein_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id::VARCHAR) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents))
@@ -100,8 +172,18 @@ SELECT protein_id, CASE WHEN i <= least(greatest(1, round_even(n * 0.2, 0)), n -
 def k6(spark, sf):
     ids = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("protein_id"))
     none = ids.limit(0)
+    path = shared_folder(spark, "split")
+    sinks.split_table(splits.seeded_split(ids, none, none), path)
+    return scans.split_table(spark, path)
+
+
+@query("s10_split_manifest", """WITH d AS (SELECT DISTINCT p_brand || ' ' || p_type AS protein_id FROM part), o AS (SELECT protein_id, row_number() OVER (ORDER BY md5(protein_id || ':42'), protein_id) AS i, count(*) OVER () AS n FROM d)
+SELECT protein_id, CASE WHEN i <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) THEN 'val' ELSE 'train' END AS split FROM o""")
+def s10(spark, sf):
+    """The one-object manifest, of ids whose number doesn't grow with the table: kinds of parts."""
+    ids = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("protein_id")).distinct()
     path = shared_folder(spark, "manifest")
-    sinks.split_manifest(splits.seeded_split(ids, none, none), path, 42, 0.2)
+    sinks.split_manifest(splits.seeded_split(ids, ids.limit(0), ids.limit(0)), path, 42, 0.2)
     return scans.split_manifest(spark, path)
 
 
@@ -113,11 +195,18 @@ def k7(spark, sf):
     return spark.read.schema("chunk_id string, start long, length long").json(path)
 
 
-@query("k8_metrics_json", f"{EV} SELECT split, count(*) AS n FROM ev GROUP BY split")
+METRICS = """c AS (SELECT split, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM ev GROUP BY split),
+x AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall FROM c)"""
+
+
+@query("k8_metrics_json", f"""{EV}, {METRICS} SELECT split, 0.5::DOUBLE AS threshold, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 9) AS f1, tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, tn::DOUBLE AS tn FROM x""")
 def k8(spark, sf):
     path = shared_folder(spark, "metrics")
-    sinks.metrics_json(event_residues(spark, sf).groupBy("split").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("split string, n long").json(path)
+    sinks.metrics_json(metrics.threshold_report(event_residues(spark, sf), ["split"]), path)
+    ratios, counts = ("accuracy", "precision", "recall", "f1"), ("tp", "fp", "fn", "tn")
+    rows = spark.read.schema("split string, threshold double, " + ", ".join(f"{c} double" for c in (*ratios, *counts))).json(path)
+    return rows.select("split", "threshold", *(F.round(c, 9).alias(c) for c in ratios), *counts)
 
 
 @query("s13_run_history", f"{EV} SELECT protein_id AS run, position::BIGINT AS step, score AS auroc FROM ev")
@@ -125,34 +214,64 @@ def s13(spark, sf):
     path = shared_folder(spark, "history")
     rows = event_residues(spark, sf).groupBy("protein_id").agg(F.collect_list(F.struct(F.col("protein_id").alias("run"), F.col("position").alias("step"), F.col("score").alias("auroc"))).alias("eval_history"))
     rows.select("eval_history").write.json(path)
-    return spark.read.schema("eval_history array<struct<run:string,step:long,auroc:double>>").json(path).select(F.inline("eval_history"))
+    return scans.run_history(spark, path, "eval_history", "run string, step long, auroc double", multi_line=False)
+
+
+#: Residues of a structure text: its columns hold residue numbers of four digits.
+MOST = 9_999
 
 
 def _atoms(spark, sf):
-    """The event sequences as structure text, two atoms to a residue, and its atom lines."""
+    """The event sequences as structure text, and its lines.
+
+    A structure has at most MOST residues of a sequence (structure_id is the sequence and the number of the part), two
+    atoms to each, with an alternate location and a water line. Sequences with an even number have MODEL lines and a
+    second model; in the others an ENDMDL line ends nothing, and codes are in lower case.
+    """
     name = F.create_map(*(F.lit(x) for pair in (("S", "SER"), ("E", "GLU"), ("C", "CYS"), ("V", "VAL"), ("P", "PRO")) for x in pair))
-    rows = event_residues(spark, sf).select("protein_id", "position", name[F.col("symbol")].alias("code"), F.explode(F.array(F.lit("CA"), F.lit("CB"))).alias("atom"))
-    line = F.format_string("ATOM  %5d  %s  %s A%4d      11.000  12.000  13.000  1.00 20.00           C  ", "position", "atom", "code", "position")
-    texts = rows.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("position", "atom", line.alias("line")))).alias("lines"))
-    return structures.atom_lines(texts.select(F.col("protein_id").alias("structure_id"), F.concat(F.array_join("lines.line", "\n"), F.lit("\nENDMDL\n"), F.element_at("lines.line", -1)).alias("text")))
+    rows = event_residues(spark, sf).select("protein_id", ((F.col("position") - 1) % MOST + 1).cast("int").alias("n"), F.expr(f"(position - 1) div {MOST}").alias("part"), name[F.col("symbol")].alias("code"))
+    models = F.col("protein_id").cast("long") % 2 == 0
+    code = F.when(models, F.col("code")).otherwise(F.lower("code"))
+
+    def line(kind: str, atom: str, alternate: str, residue) -> F.Column:
+        return F.format_string(f"{kind}%5d  {atom} {alternate}%s A%4d      11.000  12.000  13.000  1.00 20.00", "n", residue, "n")
+
+    lines = F.array(line("ATOM  ", "CA", " ", code), line("ATOM  ", "CB", " ", code), line("ATOM  ", "CB", "B", code), line("HETATM", " O", " ", F.lit("HOH")))
+    texts = rows.groupBy("protein_id", "part").agg(F.array_sort(F.collect_list(F.struct("n", F.array_join(lines, "\n").alias("lines")))).alias("at"))
+    body = F.array_join("at.lines", "\n")
+    whole = F.when(models, F.concat(F.lit("MODEL        1\n"), body, F.lit("\nENDMDL\nMODEL        2\n"), body, F.lit("\nENDMDL\n"))).otherwise(F.concat(F.lit("HEADER\nENDMDL\n"), body, F.lit("\nEND\n")))
+    return structures.atom_lines(texts.select(F.concat_ws(".", "protein_id", "part").alias("structure_id"), whole.alias("text")))
 
 
-@query("s11_structure_scan", f"{EV} SELECT protein_id AS structure_id, 'A' AS chain, position AS subject_pos, position AS resseq, symbol FROM ev")
+def _place(structure: str, number: str) -> tuple[F.Column, F.Column]:
+    """(protein_id, position) again."""
+    parts = F.split(structure, "\\.")
+    return parts[0], (parts[1].cast("int") * MOST + F.col(number)).cast("int")
+
+
+@query("s11_structure_scan", f"{EV} SELECT protein_id, 'A' AS chain, position AS subject_pos, position AS residue, symbol FROM ev")
 def s11(spark, sf):
-    return structures.chain_residues(_atoms(spark, sf)).select("structure_id", "chain", "subject_pos", "resseq", "symbol")
+    rows = structures.chain_residues(_atoms(spark, sf))
+    protein, position = _place("structure_id", "subject_pos")
+    return rows.select(protein.alias("protein_id"), "chain", position.alias("subject_pos"), _place("structure_id", "resseq")[1].alias("residue"), "symbol")
 
 
-@query("k10_annotated_structure", f"{EV} SELECT protein_id AS structure_id, position, printf('%6.2f', CASE WHEN position % 3 = 0 THEN -1.0 ELSE score END) AS b, 2::BIGINT AS atoms FROM ev")
+@query("k10_annotated_structure", f"""{EV}, k AS (SELECT ev.*, CASE WHEN position % 3 = 0 THEN -1.0 ELSE score END AS b, CASE WHEN protein_id::BIGINT % 2 = 0 THEN 2 ELSE 1 END AS models FROM ev),
+l AS (SELECT protein_id, position, 'residue' AS kind, printf('%6.2f', b) AS b, 80::INT AS width, 2::BIGINT AS n FROM k UNION ALL
+  SELECT protein_id, position, 'other', ' 20.00', 66, 2 * models FROM k UNION ALL SELECT protein_id, position, 'other', ' 20.00', 66, 2 FROM k WHERE models = 2)
+SELECT protein_id, position, kind, b, width, sum(n)::BIGINT AS n FROM l GROUP BY ALL""")
 def k10(spark, sf):
-    scores = event_residues(spark, sf).where("position % 3 <> 0").select(F.col("protein_id").alias("structure_id"), F.lit("A").alias("chain"), F.col("position").alias("resseq"), F.lit("").alias("icode"), "score")
+    """Lines of residues have their score and 80 columns; alternates, water and the second model stay as they are."""
+    atoms = _atoms(spark, sf)
+    part = F.expr(f"(position - 1) div {MOST}").cast("string")
+    scores = event_residues(spark, sf).where("position % 3 <> 0").select(F.concat_ws(".", "protein_id", part).alias("structure_id"), F.lit("A").alias("chain"), ((F.col("position") - 1) % MOST + 1).cast("int").alias("resseq"), F.lit("").alias("icode"), "score")
     path = shared_folder(spark, "annotated")
-    sinks.annotated_structures(structures.annotated_lines(_atoms(spark, sf), scores), path)
-    lines = spark.read.text(path).select(F.col("name").cast("string").alias("structure_id"), "value").where("value like 'ATOM%'")
-    rows = lines.select("structure_id", F.trim(F.substring("value", 23, 4)).cast("int").alias("position"), F.substring("value", 61, 6).alias("b"), F.substring("value", 14, 2).alias("atom"))
-    last = rows.groupBy("structure_id").agg(F.max("position").alias("last"))
-    # the line behind ENDMDL repeats the last atom and belongs to another model, so it keeps its old value
-    rows = rows.join(last, "structure_id").where((F.col("position") != F.col("last")) | (F.col("b") != " 20.00"))
-    return rows.groupBy("structure_id", "position", "b").agg(F.count("*").alias("atoms"))
+    sinks.annotated_structures(structures.annotated_lines(atoms, scores), path)
+    lines = spark.read.text(path).select(F.col("name").cast("string").alias("structure_id"), "value").where("value like 'ATOM%' or value like 'HETATM%'")
+    lines = lines.select("structure_id", F.trim(F.substring("value", 23, 4)).cast("int").alias("number"), F.substring("value", 61, 6).alias("b"), F.length("value").alias("width"))
+    protein, position = _place("structure_id", "number")
+    rows = lines.select(protein.alias("protein_id"), position.alias("position"), F.when(F.col("width") == 80, "residue").otherwise("other").alias("kind"), "b", "width")
+    return rows.groupBy("protein_id", "position", "kind", "b", "width").agg(F.count("*").alias("n"))
 
 
 @query("s6b_source_resolution", f"""{ES}, n AS (SELECT protein_id, protein_id::BIGINT AS i FROM es)
@@ -162,10 +281,3 @@ def s6b(spark, sf):
     n = F.col("protein_id").cast("long")
     names = ids.where(n % 2 == 0).select(F.concat("protein_id", F.lit(".npy")).alias("name")).unionByName(ids.where(n % 3 == 0).select(F.concat("protein_id", F.lit(".resfeat.txt")).alias("name")))
     return scans.resolve_sources(ids, names.withColumn("path", F.concat(F.lit("/f/"), "name")))
-
-
-@query("k9_structure_manifest", f"{ES} SELECT protein_id, length(sequence)::INT AS length FROM es")
-def k9(spark, sf):
-    path = shared_folder(spark, "structures")
-    sinks.structure_manifest(event_sequences(spark, sf).select("protein_id", F.length("sequence").alias("length")), path)
-    return spark.read.schema("protein_id string, length int").option("sep", "\t").option("header", True).csv(path)

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.shared import shared_folder
 from seqweave.operators import history, joins, losses, scoring, splits, structure, windows
 from seqweave.plans.registry import query
+from seqweave.sources import sinks
 from seqweave.sources.adapters import EMBEDDING_POSITIONS, EVENT_RESIDUES, EVENT_SEQUENCES, LINEITEM_PREDICTIONS, embedding_positions, event_residues, event_sequences, lineitem_predictions
 from seqweave.sources.scans import contiguous_last
 
@@ -217,8 +219,20 @@ def _cases(spark, sf):
     return structure.compared(mapped, positions)
 
 
-@query("j12_alignment_map", f"{CASES} SELECT protein_id, status, count(*) AS n FROM cs GROUP BY ALL")
+@query("j12_alignment_map", f"""{ES}, {FALLBACK}, r AS (SELECT protein_id || '/' || chain AS pair_id, protein_id, subject_pos FROM ch)
+SELECT r.pair_id, r.protein_id, r.subject_pos, f.query_pos, score FROM r LEFT JOIN fb f ON f.protein_id = r.protein_id AND f.chain = 'A' AND r.pair_id = f.protein_id || '/A' AND f.subject_pos = r.subject_pos AND f.same
+LEFT JOIN ev e ON e.protein_id = r.protein_id AND e.position = f.query_pos""")
 def j12(spark, sf):
+    """Every residue of both chains, with the score of the position aligned to it; only equal symbols are aligned."""
+    chains = _chains(spark, sf)
+    pair = F.concat_ws("/", "protein_id", "chain").alias("pair_id")
+    alignment = structure.positional_fallback(event_sequences(spark, sf), chains).where("same").select(pair, "subject_pos", "query_pos")
+    scores = event_residues(spark, sf).select("protein_id", "position", "score")
+    return joins.through_alignment(alignment, chains.select(pair, "protein_id", "subject_pos"), scores).select("pair_id", "protein_id", "subject_pos", "query_pos", "score")
+
+
+@query("a14_status_counts", f"{CASES} SELECT protein_id, status, count(*) AS n FROM cs GROUP BY ALL")
+def a14_status(spark, sf):
     return _cases(spark, sf).groupBy("protein_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -228,3 +242,46 @@ p AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision, coa
 SELECT protein_id, tp, fp, fn, tn, unknown, unmapped, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 9) AS f1 FROM p""")
 def a14(spark, sf):
     return structure.comparison_totals(_cases(spark, sf)).withColumns({n: F.round(n, 9) for n in ("precision", "recall", "f1")})
+
+
+CHOICES = f"""{CASES}, b AS (SELECT protein_id, length(sequence) AS mapped, length(sequence) / 100.0 AS coverage FROM es WHERE protein_id::BIGINT % 3 <> 0), h AS (SELECT DISTINCT protein_id FROM fb),
+ct AS (SELECT protein_id, count(*) FILTER (status = 'tp') AS tp, count(*) FILTER (status = 'fp') AS fp, count(*) FILTER (status = 'fn') AS fn, count(*) FILTER (status = 'tn') AS tn, count(*) FILTER (status = 'unknown') AS unknown FROM cs GROUP BY protein_id),
+mf AS (SELECT e.protein_id, CASE WHEN coverage >= 0.65 THEN 'RCSB' WHEN h.protein_id IS NOT NULL THEN 'AlphaFold' ELSE 'Failed' END AS source_type, coalesce(mapped, 0)::INT AS mapped_count, coalesce(coverage, 0.0)::DOUBLE AS coverage,
+  CASE WHEN coverage IS NULL THEN 'no structure' WHEN coverage < 0.65 THEN 'low coverage' ELSE '' END AS fallback_reason,
+  coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn, coalesce(unknown, 0) AS unknown
+  FROM es e LEFT JOIN b USING (protein_id) LEFT JOIN h ON h.protein_id = e.protein_id LEFT JOIN ct ON ct.protein_id = e.protein_id),
+mr AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall FROM mf)"""
+F1 = "coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0)"
+
+
+def _manifest(spark, sf):
+    rows = event_sequences(spark, sf)
+    best = rows.where(F.col("protein_id").cast("long") % 3 != 0).select("protein_id", F.length("sequence").alias("mapped_count"), (F.length("sequence") / 100.0).alias("coverage"))
+    choice = structure.choose_source(rows, best, structure.positional_fallback(rows, _chains(spark, sf)), 0.65)
+    choices = choice.join(best, "protein_id", "left").select(
+        "protein_id", F.concat(F.lit("U"), "protein_id").alias("uniprot"), F.col("source").alias("source_type"), F.concat(F.lit("S"), "protein_id").alias("structure_id"), F.lit("A").alias("chain"),
+        F.coalesce("mapped_count", F.lit(0)).alias("mapped_count"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("reason").alias("fallback_reason"),
+    )
+    return structure.manifest(choices, structure.comparison_totals(_cases(spark, sf)))
+
+
+@query("k9_structure_manifest", f"""{CHOICES} SELECT protein_id, 'U' || protein_id AS uniprot, source_type, 'S' || protein_id AS structure_id, 'A' AS chain, mapped_count, printf('%.6f', coverage) AS coverage, nullif(fallback_reason, '') AS fallback_reason,
+  tp, fp, fn, tn, unknown, printf('%.6f', precision) AS precision, printf('%.6f', recall) AS recall, printf('%.6f', {F1}) AS f1 FROM mr""")
+def k9(spark, sf):
+    path = shared_folder(spark, "structures")
+    sinks.structure_manifest(_manifest(spark, sf), path)
+    schema = "protein_id string, uniprot string, source_type string, structure_id string, chain string, mapped_count int, coverage string, fallback_reason string, tp long, fp long, fn long, tn long, unknown long, precision string, recall string, f1 string"
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
+
+
+@query("a14_structure_summary", f"""{CHOICES}, t AS (SELECT count(*) AS num_total, count(*) FILTER (source_type = 'RCSB') AS num_rcsb, count(*) FILTER (source_type = 'AlphaFold') AS num_alphafold, count(*) FILTER (source_type = 'Failed') AS num_failed,
+  sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(unknown)::BIGINT AS unknown FROM mr),
+u AS (SELECT *, num_total - num_failed AS num_success, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall FROM t)
+SELECT num_total, num_rcsb, num_alphafold, num_failed, num_success, tp, fp, fn, tn, unknown, round(precision, 9) AS precision, round(recall, 9) AS recall, round({F1}, 9) AS f1 FROM u""")
+def a14_summary(spark, sf):
+    """The summary, written as one JSON object and read again."""
+    path = shared_folder(spark, "summary")
+    sinks.metrics_json(structure.manifest_summary(_manifest(spark, sf)), path)
+    counts = ("num_total", "num_rcsb", "num_alphafold", "num_failed", "num_success", "tp", "fp", "fn", "tn", "unknown")
+    rows = spark.read.schema(", ".join(f"{c} long" for c in counts) + ", precision double, recall double, f1 double").json(path)
+    return rows.select(*counts, *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))

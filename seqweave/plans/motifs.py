@@ -37,9 +37,28 @@ def _encoded(spark, sf):
 
 @query("m1_compiled_matches", f"{ES}, {LIB} SELECT motif_id, count(*) FILTER (regexp_matches(sequence, regex)) AS sequences FROM es, lib GROUP BY motif_id")
 def m1(spark, sf):
-    library = F.broadcast(_library(spark))
-    rows = event_sequences(spark, sf).crossJoin(library)  # every sequence is tried against the small library
-    return rows.groupBy("motif_id").agg(F.count_if(F.rlike("sequence", F.col("regex"))).alias("sequences"))
+    return _hits(event_sequences(spark, sf), _library(spark))
+
+
+def _hits(records, library):
+    """motif_id, sequences: how many sequences each motif of a small library matches."""
+    known = library.select("motif_id", "regex").collect()
+    tried = F.array(*(F.struct(F.lit(r["motif_id"]).alias("motif_id"), F.rlike("sequence", F.lit(r["regex"])).alias("hit")) for r in known))
+    return records.select(F.inline(tried)).groupBy("motif_id").agg(F.count_if("hit").alias("sequences"))
+
+
+#: Patterns in the other notations, and what they mean as regular expressions.
+MODES = (("exact", ("SEC", "S.C", "P-V"), ("SEC", "S\\.C", "P-V")), ("regex", ("S[EC]+V", "(?:PV){2}"), ("S[EC]+V", "(?:PV){2}")), ("degenerate", ("ZXC", "SB", "CX", "JV"), ("[EQ][A-Z]C", "S[DN]", "C[A-Z]", "[IL]V")))
+MODE_LIB = "lib(motif_id, regex) AS (VALUES " + ", ".join(f"('{mode}/M{i + 1}', '{r}')" for mode, _, regexes in MODES for i, r in enumerate(regexes)) + ")"
+
+
+@query("m1_other_notations", f"{ES}, {MODE_LIB} SELECT motif_id, count(*) FILTER (regexp_matches(sequence, regex)) AS sequences FROM es, lib GROUP BY motif_id")
+def m1_other(spark, sf):
+    library = None
+    for mode, patterns, _ in MODES:
+        part = motifs.library(spark, [{"pattern": p} for p in patterns], mode).withColumn("motif_id", F.concat(F.lit(f"{mode}/"), "motif_id"))
+        library = part if library is None else library.unionByName(part)
+    return _hits(event_sequences(spark, sf), library)
 
 
 @query("m2_all_matches", f"{ES}, {FOUND} SELECT * FROM fo")

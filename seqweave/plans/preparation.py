@@ -49,9 +49,14 @@ def p6(spark, sf):
     return clean.to_positions(event_sequences(spark, sf)).select("protein_id", "position", "label")
 
 
-@query("p7_safe_key", r"SELECT page_id, regexp_replace(regexp_replace(url, '[/\\]', '_', 'g'), '[^\w.\-]+', '_', 'g') AS key FROM pages")
+@query("p7_safe_key", r"""WITH n AS (SELECT 'page' AS kind, page_id AS id, url AS name FROM pages UNION ALL SELECT 'document', doc_id, ' ' || substr(text, 1, 40) || chr(160) FROM documents),
+k AS (SELECT kind, id, regexp_replace(regexp_replace(regexp_replace(name, '^[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+$', '', 'g'), '[/\\]', '_', 'g'), '[^\p{L}\p{N}_.\-]+', '_', 'g') AS key FROM n)
+SELECT kind, id, CASE WHEN key = '' THEN 'empty_id' ELSE key END AS key FROM k""")
 def p7(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.safe_key(F.col("url")).alias("key"))
+    """Addresses, and beginnings of texts in several languages between blanks."""
+    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("name"))
+    texts = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit("\u00a0")).alias("name"))
+    return pages.unionByName(texts).select("kind", "id", X.safe_key(F.col("name")).alias("key"))
 
 
 @query("p8_with_positive", f"{ES} SELECT protein_id, sequence, labels FROM es WHERE contains(labels, '1')")
@@ -59,6 +64,12 @@ def p8(spark, sf):
     return clean.with_positive(event_sequences(spark, sf)).select("protein_id", "sequence", "labels")
 
 
+@query("p8_positive_report", f"""{ES}, m AS (SELECT labels, length(labels) - length(replace(labels, '1', '')) AS pos, length(labels) - length(replace(labels, '0', '')) AS neg, length(labels) - length(replace(labels, '-', '')) AS masked FROM es),
+s AS (SELECT 'before' AS stage, * FROM m UNION ALL SELECT 'after', * FROM m WHERE pos > 0) SELECT stage, count(*) AS records, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(masked)::BIGINT AS masked FROM s GROUP BY stage""")
+def p8_report(spark, sf):
+    return clean.with_positive_report(event_sequences(spark, sf))
+
+
 @query("p9_select_records", f"WITH {DOCUMENT_SEQUENCES}, l AS (SELECT DISTINCT doc_id::VARCHAR AS protein_id FROM labels WHERE quality = 1) SELECT protein_id, length(sequence)::INT AS n FROM ds SEMI JOIN l USING (protein_id)")
 def p9(spark, sf):
     wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("protein_id"))
@@ -104,6 +115,23 @@ def j4(spark, sf):
     return splits.resolve_manifest(records, manifest).withColumn("sample", F.array_join("sample", ","))
 
 
+@query("j4_use_or_rebuild", """WITH m AS (SELECT doc_id::VARCHAR AS protein_id, CASE WHEN quality = 1 THEN 'train' ELSE 'val' END AS split FROM labels),
+d AS (SELECT DISTINCT doc_id::VARCHAR AS protein_id FROM documents WHERE doc_id NOT IN (SELECT min(doc_id) FROM labels)),
+o AS (SELECT protein_id, row_number() OVER (ORDER BY md5(protein_id || ':42'), protein_id) AS i, count(*) OVER () AS n FROM d)
+SELECT 'used' AS status, protein_id, split FROM m UNION ALL
+SELECT 'rebuilt', protein_id, CASE WHEN i <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) THEN 'val' ELSE 'train' END FROM o""")
+def j4_use_or_rebuild(spark, sf):
+    """The labels as a manifest of the documents, which fits, and of the documents without one of them, which doesn't."""
+    manifest = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("protein_id"), F.when(F.col("quality") == 1, "train").otherwise("val").alias("split"))
+    records = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("protein_id"))
+    lost = table(spark, sf, "labels").agg(F.min("doc_id").cast("string").alias("protein_id"))
+    out = []
+    for known in (records, records.join(lost, "protein_id", "left_anti")):
+        split, status, _ = splits.use_or_rebuild(known, manifest, records.limit(0), records.limit(0))
+        out.append(split.select(F.lit(status).alias("status"), "protein_id", "split"))
+    return out[0].unionByName(out[1])
+
+
 @query("j5_leakage", f"WITH {IDS} SELECT protein_id FROM ids SEMI JOIN hold USING (protein_id)")
 def j5(spark, sf):
     ids, _, hold = _ids(spark, sf)

@@ -72,12 +72,23 @@ def id_list(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     return lines.where(F.startswith("value", F.lit(">"))).select(F.regexp_replace(F.expr("substring(value, 2)"), EDGE, "").alias("protein_id")).where("protein_id <> ''").distinct()
 
 
+def _matrix_rows(files: DataFrame) -> DataFrame:
+    """protein_id, position, embedding of text matrices (protein_id, value): a line per position, numbers between blanks."""
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
+    rows = files.select("protein_id", F.posexplode_outer(lines).alias("ix", "line"))
+    none = F.raise_error(F.concat(F.lit("no rows in the features of "), "protein_id")).cast("int")
+    return rows.select("protein_id", F.when(F.col("ix").isNull(), none).otherwise(F.col("ix") + 1).alias("position"), F.transform(F.split("line", "\\s+"), lambda x: x.cast("float")).alias("embedding"))
+
+
 def text_features(spark: SparkSession, path: str, suffix: str = ".resfeat.txt") -> DataFrame:
-    """protein_id, position, embedding of text matrices <id><suffix>: a line per position, numbers between blanks."""
+    """protein_id, position, embedding of text matrices <id><suffix>; a file without rows is an error."""
     files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
-    rows = files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("protein_id"), F.posexplode(lines).alias("ix", "line"))
-    return rows.select("protein_id", (F.col("ix") + 1).alias("position"), F.transform(F.split("line", "\\s+"), lambda x: x.cast("float")).alias("embedding"))
+    return _matrix_rows(files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("protein_id"), "value"))
+
+
+def text_feature_folders(spark: SparkSession, path: str) -> DataFrame:
+    """text_features where each id has a folder (protein_id=<id>) with one file, as sinks.text_features writes them."""
+    return _matrix_rows(spark.read.text(path, wholetext=True).select(F.col("protein_id").cast("string").alias("protein_id"), "value"))
 
 
 def ragged(features: DataFrame) -> DataFrame:
@@ -85,8 +96,8 @@ def ragged(features: DataFrame) -> DataFrame:
     return features.groupBy("protein_id").agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).where("low <> high")
 
 
-def array_features(spark: SparkSession, path: str) -> DataFrame:
-    """protein_id, position, embedding of two-dimensional .npy files named by id."""
+def array_rows(files: DataFrame) -> DataFrame:
+    """protein_id, position, embedding of two-dimensional NumPy arrays (name, content), named <id>.npy."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,8 +107,13 @@ def array_features(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name} isn't two-dimensional")
                 yield pd.DataFrame({"protein_id": name.removesuffix(".npy"), "position": np.arange(1, len(matrix) + 1, dtype=np.int32), "embedding": list(matrix.astype(np.float32))})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInPandas(load, "protein_id string, position int, embedding array<float>")
+    return files.select("name", "content").mapInPandas(load, "protein_id string, position int, embedding array<float>")
+
+
+def array_features(spark: SparkSession, path: str) -> DataFrame:
+    """array_rows of the .npy files in path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return array_rows(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
 
 
 def resolve_sources(ids: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = (".npy", ".h5", ".hdf5", ".resfeat.txt")) -> DataFrame:
@@ -142,6 +158,8 @@ def predictions_tsv(spark: SparkSession, path: str) -> DataFrame:
         number = value.try_cast("double")
         if name == "score":
             number = F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.raise_error(F.lit("a score isn't a finite number")).cast("double")).otherwise(number)
+        if name == "label":
+            number = F.when(value.isNotNull() & ~F.coalesce(number.cast("int").isin(0, 1), F.lit(False)), F.raise_error(F.concat(F.lit("a label is neither 0 nor 1: "), value)).cast("double")).otherwise(number)
         out.append((value if name == "protein_id" else number.cast("int") if name in ("label", "position") else number).alias(name))
     return raw.select(*out)
 
@@ -164,15 +182,22 @@ def split_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline(F.concat(named("train"), named("val"))))
 
 
-def feature_manifest(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("multiLine", True).json(path)
+def split_table(spark: SparkSession, path: str) -> DataFrame:
+    """protein_id, split of what sinks.split_table wrote."""
+    return spark.read.text(path).select(F.col("value").alias("protein_id"), F.col("split").cast("string").alias("split"))
+
+
+def feature_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The manifests in path, a file (or with multi_line False a line) each; hidden_size is required."""
+    rows = spark.read.option("multiLine", multi_line).json(path)
     if "hidden_size" not in rows.columns or not rows.where("hidden_size is null").isEmpty():
         raise ValueError("a feature manifest needs hidden_size")
     return rows
 
 
-def run_history(spark: SparkSession, path: str, part: str, row_schema: str) -> DataFrame:
-    """Rows of one list (epoch_history, print_history or eval_history) of a history file; a malformed file gives none."""
+def run_history(spark: SparkSession, path: str, part: str, row_schema: str, multi_line: bool = True) -> DataFrame:
+    """Rows of one list (epoch_history, print_history or eval_history) of history files, or with multi_line False of a
+    history in each line; a malformed one gives none."""
     fields = ", ".join(f"{f.strip().replace(' ', ':', 1)}" for f in row_schema.split(","))
-    rows = spark.read.schema(f"{part} array<struct<{fields}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    rows = spark.read.schema(f"{part} array<struct<{fields}>>").option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     return rows.select(F.inline(F.coalesce(part, F.array().cast(f"array<struct<{fields}>>"))))

@@ -55,28 +55,49 @@ def features(rows: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     return rows
 
 
+def text_features(rows: DataFrame, path: str) -> None:
+    """A folder per id with one file: a line per position, numbers between blanks."""
+    line = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
+    lines = rows.select("protein_id", "position", line.alias("value")).repartition("protein_id").sortWithinPartitions("protein_id", "position")
+    lines.select("protein_id", "value").write.partitionBy("protein_id").text(path)
+
+
 def one_json(spark, values: dict, path: str) -> None:
     """One JSON object: a manifest, metrics or a summary."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
-def split_manifest(split: DataFrame, path: str, seed: int, ratio: float) -> None:
-    """train_ids and val_ids, sorted, and their counts, as one JSON object of bounded id lists."""
+def split_manifest(split: DataFrame, path: str, seed: int, ratio: float, bound: int = 1_000_000) -> None:
+    """train_ids and val_ids, sorted, and their counts, as one JSON object. More than bound ids don't belong in one
+    object and are refused; split_table holds any number."""
+    if split.count() > bound:
+        raise ValueError(f"a manifest of one object holds at most {bound} ids; write a split table")
     lists = split.groupBy().agg(*(F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("protein_id")))).alias(f"{s}_ids") for s in ("train", "val")))
     counts = F.struct(*(F.size(f"{s}_ids").alias(s) for s in ("train", "val"))).alias("counts")
     lists.select(F.lit(seed).alias("seed"), F.lit(ratio).alias("val_ratio"), counts, "train_ids", "val_ids").write.json(path)
 
 
+def split_table(split: DataFrame, path: str) -> None:
+    """A line per id, in a folder for each split and in order over its files."""
+    rows = split.repartitionByRange("split", "protein_id").sortWithinPartitions("split", "protein_id")
+    rows.select("split", F.col("protein_id").alias("value")).write.partitionBy("split").text(path)
+
+
 def chunk_index(chunks: DataFrame, path: str) -> None:
     chunks.write.json(path)
 
 
 def metrics_json(summary: DataFrame, path: str) -> None:
-    summary.write.json(path)
+    """A JSON object for each group of an evaluation; a metric that isn't a number is null."""
+    doubles = {f.name for f in summary.schema.fields if f.dataType.typeName() in ("double", "float")}
+    summary.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in doubles else F.col(c) for c in summary.columns)).write.option("ignoreNullFields", "false").json(path)
 
 
 def structure_manifest(rows: DataFrame, path: str) -> None:
-    rows.write.option("sep", "\t").option("header", True).csv(path)
+    """structure.manifest as a table with a header, shares and ratios with six decimals."""
+    doubles = {f.name for f in rows.schema.fields if f.dataType.typeName() == "double"}
+    texts = rows.select(*(F.format_string("%.6f", c).alias(c) if c in doubles else F.col(c) for c in rows.columns))
+    texts.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def annotated_structures(lines: DataFrame, path: str) -> None:

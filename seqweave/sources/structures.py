@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Three-letter residue codes and their letters.
@@ -12,23 +12,39 @@ LETTERS = {
 }
 
 
+#: Where a text's lines end.
+LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def letters() -> Column:
+    return F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))
+
+
 def atom_lines(texts: DataFrame) -> DataFrame:
-    """structure_id, line_ix, line, is_atom, chain, resseq, icode, residue from (structure_id, text).
+    """structure_id, line_ix, line, is_atom, chain, resseq, icode, symbol from (structure_id, text).
 
-    Of several models only the first counts; alternate locations other than blank, A and 1 are no atoms.
+    is_atom: the line belongs to a residue of the first model. The first model ends at a second MODEL line, or at an
+    ENDMDL line if there was a MODEL line before. Alternate locations other than blank, A and 1, unknown residue codes
+    (water, ligands) and lines of fewer than 27 characters belong to no residue.
     """
-    lines = texts.select("structure_id", F.posexplode(F.split("text", "\r?\n")).alias("line_ix", "line"))
+    body = F.regexp_replace("text", f"(?:{LINE_END})$", "")
+    lines = texts.select("structure_id", F.posexplode(F.split(body, LINE_END)).alias("line_ix", "line"))
+    so_far = Window.partitionBy("structure_id").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, 0)
+    model = F.startswith("line", F.lit("MODEL"))
+    lines = lines.withColumn("models", F.sum(F.when(model, 1).otherwise(0)).over(so_far))
+    ends = (model & (F.col("models") > 1)) | (F.startswith("line", F.lit("ENDMDL")) & (F.col("models") > 0))
+    lines = lines.withColumn("ended", F.max(F.when(ends, 1).otherwise(0)).over(so_far))
     cut = lambda a, b: F.substring("line", a, b)
-    ended = F.max(F.when(F.startswith("line", F.lit("ENDMDL")), 1).otherwise(0)).over(Window.partitionBy("structure_id").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, 0))
-    atom = (F.startswith("line", F.lit("ATOM")) | F.startswith("line", F.lit("HETATM"))) & cut(17, 1).isin(" ", "A", "1") & (F.col("ended") == 0)
-    rows = lines.withColumn("ended", ended).withColumn("is_atom", atom)
-    return rows.select("structure_id", "line_ix", "line", "is_atom", cut(22, 1).alias("chain"), F.trim(cut(23, 4)).try_cast("int").alias("resseq"), F.trim(cut(27, 1)).alias("icode"), F.trim(cut(18, 3)).alias("residue"))
+    resseq, symbol = F.trim(cut(23, 4)).try_cast("int"), F.try_element_at(letters(), F.upper(F.trim(cut(18, 3))))
+    atom = cut(1, 6).isin("ATOM  ", "HETATM") & (F.length("line") >= 27) & cut(17, 1).isin(" ", "A", "1") & (F.col("ended") == 0)
+    rows = lines.select("structure_id", "line_ix", "line", F.trim(cut(22, 1)).alias("chain"), resseq.alias("resseq"), F.trim(cut(27, 1)).alias("icode"), symbol.alias("symbol"), atom.alias("atom"))
+    is_atom = F.col("atom") & F.col("symbol").isNotNull() & F.col("resseq").isNotNull()
+    return rows.select("structure_id", "line_ix", "line", is_atom.alias("is_atom"), "chain", "resseq", "icode", "symbol")
 
 
 def chain_residues(atoms: DataFrame) -> DataFrame:
-    """structure_id, chain, subject_pos (from 1), resseq, icode, symbol: runs of one residue key are one residue; unknown codes are left out."""
-    table = F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))
-    rows = atoms.where("is_atom").withColumn("symbol", F.try_element_at(table, F.col("residue"))).where("symbol is not null and resseq is not null")
+    """structure_id, chain, subject_pos (from 1), resseq, icode, symbol: consecutive lines of one residue key are one residue."""
+    rows = atoms.where("is_atom")
     along = Window.partitionBy("structure_id", "chain").orderBy("line_ix")
     key = F.struct("resseq", "icode")
     first = rows.withColumn("before", F.lag(key).over(along)).where(F.col("before").isNull() | (F.col("before") != key))
@@ -42,20 +58,22 @@ def chain_sequences(residues: DataFrame) -> DataFrame:
 
 
 def annotated_lines(atoms: DataFrame, scores: DataFrame) -> DataFrame:
-    """structure_id, line_ix, line: columns 61-66 of atom lines hold the residue's score with two decimals, -1 without one.
+    """structure_id, line_ix, line: columns 61-66 of a residue's lines hold its score with two decimals, -1 without one.
 
+    Such lines are filled with blanks to 80 columns; lines that belong to no residue stay as they are.
     scores: structure_id, chain, resseq, icode, score.
     """
     joined = atoms.join(scores, ["structure_id", "chain", "resseq", "icode"], "left")
-    wide = F.rpad("line", 66, " ")
-    new = F.concat(F.substring(wide, 1, 60), F.format_string("%6.2f", F.coalesce("score", F.lit(-1.0))), F.when(F.length("line") > 66, F.substring("line", 67, 1_000_000)).otherwise(""))
-    return joined.select("structure_id", "line_ix", F.when(F.col("is_atom"), new).otherwise(F.col("line")).alias("line"))
+    wide = F.rpad("line", F.greatest(F.length("line"), F.lit(80)), F.lit(" "))
+    new = F.concat(F.substring(wide, 1, 60), F.format_string("%6.2f", F.coalesce("score", F.lit(-1.0))), F.expr("substring(wide, 67)"))
+    return joined.withColumn("wide", wide).select("structure_id", "line_ix", F.when(F.col("is_atom"), new).otherwise(F.col("line")).alias("line"))
 
 
-def cross_references(spark: SparkSession, path: str) -> DataFrame:
-    """protein_id, structure_ids from annotation JSON: identifiers of regions' cross references to the structure bank, upper case, distinct, sorted."""
+def cross_references(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """From annotation JSON, a file (or with multi_line False a line) each: protein_id, structure_ids the identifiers of the
+    regions' cross references to the structure bank, upper case, distinct, sorted."""
     schema = "acc string, accession string, regions array<struct<cross_refs:array<struct<db:string,id:string>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     refs = F.flatten(F.transform(F.coalesce("regions", F.array().cast("array<struct<cross_refs:array<struct<db:string,id:string>>>>")), lambda r: F.coalesce(r["cross_refs"], F.array().cast("array<struct<db:string,id:string>>"))))
-    ids = F.array_sort(F.array_distinct(F.transform(F.filter(refs, lambda x: (F.upper(x["db"]) == "PDB") & x["id"].isNotNull()), lambda x: F.upper(x["id"]))))
+    ids = F.array_sort(F.array_distinct(F.transform(F.filter(refs, lambda x: (F.upper(x["db"]) == "PDB") & (F.trim(x["id"]) != "")), lambda x: F.upper(F.trim(x["id"])))))
     return rows.select(F.coalesce("acc", "accession").alias("protein_id"), ids.alias("structure_ids"))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.operators import metrics
+from seqweave.operators import metrics, rank
 
 TIES = list(zip([1, 0, 1, 0, 1, 0, 0], [0.9, 0.9, 0.8, 0.6, 0.6, 0.6, 0.1], strict=True))
 
@@ -67,3 +67,28 @@ def test_no_single_partition_and_no_embedding(spark):
     rows = frame(spark, TIES * 50)
     plan = metrics.average_precision(rows, ["grp"], ["position"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_a_null_group_is_a_group(spark):
+    rows = frame(spark, TIES, None).unionByName(frame(spark, TIES, "g"))
+    for found in (
+        metrics.auroc(rows, ["grp"]), metrics.average_precision(rows, ["grp"], ["position"]), metrics.pr_auc(rows, ["grp"]), metrics.best_threshold(rows, ["grp"]),
+        metrics.evaluation_summary(rows, ["grp"], ["protein_id", "position"]), metrics.evaluation_summary(rows, ["grp"], ["protein_id", "position"], 0.5),
+    ):
+        both = {r["grp"]: r.asDict() | {"grp": 0} for r in found.collect()}
+        assert both.keys() == {None, "g"} and both[None] == both["g"] and None not in both["g"].values()
+
+
+@pytest.mark.parametrize("by", [["grp"], []])
+def test_a_group_of_ties_is_dealt_into_ranges(spark, by):
+    draw = random.Random(1)
+    rows = [(draw.randint(0, 1), 0.5 if draw.random() < 0.9 else draw.random()) for _ in range(1200)]
+    df = frame(spark, rows)
+    ranges = rank.dealt(df.withColumn("k", -F.col("score")), "k", ["position"], 16).groupBy("_range").count().collect()
+    assert len(ranges) > 8 and max(r["count"] for r in ranges) < 300
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], i))
+    hits, total = 0, 0.0
+    for rank_, i in enumerate(order, 1):
+        hits += rows[i][0]
+        total += hits / rank_ if rows[i][0] else 0
+    assert value(metrics.average_precision(df, by, ["position"]), "average_precision") == pytest.approx(total / hits)

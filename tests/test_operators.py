@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +145,39 @@ def test_cnn_is_zero_padded(spark):
     assert [r["logit"] for r in scoring.cnn_logits(rows, layers).orderBy("position").collect()] == [3.5, 6.5, 5.5]
     with pytest.raises(ValueError):
         scoring.check_width(rows, 2)
+
+
+def test_safe_key_keeps_letters_of_any_script(spark):
+    names = [" Ünïcode/ß 漢字\u00a0", "\u2003 \t", "a\\b//c", "x²½-1.5_é", "a\u0301b"]
+    want = []
+    for name in names:
+        stem = re.sub(r"[^\w.\-]+", "_", name.strip().replace("\\", "_").replace("/", "_"), flags=re.UNICODE)
+        want.append(stem or "empty_id")
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", X.safe_key(F.col("n")).alias("k")).orderBy("i")
+    assert [r["k"] for r in rows.collect()] == want
+
+
+def test_sliding_starts(spark):
+    for n, width, stride in itertools.product((0, 1, 5, 24, 25, 40, 41), (5, 24), (1, 3, 8)):
+        got = spark.range(1).select(windows.sliding_starts(F.lit(n), width, stride).alias("s")).first()["s"]
+        assert got == (sorted({*range(0, n - width + 1, stride), n - width}) if n > width else [0])
+
+
+def test_use_or_rebuild(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "protein_id string")
+    manifest = spark.createDataFrame([("a", "train"), ("b", "val"), ("c", "train")], "protein_id string, split string")
+    split, status, report = splits.use_or_rebuild(ids("a", "b", "c", "d"), manifest, ids().limit(0), ids().limit(0))
+    assert status == "used" and split.count() == 3 and {(r["split"], r["listed"], r["missing"], tuple(r["sample"])) for r in report.collect()} == {("train", 2, 0, ()), ("val", 1, 0, ())}
+    split, status, report = splits.use_or_rebuild(ids("a", "b", "d", "e"), manifest, ids("e"), ids().limit(0))
+    assert status == "rebuilt" and {r[0] for r in split.collect()} == {"a", "b", "d"} and {r["split"]: r["sample"] for r in report.collect()} == {"train": ["c"], "val": []}
+    assert splits.use_or_rebuild(ids("a", "b"), None, ids().limit(0), ids().limit(0))[1] == "rebuilt"
+    for known in (manifest, None):
+        with pytest.raises(ValueError, match="doesn't fit"):
+            splits.use_or_rebuild(ids("a", "b"), known, ids().limit(0), ids().limit(0), rebuild=False)
+
+
+def test_positive_report(spark):
+    rows = spark.createDataFrame([("a", "01-"), ("b", "00-"), ("c", "11")], "protein_id string, labels string")
+    assert {tuple(r) for r in clean.with_positive_report(rows).collect()} == {("before", 3, 3, 3, 2), ("after", 2, 3, 1, 1)}
+    with pytest.raises(ValueError, match="positive"):
+        clean.with_positive_report(rows.where("protein_id = 'b'"))

@@ -43,22 +43,65 @@ def test_predictions(spark, tmp_path):
         rows.collect()
 
 
-PDB = (
-    "ATOM      1  CA  ALA A   1      11.000  12.000  13.000  1.00 20.00           C  \n"
-    "ATOM      2  CB  ALA A   1      11.000  12.000  13.000  1.00 20.00           C  \n"
-    "ATOM      3  CA  GLY A   2      11.000  12.000  13.000  1.00 20.00           C  \n"
-    "ENDMDL\n"
-    "ATOM      4  CA  VAL A   3      11.000  12.000  13.000  1.00 20.00           C  \n"
-)
-
-
-def test_structure(spark):
-    atoms = structures.atom_lines(spark.createDataFrame([("s", PDB)], "structure_id string, text string"))
-    residues = structures.chain_residues(atoms)
-    assert structures.chain_sequences(residues).first()["sequence"] == "AG"
-    scores = spark.createDataFrame([("s", "A", 1, "", 0.12)], "structure_id string, chain string, resseq int, icode string, score double")
+def pdb(kind, n, atom, alternate, residue, chain, number, end="      11.000  12.000  13.000  1.00 20.00"):
+    return f"{kind}{n:5d}  {atom:3}{alternate}{residue} {chain}{number:4d}{end}"
+
+
+def residues_of(spark, *lines):
+    atoms = structures.atom_lines(spark.createDataFrame([("s", "\n".join(lines) + "\n")], "structure_id string, text string"))
+    return atoms, [(r["chain"], r["subject_pos"], r["resseq"], r["symbol"]) for r in structures.chain_residues(atoms).orderBy("chain", "subject_pos").collect()]
+
+
+ALA, GLY, VAL = (pdb("ATOM  ", i, "CA", " ", r, "A", i) for i, r in ((1, "ALA"), (2, "gly"), (3, "VAL")))
+
+
+def test_structure_models(spark):
+    assert [r[3] for r in residues_of(spark, ALA, "ENDMDL", GLY, "ENDMDL", VAL)[1]] == ["A", "G", "V"]  # no MODEL line: ENDMDL ends nothing
+    assert [r[3] for r in residues_of(spark, "MODEL        1", ALA, GLY, "ENDMDL", VAL)[1]] == ["A", "G"]
+    assert [r[3] for r in residues_of(spark, "MODEL        1", ALA, "MODEL        2", GLY)[1]] == ["A"]
+    assert residues_of(spark, pdb("ATOM  ", 1, "CA", " ", "ALA", " ", 7), pdb("ATOM  ", 2, "CB", " ", "ALA", " ", 7), pdb("ATOM  ", 3, "CA", "B", "GLY", " ", 8), "ATOM  short", pdb("ATOMS ", 4, "CA", " ", "GLY", " ", 9))[1] == [("", 1, 7, "A")]
+
+
+def test_structure_annotation(spark):
+    water, long_ = pdb("HETATM", 9, "O", " ", "HOH", "A", 9), VAL + " " * 14 + "tail"
+    atoms, found = residues_of(spark, "HEADER", ALA, GLY, water, pdb("HETATM", 4, "SE", " ", "MSE", "A", 4), long_, "END")
+    assert [r[3] for r in found] == ["A", "G", "M", "V"]
+    scores = spark.createDataFrame([("s", "A", 1, "", 0.12), ("s", "A", 9, "", 0.5)], "structure_id string, chain string, resseq int, icode string, score double")
     lines = [r["line"] for r in structures.annotated_lines(atoms, scores).orderBy("line_ix").collect()]
-    assert lines[0][60:66] == "  0.12" and lines[2][60:66] == " -1.00" and lines[3] == "ENDMDL"
+    assert len(lines) == 7 and lines[0] == "HEADER" and lines[3] == water and lines[6] == "END"
+    assert lines[1] == ALA[:60] + "  0.12" + " " * 14 and lines[2][60:66] == " -1.00" and len(lines[2]) == 80
+    assert lines[5] == VAL[:60] + " -1.00" + long_[66:]
+    assert structures.chain_sequences(structures.chain_residues(atoms)).first()["sequence"] == "AGMV"
+
+
+def test_feature_folders_and_empty_matrices(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", 2, [3.0, 4.0]), ("a/b", 1, [1.0, 2.0]), ("é", 1, [5.0])], "protein_id string, position int, embedding array<float>")
+    sinks.text_features(rows, str(tmp_path / "f"))
+    got = scans.text_feature_folders(spark, str(tmp_path / "f"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "x.resfeat.txt").write_text("\n \n")
+    with pytest.raises(Exception, match="no rows"):
+        scans.text_features(spark, str(tmp_path / "g")).collect()
+
+
+def test_labels_of_predictions(spark, tmp_path):
+    (tmp_path / "p.tsv").write_text("id\tprob\tlabel\na\t0.5\t1.0\na\t0.4\t\na\t0.4\t2\n")
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        scans.predictions_tsv(spark, str(tmp_path / "p.tsv")).collect()
+
+
+def test_manifests(spark, tmp_path):
+    split = spark.createDataFrame([("a", "train"), ("b", "val"), ("c", "train")], "protein_id string, split string")
+    sinks.split_table(split, str(tmp_path / "t"))
+    assert sorted(map(tuple, scans.split_table(spark, str(tmp_path / "t")).collect())) == [("a", "train"), ("b", "val"), ("c", "train")]
+    sinks.split_manifest(split, str(tmp_path / "m"), 42, 0.2)
+    assert sorted(map(tuple, scans.split_manifest(spark, str(tmp_path / "m")).collect())) == [("a", "train"), ("b", "val"), ("c", "train")]
+    with pytest.raises(ValueError, match="at most 2"):
+        sinks.split_manifest(split, str(tmp_path / "n"), 42, 0.2, bound=2)
+    (tmp_path / "f.json").write_text('{"hidden_size": null}')
+    with pytest.raises(ValueError, match="hidden_size"):
+        scans.feature_manifest(spark, str(tmp_path / "f.json"))
 
 
 def test_cross_references(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqweave.llm import exact_dedup, fingerprints, licenses, mixing, packing, pii, pivots, token_counts, toxicity, urls
+from seqweave.llm import base_columns, exact_dedup, fingerprints, licenses, mixing, packing, pii, pivots, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_personal_data": pii.op9_personal_data,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    **base_columns.QUERIES,
 }
-SQL = {"op1_source_mixing": mixing.SQL, "op6_url_filter": urls.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_source_mixing": mixing.SQL, "op6_url_filter": urls.SQL, "op10_exact_dedup": exact_dedup.SQL, **base_columns.SQL}
 
 
 def queries() -> dict:

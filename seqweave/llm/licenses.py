@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+import json
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +21,27 @@ RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "label
 DETECTION = "start:int,minus_end:int,priority:int,nth:int,label:string,confidence:double"
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False))
+def _text(value: str) -> str:
+    """value as a SQL string. Hundreds of rules are put into few SQL expressions, which are quicker to build than columns."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def may_match(text: Column, rules: Sequence[Rule], phrases: Sequence[tuple[str, str]]) -> Column:
-    """Whether a text, as it stands, can hold a phrase or a rule's match: it has the longest word of one, and an anchor.
+def _holds(column: str, words: Iterable[str]) -> str:
+    return "(" + (" OR ".join(f"contains({column}, {_text(w)})" for w in words) or "false") + ")"
 
-    A phrase or keyword may run over signs that aren't word characters; a word of it can't.
+
+def may_match(lower: str, rules: Sequence[Rule], phrases: Sequence[tuple[str, str]]) -> Column:
+    """Whether a text, in lower case and otherwise as it stands, can hold a phrase or a rule's match: it has the longest
+    word of one, and that of an anchor.
+
+    A phrase, keyword or anchor may run over signs that aren't word characters; a word of it can't.
     """
-    lower = F.lower(text)
-    wanted: dict[tuple[str, ...], set[str]] = {(): {max(p.split(" "), key=len) for p, _ in phrases}}
+    longest = lambda x: max(x.split(" "), key=len)
+    wanted: dict[tuple[str, ...], set[str]] = {}
     for r in rules:
-        wanted.setdefault(r.anchors, set()).update(max(k.split(" "), key=len) for k in r.keywords)
-    held = lambda words: _any([lower.contains(w) for w in sorted(words)])
-    return _any([held(anchors) & held(words) if anchors else held(words) for anchors, words in wanted.items()])
+        wanted.setdefault(r.anchors, set()).update(map(longest, r.keywords))
+    parts = [f"({_holds(lower, sorted({longest(a) for a in anchors})) if anchors else 'true'} AND {_holds(lower, sorted(words))})" for anchors, words in wanted.items()]
+    return F.expr(" OR ".join([_holds(lower, sorted({longest(p) for p, _ in phrases})), *parts]))
 
 
 def resolve(detections: Column) -> Column:
@@ -55,8 +60,9 @@ def resolve(detections: Column) -> Column:
     return folded(ordered, F.array(*[F.lit(0)] * PRIORITIES), f"struct<{DETECTION}>", step)
 
 
-def awake(joined: Column, rules: Sequence[Rule]) -> Column:
-    """The rules that match somewhere, as structs with their place in the order.
+def awake(joined: str, said: dict[tuple[str, ...], str], rules: Sequence[Rule]) -> Column:
+    """The rules that match somewhere in joined, as structs with their place in the order; said names for each set of
+    anchors the column that tells whether one is there.
 
     Rules that share their keywords and anchors are looked at together: none of them unless the text has a keyword and
     an anchor, and each for itself only where one pattern, made of all of theirs and compiled once, matches.
@@ -67,10 +73,11 @@ def awake(joined: Column, rules: Sequence[Rule]) -> Column:
     kind = "array<struct<regex:string,label:string,priority:int,confidence:double,nth:int>>"
     parts = []
     for (keywords, anchors), members in groups.items():
-        rows = F.array(*(F.struct(F.lit(r.regex).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(n).alias("nth")) for n, r in members))
-        held = _any([joined.contains(k) for k in keywords]) & (_any([joined.contains(a) for a in anchors]) if anchors else F.lit(True)) & joined.rlike("|".join(r.regex for _, r in members))
-        parts.append(F.when(held, rows).otherwise(F.array().cast(kind)))
-    return F.filter(F.concat(*parts), lambda r: F.rlike(joined, r["regex"])) if parts else F.array().cast(kind)
+        rows = json.dumps([{"regex": r.regex, "label": r.label, "priority": r.priority, "confidence": r.confidence, "nth": n} for n, r in members])
+        held = f"{_holds(joined, keywords)} AND {said.get(anchors, 'true')} AND {joined} RLIKE {_text('|'.join(r.regex for _, r in members))}"
+        parts.append(f"CASE WHEN {held} THEN from_json({_text(rows)}, '{kind}') ELSE CAST(array() AS {kind}) END")
+    hits = F.expr(f"concat({', '.join(parts)})") if parts else F.array().cast(kind)
+    return F.filter(hits, lambda r: F.rlike(F.col(joined), r["regex"]))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
@@ -87,9 +94,13 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, phrases: Sequence
     """
     rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
-    gate = may_match(text, rules, phrases)
-    one = docs.select(carried(docs, RESULTS).alias("own"), F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n"), F.when(gate, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("words"))
-    one = one.withColumn("joined", F.array_join("words", " "))
+    one = docs.select(carried(docs, RESULTS).alias("own"), text.alias("text"), F.lower(text).alias("lower"))
+    text, gate = F.col("text"), may_match("lower", rules, phrases)
+    one = one.select("own", F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n"), F.when(gate, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("words"))
+    one = one.withColumn("joined", F.array_join("words", " ")).withColumn("padded", F.concat(F.lit(" "), "joined", F.lit(" ")))
+    anchors = list(dict.fromkeys(r.anchors for r in rules if r.anchors))
+    one = one.select("own", "n", "words", "joined", *(F.expr(_holds("padded", x)).alias(f"said{i}") for i, x in enumerate(anchors)))
+    said = {x: f"said{i}" for i, x in enumerate(anchors)}
 
     def places(phrase: str) -> Column:
         parts = phrase.split(" ")
@@ -108,7 +119,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, phrases: Sequence
         return F.transform(match_spans(F.col("joined"), rule["regex"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), rule["priority"].alias("priority"), rule["nth"].alias("nth"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
     none = F.array().cast(f"array<struct<{DETECTION}>>")
-    kept = bound(awake(F.col("joined"), rules), lambda hits: F.when(F.size(hits) > 0, resolve(F.flatten(F.transform(hits, found)))).otherwise(none))
+    kept = bound(awake("joined", said, rules), lambda hits: F.when(F.size(hits) > 0, resolve(F.flatten(F.transform(hits, found)))).otherwise(none))
     one = one.select("*", *(places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)), F.coalesce(F.when(F.col("joined").isNotNull(), kept), none).alias("kept"))
     every = F.concat(*(f"p{i}" for i in range(len(phrases)))) if phrases else F.array().cast("array<int>")
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)))) if phrases else F.array().cast("array<string>")

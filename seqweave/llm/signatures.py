@@ -11,8 +11,8 @@ PRIORITIES = 4
 
 @dataclass(frozen=True)
 class Rule:
-    """label where regex stands in the words joined by single spaces; every match holds a keyword and an anchor, if any
-    are given, so the regex is looked at only in texts that hold them."""
+    """label where regex stands in the words joined by single spaces. Where it matches, these words, between blanks,
+    hold a keyword and an anchor, if any are given; so the regex is looked at only in texts that hold them."""
 
     label: str
     keywords: tuple[str, ...]
@@ -197,8 +197,9 @@ TEMPLATES = (
     (STATEMENT, 0.8, "{name} licen[sc]e"),
     (MENTION, 0.6, "{name}(?= copyright)|licen[sc]e {name}"),
 )
-#: One of these is in every statement.
-ANCHORS = ("licen", "under", "copyright")
+#: One of these is in the text of every statement, and of every license text.
+ANCHORS = (" licen", " under ", " copyright")
+TEXT_ANCHORS = (" licen", " copyright", " software ", " public ", " redistribution", " distribut", " terms ", " liable ", " library ", " exception ", " invariant ", " worth ", " charityware ", " prohibited", " proprietary ", " openrail ", " fuck ", " advertising ")
 
 
 def creative_commons() -> list[tuple[str, tuple[str, ...], str]]:
@@ -216,7 +217,7 @@ def creative_commons() -> list[tuple[str, tuple[str, ...], str]]:
 def signature_rules() -> list[Rule]:
     """The ordered rules, each once: the texts, then every name in every statement. The order breaks ties."""
     whole = lambda regex: f"(?<![^ ])(?:{regex})(?![^ ])"
-    rules = [Rule(label, (keyword,), whole(regex), TEXT, 0.97) for label, keyword, regex in TEXTS]
+    rules = [Rule(label, (keyword,), whole(regex), TEXT, 0.97, TEXT_ANCHORS) for label, keyword, regex in TEXTS]
     for priority, confidence, template in TEMPLATES:
         for label, keywords, name in (*NAMES, *creative_commons()):
             rules.append(Rule(label, keywords, whole(template.replace("{name}", f"(?:{name})")), priority, confidence, ANCHORS))

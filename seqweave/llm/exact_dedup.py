@@ -12,11 +12,13 @@ from seqweave.llm.columns import carried, named, unpacked
 from seqweave.llm.urls import BROADCAST_BLOCKS, blocks_for, bloom_filter, may_be_in
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: While the stream runs: disk-backed state, whose files aren't allocated ahead (a store per partition would hold
-#: megabytes of nothing), and no trigger without data.
+#: While the stream runs: disk-backed state, whose files aren't allocated ahead and whose buffers are small (an
+#: executor holds a store for each of its partitions), and no trigger without data.
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")

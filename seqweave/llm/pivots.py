@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.shared import written
+from seqweave.llm.columns import carried, unpacked
 from seqweave.llm.components import connected_components
 
 #: Distinct fingerprints of one key that one task handles at once; larger keys are dealt out as pairs of chunks.
@@ -443,7 +444,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, ta
     most of the pairs that are less alike. What these connect are only candidates: inside each such group the shingle
     sets are compared, and only pairs that are alike enough link. Nulls, empty texts, repeats and empty tables are as in simhash_components.
     """
-    tables = tables or PivotTables(radius=0)
+    tables = tables or PivotTables(radius=0, blocks=4, per_block=8)
     apart, checks = float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), ["s0", "s1"]
     reach = int(np.ceil(128 * apart + 5 * np.sqrt(128 * apart * (1 - apart))))
     node = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -462,15 +463,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, ta
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; see simhash_components for nulls, repeats and empty tables."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id; same columns.
+    """docs with one document of each near-duplicate group, the one with the smallest doc_id; same columns, whatever
+    their names.
 
-    Rows that repeat the kept doc_id all stay, as do rows without a doc_id.
+    Rows that repeat the kept doc_id all stay, as do rows without a doc_id. Texts with the same shingles, as with
+    other white space or case, are alike; so are all that have no word, null texts among them. A very long text is
+    shingled whole, inside one task.
     """
-    kept = near_duplicates(docs, shingle, likeness).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    single = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return single.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, shingle, likeness).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    own = docs.select(carried(docs).alias("own"), F.col("doc_id").alias("doc"))
+    return own.join(kept, F.col("doc") == F.col("kept"), "left_semi").unionByName(own.where("doc is null")).select(*unpacked(docs, (), "own"))

@@ -10,8 +10,8 @@ from functools import cache
 import public_tokenizers
 import tiktoken
 
-#: Chunks whose ids a Python worker remembers, the first that it meets.
-REMEMBERED = 1_000_000
+#: Chunks whose ids a Python worker remembers, the first that it meets (about 60 MB).
+REMEMBERED = 250_000
 #: The special token whose string in a text stands for one id, as the tokenizer file has it.
 SPECIAL = "<|endoftext|>"
 #: Where a text may be cut, and what a text must not hold for every one of its spaces to be such a place.

@@ -128,7 +128,7 @@ def _counted(prefixes: tuple[int, ...]):
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 for f in features(words_of(text), prefixes):
                     seen.setdefault(f, [0, 0])[1 if toxic else 0] += 1
-                if len(seen) > 500_000:
+                if len(seen) > 150_000:
                     yield out()
         yield out()
 

@@ -166,8 +166,8 @@ def test_rules_against_brute_force(spark, docs):
         joined = " ".join(words)
         found = sorted((m.start(), -m.end(), rule.priority, n) for n, rule in enumerate(rules) for m in re.finditer(rule.regex, joined))
         for start, _, _, n in found:
-            rule, match = rules[n], joined[start:]
-            assert any(k in joined for k in rule.keywords) and (not rule.anchors or any(a in match for a in rule.anchors)), rule
+            rule, match = rules[n], re.compile(rules[n].regex).match(joined, start).group()
+            assert any(k in match for k in rule.keywords) and any(a in f" {joined[start:]} " for a in rule.anchors), rule
         kept = [d for i, d in enumerate(found) if not any(e[2] <= d[2] and e[0] <= d[0] and e[1] <= d[1] for e in found[:i])]
         assert [(d["start"], d["end"], d["label"]) for d in r["detections"]] == [(a, -b, rules[n].label) for a, b, _, n in kept], r["doc_id"]
         assert r["labels"] == ",".join(sorted({rules[n].label for *_, n in kept} | set(filter(None, phrase_places(known[r["doc_id"]])[-1].split(",")))))

@@ -8,23 +8,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's checkpoint folder.
+def _base(spark: SparkSession) -> str:
+    """This application's folder under the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, a laptop) a
-    temporary folder of this machine is made and set as checkpoint folder.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and everything runs on this machine
+    (tests, a laptop) is a temporary folder made and set as checkpoint folder.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = context.getCheckpointDir()
-        if not held:
+    if base:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(base)
+    else:
+        if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            held = context.getCheckpointDir()
-        base = held
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{context.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that the driver and every executor can reach. What is put there stays until clear_shared()."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete every table that this application has put in the shared folder: for its end, when no result is still to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

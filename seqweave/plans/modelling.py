@@ -93,7 +93,16 @@ def _layers(width: int):
     return [{"weight": draw.normal(size=(16, width)) * 0.2, "bias": draw.normal(size=16) * 0.1, "scale": np.ones(16), "shift": np.zeros(16)}, {"weight": draw.normal(size=(1, 16)), "bias": np.zeros(1)}]
 
 
-@query("l1_mlp_scores")
+def _mlp_sql(layers) -> str:
+    """The two layers as SQL: dot products of the hidden units, their normalisation, and the output's dot product."""
+    numbers = lambda row: "[" + ", ".join(f"{w:.17e}" for w in row) + "]"
+    units = ", ".join(f"list_dot_product(e, {numbers(w)}) + {b:.17e}" for w, b in zip(layers[0]["weight"], layers[0]["bias"], strict=True))
+    return f"""{EM}, u AS (SELECT protein_id, position, [{units}] AS u FROM (SELECT protein_id, position, embedding::DOUBLE[] AS e FROM em)),
+m AS (SELECT *, list_avg(u) AS mean FROM u), v AS (SELECT *, sqrt(list_avg(list_transform(u, lambda x: (x - mean) * (x - mean))) + 1e-5::DOUBLE) AS spread FROM m)
+SELECT protein_id, position, round(list_dot_product(list_transform(u, lambda x: greatest(0.0::DOUBLE, (x - mean) / spread)), {numbers(layers[1]["weight"][0])}), 6) AS logit FROM v"""
+
+
+@query("l1_mlp_scores", _mlp_sql(_layers(64)))
 def l1_mlp(spark, sf):
     rows = embedding_positions(spark, sf).select("protein_id", "position", "embedding")
     return scoring.mlp_logits(rows, _layers(64)).withColumn("logit", F.round("logit", 6))
@@ -176,6 +185,16 @@ def x1(spark, sf):
     return structure.align_pairs(_pairs(spark, sf)).select("pair_id", "score", F.round("identity", 9).alias("identity"), "mapped", F.to_json("pairs").alias("pairs"))
 
 
+@query("x1_alignment_scores", f"""{ES.replace('WITH', 'WITH RECURSIVE', 1)}, pr AS (SELECT a.protein_id || '-' || b.protein_id AS pair_id, string_split(a.sequence, '') AS q, string_split(b.sequence, '') AS s FROM es a JOIN es b ON a.protein_id = (b.protein_id::BIGINT - 1)::VARCHAR),
+dp AS (SELECT pair_id, q, s, 0 AS i, list_transform(range(0, len(s) + 1), lambda j: 0::BIGINT) AS h, 0::BIGINT AS best FROM pr
+  UNION ALL SELECT pair_id, q, s, i + 1, row, greatest(best, list_max(row)) FROM (
+    SELECT pair_id, q, s, i, best, list_transform(range(0, len(c)), lambda j: list_max(c[1:j + 1]) - 2 * j) AS row FROM (
+      SELECT pair_id, q, s, i, best, list_transform(range(0, len(s) + 1), lambda j: 2 * j + CASE WHEN j = 0 THEN 0 ELSE greatest(0, h[j] + CASE WHEN s[j] = q[i + 1] THEN 2 ELSE -1 END, h[j + 1] - 2) END) AS c FROM dp WHERE i < len(q))))
+SELECT pair_id, best::INT AS score FROM dp WHERE i = len(q)""")
+def x1_scores(spark, sf):
+    return structure.align_pairs(_pairs(spark, sf)).select("pair_id", "score")
+
+
 @query("x2_best_structure", f"""WITH {LINEITEM_PREDICTIONS}, c AS (SELECT protein_id, position AS source_order, l_q AS mapped, 50 AS query_length, score AS identity FROM (SELECT li.*, (price / 2500)::INT AS l_q FROM li)),
 r AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY mapped / 50.0 DESC, mapped DESC, identity DESC, source_order) AS i FROM c WHERE mapped > 0) SELECT protein_id, source_order, mapped, identity FROM r WHERE i = 1""")
 def x2(spark, sf):

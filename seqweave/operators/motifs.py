@@ -5,6 +5,7 @@ A library is a small table of (motif_order, motif_id, kind, pattern, regex, toke
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.intervals import points_in_spans
+from seqweave.functions.shared import written
+from seqweave.operators.literals import Matcher, unpickled
+from seqweave.operators.spans import greedy_spans as greedy_spans
+
 #: Classes of the ambiguous letters; every other letter, and the hyphen, stands for itself.
 AMBIGUOUS = {"B": "[DN]", "Z": "[EQ]", "X": "[A-Z]", "J": "[IL]"}
 #: Letters that a degenerate pattern may use.
@@ -80,43 +86,25 @@ def library(spark: SparkSession, motifs: list[dict], matching: str = "prosite")
 def matches(records: DataFrame, motifs: DataFrame) -> DataFrame:
     """protein_id, motif_order, motif_id, token, start (from 0), end: for every motif each start at which it matches, greedily; overlaps stay.
 
-    The library is small by definition and its patterns are compiled once per task; sequences stream through in Arrow batches.
+    The library is small by definition. Literals that its patterns require are put into one automaton, which is built
+    once and broadcast; a sequence is read once for all of them, and a pattern is tried only where one of its
+    literals stands. Sequences stream through in Arrow batches.
     """
+    spark = records.sparkSession
     known = [(r["motif_order"], r["motif_id"], r["token"], r["regex"]) for r in motifs.orderBy("motif_order").limit(MAX_MOTIFS + 1).collect()]
     if len(known) > MAX_MOTIFS:
         raise ValueError("a library holds at most 100,000 motifs")
+    packed = spark.sparkContext.broadcast(pickle.dumps(Matcher([regex for *_, regex in known])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(order, name, token, re.compile(f"(?=({regex}))")) for order, name, token, regex in known]
+        matcher = unpickled(packed.value)
         for batch in batches:
-            out = [
-                (p, order, name, token, m.start(), m.end(1))
-                for p, s in zip(batch["protein_id"], batch["sequence"], strict=True)
-                for order, name, token, pattern in compiled
-                for m in pattern.finditer(s or "")
-                if m.end(1) > m.start()
-            ]
+            out = [(p, *known[i][:3], start, end) for p, s in zip(batch["protein_id"], batch["sequence"], strict=True) for i, start, end in matcher.find(s or "")]
             yield pd.DataFrame(out, columns=["protein_id", "motif_order", "motif_id", "token", "start", "end"])
 
     return records.select("protein_id", "sequence").mapInPandas(search, "protein_id string, motif_order int, motif_id string, token string, start int, end int")
 
 
-def greedy_spans(found: DataFrame) -> DataFrame:
-    """Matches that don't overlap: by start, the longest, then library order; one is taken if it begins after the last taken ends.
-
-    The fold runs over one sequence's matches at a time.
-    """
-    row = F.struct("start", (-(F.col("end") - F.col("start"))).alias("minus"), "motif_order", "motif_id", "end", "token")
-    kind = "array<struct<start:int,minus:int,motif_order:int,motif_id:string,end:int,token:string>>"
-    none = F.array().cast(kind)
-
-    def take(held, x):
-        return F.when((F.size(held) == 0) | (x["start"] >= F.coalesce(F.try_element_at(held, F.lit(-1))["end"], F.lit(0))), F.array_append(held, x)).otherwise(held)
-
-    folded = found.groupBy("protein_id").agg(F.array_sort(F.collect_list(row)).cast(kind).alias("all"))
-    return folded.select("protein_id", F.inline(F.aggregate("all", none, take))).select("protein_id", "motif_order", "motif_id", "token", "start", "end")
-
-
 def tokens(records: DataFrame, spans: DataFrame) -> DataFrame:
     """protein_id, token_ix (from 0), token, span_length, start: spans as one token each, other positions as their symbol."""
     at = F.when(F.length("sequence") > 0, F.sequence(F.lit(0), F.length("sequence") - 1)).otherwise(F.array().cast("array<int>"))
@@ -146,8 +134,11 @@ def position_motifs(residues: DataFrame, found: DataFrame, motifs: DataFrame, ma
     """residues (protein_id, position) with motif_id: the vocab id of the first motif in library order that covers the position, else 0."""
     if max_per_residue <= 0:
         raise ValueError("max_per_residue must be positive")
-    at = found.select("protein_id", "motif_order", "motif_id", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("position"))
-    first = at.groupBy("protein_id", "position").agg(F.min_by("motif_id", "motif_order").alias("name"))
+    # Of matches at one span only the first in library order can decide, so the others go before the join.
+    spans = found.groupBy("protein_id", "start", "end").agg(F.min(F.struct("motif_order", "motif_id")).alias("_first"))
+    spans = written(spans, "motif-spans")
+    at = points_in_spans(residues.select("protein_id", "position"), spans, ["protein_id"], F.col("position") - 1, "start", "end")
+    first = at.groupBy("protein_id", "position").agg(F.min("_first").alias("_first")).select("protein_id", "position", F.col("_first.motif_id").alias("name"))
     known = first.join(F.broadcast(vocabulary(motifs)), F.col("name") == F.col("motif_id")).select("protein_id", "position", F.col("vocab_id").alias("motif_id"))
     return residues.join(known, ["protein_id", "position"], "left").withColumn("motif_id", F.coalesce("motif_id", F.lit(0)))
 

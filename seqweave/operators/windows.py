@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import low_complexity
+from seqweave.functions.intervals import points_in_spans
 
 
 def sliding_starts(length: Column, width: int, stride: int) -> Column:
@@ -38,17 +39,29 @@ def evaluation_starts(records: DataFrame, width: int, stride: int | None = None,
 
 
 def windows(records: DataFrame, starts: Column, width: int) -> DataFrame:
-    """protein_id, window_ix (from 0), start (from 0), end_exclusive, length."""
-    rows = records.select("protein_id", F.length("sequence").alias("n"), starts.alias("starts")).select("protein_id", "n", F.posexplode("starts").alias("window_ix", "start"))
+    """protein_id, window_ix (from 0), start (from 0), end_exclusive, length.
+
+    The outer form of the generator keeps Spark from inferring a filter on the size of starts, which would compute the
+    sequence again for every row that is scanned.
+    """
+    rows = records.select("protein_id", F.length("sequence").alias("n"), starts.alias("starts")).select("protein_id", "n", F.posexplode_outer("starts").alias("window_ix", "start")).where("start is not null")
     end = F.least(F.col("start") + width, F.col("n"))
     return rows.select("protein_id", "window_ix", "start", end.alias("end_exclusive"), (end - F.col("start")).alias("length"))
 
 
 def window_positions(spans: DataFrame) -> DataFrame:
-    """Windows with a row per position (from 1), so that slices are equi-joins and never range joins."""
+    """Windows with a row per position (from 1), for windows that carry no more than their bounds."""
     return spans.select("*", F.explode(F.sequence(F.col("start") + 1, F.col("end_exclusive"))).alias("position"))
 
 
+def window_slices(residues: DataFrame, spans: DataFrame, width: int | None = None) -> DataFrame:
+    """Every position with each window of its sequence that covers it: residues' columns and the windows' own.
+
+    width is that of the widest window, where it is known. Both sides are shuffled as they are, a window in one or two bins; rows are multiplied only behind the exchange.
+    """
+    return points_in_spans(residues, spans, ["protein_id"], F.col("position") - 1, "start", "end_exclusive", width)
+
+
 def training_crop(records: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """protein_id, start, sequence, labels: one crop, centred on the span of positives; without any, at a seeded place."""
     n = F.length("sequence")

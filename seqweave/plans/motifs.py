@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqweave.operators import motifs
+from seqweave.functions.intervals import overlapping
+from seqweave.functions.shared import written
+from seqweave.operators import motifs, windows
 from seqweave.plans.registry import query
+from seqweave.plans.windowing import SPANS
 from seqweave.sources.adapters import EVENT_RESIDUES, EVENT_SEQUENCES, event_residues, event_sequences
 
 #: The demonstration library.
@@ -113,3 +116,12 @@ def m8(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY hits DESC, motif_order)::INT AS nth FROM h) SELECT split, motif_id, hits, nth FROM r WHERE nth <= 3""")
 def m9(spark, sf):
     return motifs.top_motifs(_encoded(spark, sf), _library(spark), ["split"], 3)
+
+
+@query("j10_window_motifs", f"""{ES}, {SPANS}, {FOUND} SELECT s.protein_id, s.start AS window_start, f.start, f."end", f.motif_id FROM sp s JOIN fo f ON f.protein_id = s.protein_id AND f.start < s.end_exclusive AND f."end" > s.start""")
+def j10_motifs(spark, sf):
+    """Every window with every match that it meets, wholly or in part."""
+    rows = event_sequences(spark, sf)
+    spans = windows.windows(rows, windows.sliding_starts(F.length("sequence"), 24, 16), 24).select("protein_id", F.col("start").alias("window_start"), "end_exclusive")
+    found = written(_found(spark, sf).select("protein_id", "motif_id", "start", "end"), "matches")
+    return overlapping(spans, found, ["protein_id"], ("window_start", "end_exclusive"), ("start", "end")).select("protein_id", "window_start", "start", "end", "motif_id")

@@ -108,15 +108,14 @@ def j9(spark, sf):
 
 @query("j10_window_slices", f"{ES}, {SPANS} SELECT s.protein_id, s.start, e.position, e.symbol, e.score FROM sp s JOIN ev e ON e.protein_id = s.protein_id AND e.position BETWEEN s.start + 1 AND s.end_exclusive")
 def j10(spark, sf):
-    at = windows.window_positions(_spans(spark, sf))
-    return at.join(event_residues(spark, sf), ["protein_id", "position"]).select("protein_id", "start", "position", "symbol", "score")
+    return windows.window_slices(event_residues(spark, sf), _spans(spark, sf), WIDTH).select("protein_id", "start", "position", "symbol", "score")
 
 
 @query("w10_overlap_merge", f"""{ES}, {SPANS}, l AS (SELECT s.protein_id, e.position, e.score + s.start * 0.01::DOUBLE AS logit FROM sp s JOIN ev e ON e.protein_id = s.protein_id AND e.position BETWEEN s.start + 1 AND s.end_exclusive WHERE s.start > 0)
 SELECT e.protein_id, e.position, round(coalesce(avg(logit), 0.0), 9) AS logit FROM ev e LEFT JOIN l USING (protein_id, position) GROUP BY ALL""")
 def w10(spark, sf):
     residues = event_residues(spark, sf)
-    scores = windows.window_positions(_spans(spark, sf).where("start > 0")).join(residues, ["protein_id", "position"]).select("protein_id", "position", (F.col("score") + F.col("start") * 0.01).alias("logit"))
+    scores = windows.window_slices(residues, _spans(spark, sf).where("start > 0"), WIDTH).select("protein_id", "position", (F.col("score") + F.col("start") * 0.01).alias("logit"))
     return windows.merge_windows(residues.select("protein_id", "position"), scores).withColumn("logit", F.round("logit", 9))
 
 

@@ -55,29 +55,47 @@ def mlp_logits(rows: DataFrame, layers: list[dict], activation: str = "relu", co
     return rows.mapInPandas(score, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", logit double")
 
 
-def cnn_logits(rows: DataFrame, layers: list[dict], activation: str = "relu", by: tuple[str, ...] = ("protein_id",)) -> DataFrame:
+def _convolved(x: np.ndarray, layer: dict) -> np.ndarray:
+    """A dilated convolution along the rows of x, zeros beyond its ends."""
+    weight, step = np.asarray(layer["weight"], dtype=np.float64), int(layer.get("dilation", 1))
+    reach = step * (weight.shape[2] - 1) // 2
+    padded = np.pad(x, ((reach, reach), (0, 0)))
+    return sum(padded[k * step : k * step + len(x)] @ weight[:, :, k].T for k in range(weight.shape[2])) + np.asarray(layer["bias"])
+
+
+def receptive_reach(layers: list[dict]) -> int:
+    """How many positions to either side a convolutional head's logit depends on."""
+    return sum(int(layer.get("dilation", 1)) * (np.asarray(layer["weight"]).shape[2] - 1) // 2 for layer in layers)
+
+
+def cnn_logits(rows: DataFrame, layers: list[dict], activation: str = "relu", by: tuple[str, ...] = ("protein_id",), tile: int = 4096) -> DataFrame:
     """by, position, logit: dilated convolutions along the positions of each window, zeros beyond its ends.
 
-    layers: {weight [out, in, kernel], bias, dilation}; the last is the 1-wide output layer. Windows bound a group.
+    layers: {weight [out, in, odd kernel], bias, dilation}; the last is the 1-wide output layer. A window is cut into
+    tiles of so many positions, each with a halo as wide as the head can see, so its length is unbounded: a tile's own
+    logits are those of the whole window. Positions of a window must follow one another without a gap, or it raises.
     """
-
-    def convolve(x: np.ndarray, layer: dict) -> np.ndarray:
-        weight, step = np.asarray(layer["weight"], dtype=np.float64), int(layer.get("dilation", 1))
-        reach = step * (weight.shape[2] - 1) // 2
-        padded = np.pad(x, ((reach, reach), (0, 0)))
-        return sum(padded[k * step : k * step + len(x)] @ weight[:, :, k].T for k in range(weight.shape[2])) + np.asarray(layer["bias"])
+    if any(np.asarray(layer["weight"]).shape[2] % 2 == 0 for layer in layers):
+        raise ValueError("kernels must have an odd width")
+    reach = receptive_reach(layers)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position")
+        position = group["position"].to_numpy()
+        if (np.diff(position) != 1).any():
+            raise ValueError("the positions of a window have a gap or repeat")
+        own = (position - 1) // tile == group["_tile"].iloc[0]
         x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
         for layer in layers[:-1]:
-            x = ACTIVATIONS[activation](convolve(x, layer))
-        out = group[[*by, "position"]].copy()
-        out["logit"] = convolve(x, layers[-1])[:, 0]
+            x = ACTIVATIONS[activation](_convolved(x, layer))
+        out = group.loc[own, [*by, "position"]].copy()
+        out["logit"] = _convolved(x, layers[-1])[own, 0]
         return out
 
+    near = F.floor((F.col("position") - 1 - reach) / tile), F.floor((F.col("position") - 1 + reach) / tile)
+    tiled = rows.select(*by, "position", "embedding", F.explode(F.sequence(*near)).alias("_tile"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(*by, "position", "embedding").groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, "position")) + ", logit double")
+    return tiled.groupBy(*by, "_tile").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, "position")) + ", logit double")
 
 
 def fit_linear(rows: DataFrame, pos_weight: float = 1.0):

@@ -12,39 +12,88 @@ from pyspark.sql import functions as F
 from seqweave.functions.expressions import ratio
 
 
+#: Rows of scores kept of a section of an alignment, and cells of a section whose moves are held at once.
+KEPT, CELLS = 48, 4_000_000
+
+
+class _Scores:
+    """Rows of local alignment scores, one from the other. A row is filled at once: without horizontal gaps first, then
+    the best chain of gaps from the left as a running maximum of (score - gap x column)."""
+
+    def __init__(self, q: np.ndarray, s: np.ndarray, match: int, mismatch: int, gap: int) -> None:
+        self.q, self.s, self.match, self.mismatch, self.gap = q, s, match, mismatch, gap
+        self.slope = gap * np.arange(len(s) + 1, dtype=np.int32)
+
+    def below(self, above: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row i + 1 from row i, and the scores that a diagonal step and a gap in the subject lead to; as wide as above."""
+        n = len(above)
+        diagonal = above[:-1] + np.where(self.s[: n - 1] == self.q[i], np.int32(self.match), np.int32(self.mismatch))
+        up = above[1:] + np.int32(self.gap)
+        here = np.zeros(n, dtype=np.int32)
+        np.maximum(diagonal, up, out=here[1:])
+        np.maximum(here, 0, out=here)
+        here -= self.slope[:n]
+        np.maximum.accumulate(here, out=here)
+        here += self.slope[:n]
+        return here, diagonal, up
+
+    def kept(self, row: np.ndarray, low: int, high: int) -> tuple[list[tuple[int, np.ndarray]], tuple[int, int, int]]:
+        """Some rows from low to high - 1, each with its number, and the first best cell after low: score, row, column."""
+        step, out, best = max(1, -(-(high - low) // KEPT)), [], (0, 0, 0)
+        for i in range(low, high):
+            if (i - low) % step == 0:
+                out.append((i, row))
+            row, *_ = self.below(row, i)
+            top = int(row.argmax())
+            if row[top] > best[0]:
+                best = (int(row[top]), i + 1, top)
+        return out, best
+
+    def back(self, rows: list[tuple[int, np.ndarray]], i: int, j: int, pairs: list[tuple[int, int]]) -> tuple[int, int]:
+        """Follow the moves from cell (i, j) up to the first row kept or the alignment's start; where it comes out.
+
+        The last section's moves are found anew from its kept row, only as wide as the path can reach; a section with
+        too many cells keeps rows of its own first. So memory grows with the sum of both lengths. Ties prefer the
+        diagonal, then the gap in the subject.
+        """
+        for low, row in reversed(rows):
+            if low >= i:
+                continue
+            row = row[: j + 1]
+            if (i - low) * len(row) > CELLS and i - low > 1:
+                i, j = self.back(self.kept(row, low, i)[0], i, j, pairs)
+            else:
+                moves = np.zeros((i - low, len(row)), dtype=np.int8)
+                for k in range(low, i):
+                    row, diagonal, up = self.below(row, k)
+                    left, move = row[:-1] + np.int32(self.gap), moves[k - low, 1:]
+                    move[left > 0] = 3
+                    move[(up > 0) & (up >= left)] = 2
+                    move[(diagonal > 0) & (diagonal >= up) & (diagonal >= left)] = 1
+                while i > low and j > 0 and (move := moves[i - low - 1, j]):
+                    if move == 1:
+                        pairs.append((i, j))
+                    i, j = i - (move != 3), j - (move != 2)
+                del moves
+            if i > low or j == 0:  # it began inside this section
+                return -1, 0
+        return i, j
+
+
 def local_alignment(query: str, subject: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[list[tuple[int, int]], int, float]:
     """(pairs of positions from 1, score, identity) of the best local alignment with a linear gap, case ignored.
 
-    A row is filled at once: without horizontal gaps first, then the best chain of gaps from the left as a running
-    maximum of (score - gap x column). Ties prefer the diagonal, then the gap in the subject.
+    Of several best ends the first in row order counts; ties on the way prefer the diagonal, then the gap in the
+    subject. Memory grows with the lengths, not with their product: only some rows of scores are kept, and the moves
+    between two of them are found anew on the way back.
     """
     q, s = np.frombuffer(query.upper().encode("utf-32-le"), dtype=np.uint32), np.frombuffer(subject.upper().encode("utf-32-le"), dtype=np.uint32)
     if not len(q) or not len(s):
         return [], 0, 0.0
-    columns = np.arange(len(s) + 1)
-    above = np.zeros(len(s) + 1, dtype=np.int64)
-    moves = np.zeros((len(q), len(s) + 1), dtype=np.int8)
-    best, at = 0, (0, 0)
-    for i, symbol in enumerate(q):
-        diagonal = above[:-1] + np.where(s == symbol, match, mismatch)
-        up = above[1:] + gap
-        here = np.zeros(len(s) + 1, dtype=np.int64)
-        here[1:] = np.maximum(np.maximum(diagonal, up), 0)
-        here = np.maximum.accumulate(here - gap * columns) + gap * columns
-        left = here[:-1] + gap
-        row = moves[i, 1:]
-        row[(left > 0) & (left == here[1:])] = 3
-        row[(up > 0) & (up == here[1:]) & (up >= left)] = 2
-        row[(diagonal > 0) & (diagonal == here[1:]) & (diagonal >= up) & (diagonal >= left)] = 1
-        top = int(here.max())
-        if top > best:
-            best, at = top, (i + 1, int(here.argmax()))
-        above = here
-    pairs, (i, j) = [], at
-    while i > 0 and j > 0 and (move := moves[i - 1, j]):
-        if move == 1:
-            pairs.append((i, j))
-        i, j = i - (move != 3), j - (move != 2)
+    scores = _Scores(q, s, match, mismatch, gap)
+    rows, (best, i, j) = scores.kept(np.zeros(len(s) + 1, dtype=np.int32), 0, len(q))
+    pairs: list[tuple[int, int]] = []
+    scores.back(rows, i, j, pairs)
     same = sum(q[a - 1] == s[b - 1] for a, b in pairs)
     return pairs[::-1], best, same / len(pairs) if pairs else 0.0
 

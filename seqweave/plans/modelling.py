@@ -108,11 +108,23 @@ def l1_mlp(spark, sf):
     return scoring.mlp_logits(rows, _layers(64)).withColumn("logit", F.round("logit", 6))
 
 
-@query("l1_cnn_scores")
-def l1_cnn(spark, sf):
+def _convolutions():
     draw = np.random.default_rng(6)
-    layers = [{"weight": draw.normal(size=(8, 64, 3)) * 0.2, "bias": np.zeros(8), "dilation": 2}, {"weight": draw.normal(size=(1, 8, 1)), "bias": np.zeros(1)}]
-    return scoring.cnn_logits(embedding_positions(spark, sf), layers).withColumn("logit", F.round("logit", 6))
+    return [{"weight": draw.normal(size=(8, 64, 3)) * 0.2, "bias": np.zeros(8), "dilation": 2}, {"weight": draw.normal(size=(1, 8, 1)), "bias": np.zeros(1)}]
+
+
+def _cnn_sql(layers) -> str:
+    """The convolution as three dot products, with the vectors two positions before and behind."""
+    numbers = lambda row: "[" + ", ".join(f"{w:.17e}" for w in row) + "]"
+    unit = lambda w: " + ".join(f"coalesce(list_dot_product({e}, {numbers(w[:, k])}), 0.0)" for k, e in enumerate(("before", "e", "behind")))
+    hidden = ", ".join(f"greatest(0.0::DOUBLE, {unit(w)})" for w in layers[0]["weight"])
+    return f"""{EM}, v AS (SELECT protein_id, position, embedding::DOUBLE[] AS e FROM em), n AS (SELECT *, lag(e, 2) OVER o AS before, lead(e, 2) OVER o AS behind FROM v WINDOW o AS (PARTITION BY protein_id ORDER BY position))
+SELECT protein_id, position, round(list_dot_product([{hidden}], {numbers(layers[1]["weight"][0][:, 0])}), 6) AS logit FROM n"""
+
+
+@query("l1_cnn_scores", _cnn_sql(_convolutions()))
+def l1_cnn(spark, sf):
+    return scoring.cnn_logits(embedding_positions(spark, sf), _convolutions(), tile=8).withColumn("logit", F.round("logit", 6))
 
 
 @query("l2_fit_linear")
@@ -180,7 +192,18 @@ def _pairs(spark, sf):
     return rows.join(other, "protein_id").select(F.concat_ws("-", "protein_id", "other").alias("pair_id"), "protein_id", F.col("sequence").alias("query"), "subject")
 
 
-@query("x1_local_alignment")
+@query("x1_local_alignment", f"""{ES.replace('WITH', 'WITH RECURSIVE', 1)}, pr AS (SELECT a.protein_id || '-' || b.protein_id AS pair_id, string_split(a.sequence, '') AS q, string_split(b.sequence, '') AS s FROM es a JOIN es b ON a.protein_id = (b.protein_id::BIGINT - 1)::VARCHAR),
+dp AS (SELECT pair_id, q, s, 0 AS i, list_transform(range(0, len(s) + 1), lambda j: 0::BIGINT) AS h, []::BIGINT[][] AS moves, 0::BIGINT AS best, 0 AS bi, 0::BIGINT AS bj FROM pr
+  UNION ALL SELECT pair_id, q, s, i + 1, row, list_append(moves, list_transform(range(1, len(row)), lambda j: CASE WHEN d[j] > 0 AND d[j] >= h[j + 1] - 2 AND d[j] >= row[j] - 2 THEN 1 WHEN h[j + 1] > 2 AND h[j + 1] >= row[j] THEN 2 WHEN row[j] > 2 THEN 3 ELSE 0 END::BIGINT)),
+    greatest(best, list_max(row)), CASE WHEN list_max(row) > best THEN i + 1 ELSE bi END, CASE WHEN list_max(row) > best THEN list_position(row, list_max(row)) - 1 ELSE bj END FROM (
+    SELECT pair_id, q, s, i, h, moves, d, best, bi, bj, list_transform(range(0, len(c)), lambda j: list_max(c[1:j + 1]) - 2 * j) AS row FROM (
+      SELECT *, list_transform(range(0, len(s) + 1), lambda j: 2 * j + CASE WHEN j = 0 THEN 0 ELSE greatest(0, d[j], h[j + 1] - 2) END) AS c FROM (
+        SELECT *, list_transform(range(1, len(s) + 1), lambda j: h[j] + CASE WHEN s[j] = q[i + 1] THEN 2 ELSE -1 END) AS d FROM dp WHERE i < len(q))))),
+tr AS (SELECT pair_id, q, s, moves, best, bi AS i, bj AS j, []::VARCHAR[] AS pairs, 0 AS same FROM dp WHERE i = len(q)
+  UNION ALL SELECT pair_id, q, s, moves, best, CASE WHEN m = 3 THEN i ELSE i - 1 END, CASE WHEN m = 2 THEN j ELSE j - 1 END, CASE WHEN m = 1 THEN list_prepend('{{"query_pos":' || i || ',"subject_pos":' || j || '}}', pairs) ELSE pairs END, same + CASE WHEN m = 1 AND q[i] = s[j] THEN 1 ELSE 0 END
+    FROM (SELECT *, moves[i][j] AS m FROM tr WHERE i > 0 AND j > 0) WHERE m > 0),
+en AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY i + j) AS k FROM tr)
+SELECT pair_id, best::INT AS score, round(CASE WHEN len(pairs) > 0 THEN same / len(pairs)::DOUBLE ELSE 0 END, 9) AS identity, len(pairs)::INT AS mapped, '[' || array_to_string(pairs, ',') || ']' AS pairs FROM en WHERE k = 1""")
 def x1(spark, sf):
     return structure.align_pairs(_pairs(spark, sf)).select("pair_id", "score", F.round("identity", 9).alias("identity"), "mapped", F.to_json("pairs").alias("pairs"))
 

@@ -181,3 +181,62 @@ def test_positive_report(spark):
     assert {tuple(r) for r in clean.with_positive_report(rows).collect()} == {("before", 3, 3, 3, 2), ("after", 2, 3, 1, 1)}
     with pytest.raises(ValueError, match="positive"):
         clean.with_positive_report(rows.where("protein_id = 'b'"))
+
+
+def test_long_alignments_take_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(8)
+    q = "".join(rng.choices("ACDE", k=6000))
+    s = "".join(c for c in q if rng.random() > 0.1)
+    tracemalloc.start()
+    pairs, score, identity = structure.local_alignment(q, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) > 5000 and score > 6000 and identity > 0.9
+    assert peak < 25_000_000
+
+
+@pytest.mark.parametrize("kept, cells", [(2, 1), (3, 40), (48, 4_000_000)])
+def test_alignment_in_sections_is_that_of_one_matrix(monkeypatch, kept, cells):
+    import random
+
+    def plain(q, s):
+        h, trace, best = [[0] * (len(s) + 1) for _ in range(len(q) + 1)], {}, (0, 0, 0)
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(s) + 1):
+                d, u, left = h[i - 1][j - 1] + (2 if q[i - 1] == s[j - 1] else -1), h[i - 1][j] - 2, h[i][j - 1] - 2
+                v = max(d, u, left, 0)
+                h[i][j], trace[i, j] = v, 0 if v == 0 else 1 if d == v else 2 if u == v else 3
+                if v > best[0]:
+                    best = (v, i, j)
+        score, i, j = best
+        pairs = []
+        while i and j and trace[i, j]:
+            move = trace[i, j]
+            if move == 1:
+                pairs.append((i, j))
+            i, j = i - (move != 3), j - (move != 2)
+        return pairs[::-1], score
+
+    monkeypatch.setattr(structure, "KEPT", kept)
+    monkeypatch.setattr(structure, "CELLS", cells)
+    rng = random.Random(9)
+    for _ in range(60):
+        q, s = ("".join(rng.choices("AC" if rng.random() < 0.5 else "ACDE", k=rng.randint(1, 40))) for _ in range(2))
+        assert structure.local_alignment(q, s)[:2] == plain(q, s)
+
+
+def test_cnn_tiles_give_the_logits_of_the_whole(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    layers = [{"weight": draw.normal(size=(4, 3, 5)), "bias": draw.normal(size=4), "dilation": 2}, {"weight": draw.normal(size=(4, 4, 3)), "bias": draw.normal(size=4), "dilation": 3}, {"weight": draw.normal(size=(1, 4, 1)), "bias": draw.normal(size=1)}]
+    rows = spark.createDataFrame([(p, i + 1, draw.normal(size=3).tolist()) for p, n in (("a", 53), ("b", 1), ("c", 16)) for i in range(n)], "protein_id string, position int, embedding array<float>")
+    whole = {(r["protein_id"], r["position"]): r["logit"] for r in scoring.cnn_logits(rows, layers).collect()}
+    for tile in (1, 3, 16):
+        tiled = {(r["protein_id"], r["position"]): r["logit"] for r in scoring.cnn_logits(rows, layers, tile=tile).collect()}
+        assert tiled.keys() == whole.keys() and len(whole) == 70 and all(abs(tiled[k] - v) < 1e-9 for k, v in whole.items())
+    with pytest.raises(Exception, match="gap or repeat"):
+        scoring.cnn_logits(rows.where("position <> 7"), layers).collect()

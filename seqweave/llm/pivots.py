@@ -440,26 +440,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, ta
     At that similarity fingerprints over whole texts differ in more bits than any block scheme can guarantee, so
     candidates come from SAMPLES independent fingerprints over samples of shingles: a pair needs to be within the
     tables' radius on any of them, which 1 - (1 - likeness ** DRAWN) ** SAMPLES of the pairs at ``likeness`` are at
-    least (0.9999), wherever they differ. 128 bits over all shingles, with five standard deviations to spare, drop
-    most of the pairs that are less alike. What these connect are only candidates: inside each such group the shingle
-    sets are compared, and only pairs that are alike enough link. Nulls, empty texts, repeats and empty tables are as in simhash_components.
+    least (0.9999), wherever they differ. At the default radius of 0 that is what MinHash bands do: all coordinates
+    of a sampled fingerprint key its table, and neither the coordinate difference nor the exact distance discards
+    more; tables of a greater radius may be given. 128 bits over all shingles, with five standard deviations to
+    spare, drop most of the pairs that are less alike. What these connect are only candidates: inside each such
+    group the shingle sets are compared, and only pairs that are alike enough link. Texts are told apart by their
+    SHA-256 and numbered for the links, so no two of them are taken for one. Nulls, empty texts, repeats and empty tables are as in simhash_components.
     """
     tables = tables or PivotTables(radius=0, blocks=4, per_block=8)
     apart, checks = float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), ["s0", "s1"]
     reach = int(np.ceil(128 * apart + 5 * np.sqrt(128 * apart * (1 - apart))))
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = docs.select("doc_id", node.alias("node"), near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "node", "p.*")
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    prints = docs.select("doc_id", key.alias("key"), near_duplicate_fingerprints(shingle)("text").alias("p")).select("doc_id", "key", "p.*")
     prints = written(prints, "fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in (*checks, *sample_names()))), "fingerprint-nodes")
+    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in (*checks, *sample_names())))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
     links = near_links(nodes.select("node", *checks, F.posexplode(F.array(*sample_names())).alias("at", "fp")), tables, checks, reach)
     loose = connected_components(links)
     members = loose.select("node", F.col("root").alias("grp")).unionByName(loose.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
-    texts = docs.select(node.alias("node"), "text").join(members, "node").dropDuplicates(["node"])
+    members = nodes.select("node", "key").join(members, "node")
+    texts = docs.select(key.alias("key"), "text").join(members, "key").dropDuplicates(["key"])
     roots = verified_components(written(texts.select("node", "grp", shingle_set(shingle)("text").alias("grams")), "shingle-sets"), likeness)
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_doc")
+    rooted = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "first_doc")
     first = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-firsts")
-    lookup = rooted.join(first, "root").select("node", "component_id")
-    return prints.join(lookup, "node").select("doc_id", "component_id")
+    lookup = rooted.join(first, "root").select("key", "component_id")
+    return prints.join(lookup, "key").select("doc_id", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

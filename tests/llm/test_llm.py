@@ -899,3 +899,25 @@ def test_clashing_digests_are_decided_by_the_bytes(spark, tmp_path, monkeypatch)
     spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "ab"), (4, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_duplicates(spark, str(tmp_path / "t")).collect()}
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+
+
+def test_near_duplicates_tell_apart_texts_of_one_64_bit_hash(spark):
+    """Two texts whose XXH64 (seed 42) is made to collide: what a change of the first eight bytes does to its lane of the
+    state, another change 32 bytes on undoes."""
+    import xxhash
+
+    p1, p2, full = 11400714785074694791, 14029467366897019727, (1 << 64) - 1
+    turned = lambda x: ((x << 31) | (x >> 33)) & full
+    after = lambda a: turned((42 + p1 + p2 + a * p2) & full) * p1 & full
+    first, rest, last, tail = b"alpha be", b" one two three four five", b"omega ps", b" six seven eight nine te"
+    number = lambda x: int.from_bytes(x, "little")
+    for i in range(100_000):
+        other = f"{i:06d} b".encode()
+        undone = (number(last) + (after(number(first)) - after(number(other))) * pow(p2, -1, 1 << 64)) & full
+        if all(33 <= c < 127 for c in undone.to_bytes(8, "little")):
+            break
+    texts = [(first + rest + last + tail).decode(), (other + rest + undone.to_bytes(8, "little") + tail).decode()]
+    assert texts[0] != texts[1] and len({xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}) == 1
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[1]), (4, texts[0].upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in pivots.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+    assert sorted(r["doc_id"] for r in pivots.drop_near_duplicates(docs).collect()) == [1, 2]

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.functions.tiling import opened, with_halos
+
 ACTIVATIONS = {
     "relu": lambda x: np.maximum(x, 0),
     "tanh": np.tanh,
@@ -80,11 +82,7 @@ def cnn_logits(rows: DataFrame, layers: list[dict], activation: str = "relu", by
     reach = receptive_reach(layers)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        position = group["position"].to_numpy()
-        if (np.diff(position) != 1).any():
-            raise ValueError("the positions of a window have a gap or repeat")
-        own = (position - 1) // tile == group["_tile"].iloc[0]
+        group, own = opened(group, tile)
         x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
         for layer in layers[:-1]:
             x = ACTIVATIONS[activation](_convolved(x, layer))
@@ -92,8 +90,7 @@ def cnn_logits(rows: DataFrame, layers: list[dict], activation: str = "relu", by
         out["logit"] = _convolved(x, layers[-1])[own, 0]
         return out
 
-    near = F.floor((F.col("position") - 1 - reach) / tile), F.floor((F.col("position") - 1 + reach) / tile)
-    tiled = rows.select(*by, "position", "embedding", F.explode(F.sequence(*near)).alias("_tile"))
+    tiled = with_halos(rows.select(*by, "position", "embedding"), tile, reach)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return tiled.groupBy(*by, "_tile").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, "position")) + ", logit double")
 
@@ -104,11 +101,6 @@ def fit_linear(rows: DataFrame, pos_weight: float = 1.0):
     return LogisticRegression(weightCol="weight", maxIter=25, regParam=0.01).fit(data)
 
 
-def fit_mlp(rows: DataFrame, hidden: list[int], width: int):
-    data = rows.where("label is not null").select(array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
-    return MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=30, seed=1).fit(data)
-
-
 def predicted(rows: DataFrame, model) -> DataFrame:
     """rows with score, the model's probability of label 1."""
     out = model.transform(rows.withColumn("features", array_to_vector("embedding")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import low_complexity
 from seqweave.functions.intervals import points_in_spans
+from seqweave.functions.tiling import opened, with_halos
 
 
 def sliding_starts(length: Column, width: int, stride: int) -> Column:
@@ -121,18 +124,31 @@ def context_concat(rows: DataFrame, radius: int, width: int, by: list[str] = ("p
     return rows.withColumn("context", F.concat(*parts))
 
 
-def context_mean(rows: DataFrame, radius: int, include_self: bool = False) -> DataFrame:
-    """rows with context: the vector, then the mean of its neighbours; itself counts only if asked or if alone."""
-    along = Window.partitionBy("protein_id").orderBy("position").rowsBetween(-radius, radius)
-    near = F.collect_list(F.struct("position", "embedding")).over(along)
-    own = F.col("position")
-    rows = rows.withColumn("_near", near)
-    others = F.filter("_near", lambda x: x["position"] != own)
-    chosen = F.col("_near") if include_self else F.when(F.size(others) > 0, others).otherwise(F.col("_near"))
-    rows = rows.withColumn("_near", chosen)
-    total = F.aggregate("_near", F.transform("embedding", lambda _: F.lit(0.0).cast("double")), lambda a, x: F.zip_with(a, x["embedding"], lambda p, q: p + q))
-    mean = F.transform(total, lambda v: (v / F.size("_near")).cast("float"))
-    return rows.withColumn("context", F.concat("embedding", mean)).drop("_near")
+def context_mean(rows: DataFrame, radius: int, include_self: bool = False, tile: int = 4096) -> DataFrame:
+    """rows with context: the vector, then the mean of its neighbours; itself counts only if asked or if alone.
+
+    Neighbours are those at most radius places away in order of position. A sequence is cut into tiles, each with a
+    halo as wide as the radius; in a tile, running sums of vectors are taken once, and every mean is a difference of
+    two of them, so its cost doesn't grow with the radius. Vectors of a sequence must have one length.
+    """
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy("protein_id").orderBy("position")))
+    kinds, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), rows.columns
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group, own = opened(group, tile, "_place")
+        x = np.stack(group["embedding"].to_numpy())
+        sums = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
+        at = np.arange(len(x))
+        low, high = np.maximum(at - radius, 0), np.minimum(at + radius + 1, len(x))
+        total, n = sums[high] - sums[low], high - low
+        if not include_self:
+            others = n > 1
+            total, n = np.where(others[:, None], total - x, total), np.where(others, n - 1, n)
+        out = group.loc[own, columns].copy()
+        out["context"] = pd.Series(list(np.concatenate([x, total / n[:, None]], axis=1).astype(np.float32)[own]), index=out.index, dtype=object)
+        return out
+
+    return with_halos(placed, tile, radius, "_place").groupBy("protein_id", "_tile").applyInPandas(one, f"{kinds}, context array<float>")
 
 
 def chunk_index(records: DataFrame, width: int, overlap: int, stored: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.expressions import sigmoid
 from seqweave.functions.shared import shared_folder
-from seqweave.operators import history, joins, losses, scoring, splits, structure, windows
+from seqweave.operators import fitting, history, joins, losses, scoring, splits, structure, windows
 from seqweave.plans.registry import query
 from seqweave.sources import sinks
 from seqweave.sources.adapters import EMBEDDING_POSITIONS, EVENT_RESIDUES, EVENT_SEQUENCES, LINEITEM_PREDICTIONS, embedding_positions, event_residues, event_sequences, lineitem_predictions
@@ -41,7 +42,7 @@ SELECT batch, (SELECT count(*) FROM s WHERE s.batch = q.batch) AS n, round(-avg(
 def a13(spark, sf):
     key = F.concat_ws("/", "protein_id", F.col("position").cast("string"))
     rows = embedding_positions(spark, sf).withColumn("batch", F.col("protein_id").cast("long") % 4)
-    return losses.contrastive_loss(losses.capped_sample(rows, ["batch"], key, 16), ["batch"]).withColumn("loss", F.round("loss", 6))
+    return losses.contrastive_loss(losses.capped_sample(rows, ["batch"], key, 16), ["batch"], block=8).withColumn("loss", F.round("loss", 6))
 
 
 STEPS = f"{EV}, st AS (SELECT protein_id AS epoch, position AS step, score AS loss FROM ev)"
@@ -133,6 +134,17 @@ def l2(spark, sf):
     return scoring.predicted(rows.select("protein_id", "position", "embedding", "label"), scoring.fit_linear(rows, 2.0)).select("protein_id", "position", F.round("score", 4).alias("score"))
 
 
+@query("l2_fit_heads")
+def l2_heads(spark, sf):
+    """Scores of a dense and of a convolutional head after some steps of the weighted fit over all positions."""
+    rows = embedding_positions(spark, sf).select("protein_id", "position", "embedding", "label")
+    dense, _ = fitting.fit_head(rows, _layers(64), steps=4)
+    wide, _ = fitting.fit_head(rows, _convolutions(), steps=4, tile=16)
+    one = scoring.mlp_logits(rows.drop("label"), dense).withColumn("head", F.lit("dense"))
+    other = scoring.cnn_logits(rows, wide).withColumn("head", F.lit("convolutional"))
+    return one.unionByName(other).select("head", "protein_id", "position", F.round(sigmoid(F.col("logit")), 4).alias("score"))
+
+
 @query("l3_checked_width", f"{EM} SELECT protein_id, position, len(embedding)::INT AS width FROM em")
 def l3(spark, sf):
     return scoring.check_width(embedding_positions(spark, sf), 64).select("protein_id", "position", F.size("embedding").alias("width"))

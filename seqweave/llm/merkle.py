@@ -94,7 +94,8 @@ def build(docs: DataFrame, claim: Column | None = None, stride: int = STRIDE) ->
     """
     spark, folder, block = docs.sparkSession, shared_folder(docs.sparkSession, "merkle"), 1 << stride
     thin = docs.select("doc_id", "lang", leaf().alias("hash"), (F.lit(None) if claim is None else claim).cast("string").alias("claim"))
-    rows = numbered(thin, ["lang", "doc_id", "hash"], "merkle-rows")
+    # Once written the texts are read no more: finding the ranges to number by would hash them all a second time.
+    rows = numbered(written(thin, "merkle-thin"), ["lang", "doc_id", "hash"], "merkle-rows")
     groups = rows.groupBy("lang").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     groups = numbered(groups, ["lang"], "merkle-groups").withColumnRenamed("row", "tree")
     more = F.struct("doc_id", F.unhex(F.coalesce("claim", "hash")).alias("claim"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.ordering import numbered
-from seqweave.functions.shared import cut
+from seqweave.functions.shared import cut, written
 from seqweave.llm.checksums import REMAINDERS, crc32
 
 SHARDS = 40
@@ -105,7 +105,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> Dat
     """
     data = F.col("text").cast("binary")
     thin = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).alias("text_crc32"))
-    rows = numbered(thin, ["doc_id", "text_crc32", "size"], "shard-rows")
+    # Once written the texts are read no more: finding the ranges to number by would read them all a second time.
+    rows = numbered(written(thin, "shard-thin"), ["doc_id", "text_crc32", "size"], "shard-rows")
     return sharded(rows, rows.count(), shards, seed)
 
 

@@ -14,15 +14,32 @@ def labelled_pairs(labelled: DataFrame, unlabelled: DataFrame) -> DataFrame:
 
 
 def aligned_predictions(predictions: DataFrame, residues: DataFrame) -> DataFrame:
-    """predictions (protein_id, position string, score) with label and status: used, missing_pid, bad_pos or skipped_masked."""
+    """predictions (protein_id, position string, score) with label and status: used, missing_pid, bad_pos or skipped_masked.
+
+    Where residues has a column mark, the label as it stands in the file, a prediction that meets a mark other than 0, 1
+    and the hyphen raises.
+    """
     n = residues.groupBy("protein_id").agg(F.max("position").alias("_n"))
     at = F.col("position").try_cast("double").try_cast("int")
     rows = predictions.withColumn("_at", at).join(n, "protein_id", "left")
-    rows = rows.join(residues.select("protein_id", F.col("position").alias("_at"), "label"), ["protein_id", "_at"], "left")
+    marks = ["mark"] if "mark" in residues.columns else []
+    rows = rows.join(residues.select("protein_id", F.col("position").alias("_at"), "label", *marks), ["protein_id", "_at"], "left")
+    if marks:
+        odd = F.raise_error(F.concat(F.lit("unexpected label "), "mark", F.lit(" of "), "protein_id", F.lit(" at position "), "position")).cast("int")
+        rows = rows.withColumn("label", F.when(F.col("mark").isNull() | F.col("mark").isin("0", "1", "-"), F.col("label")).otherwise(odd)).drop("mark")
     status = F.when(F.col("_n").isNull(), "missing_pid").when(F.col("_at").isNull() | (F.col("_at") < 1) | (F.col("_at") > F.col("_n")), "bad_pos").when(F.col("label").isNull(), "skipped_masked").otherwise("used")
     return rows.withColumn("status", status).drop("_n", "_at")
 
 
+def require_aligned(rows: DataFrame) -> DataFrame:
+    """rows of aligned_predictions, if any is used; else an error with the counts and some ids that have no labels."""
+    counts = {r["status"]: r["n"] for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    if not counts.get("used"):
+        lost = [r["protein_id"] for r in rows.where("status = 'missing_pid'").select("protein_id").distinct().orderBy("protein_id").limit(5).collect()]
+        raise ValueError(f"no prediction meets a label: {counts}; ids without labels: {lost}")
+    return rows
+
+
 def feature_gaps(records: DataFrame, features: DataFrame) -> DataFrame:
     """protein_id, length, rows, status: ok, missing (no features) or mismatch (another number of rows)."""
     rows = features.groupBy("protein_id").agg(F.count("*").alias("rows"))

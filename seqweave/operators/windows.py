@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.expressions import low_complexity
+from seqweave.functions.expressions import low_complexity, safe_key
 from seqweave.functions.intervals import points_in_spans
 from seqweave.functions.tiling import opened, with_halos
+from seqweave.operators.joins import chunk_groups
 
 
 def sliding_starts(length: Column, width: int, stride: int) -> Column:
@@ -180,3 +181,22 @@ def concat_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     if not off.isEmpty():
         raise ValueError("chunks don't add up to the sequence length")
     return rows
+
+
+def merge_report(chunks: DataFrame, records: DataFrame, width: int, dry_run: bool = False) -> DataFrame:
+    """protein_id, seq_len, num_windows, old_chunk_indices (sorted), output, dry_run: what merging stored chunks
+    (chunk_id: <id>_<number>) into whole sequences does, or with dry_run would do. A chunk of an unknown sequence raises."""
+    groups = chunk_groups(chunks, records).select("protein_id", "indices", "known")
+    lost = F.raise_error(F.concat(F.lit("chunks of an unknown sequence: "), "protein_id")).cast("array<int>")
+    rows = groups.join(records.select("protein_id", F.length("sequence").alias("seq_len")), "protein_id", "left")
+    windows_ = F.ceil(F.col("seq_len") / width).cast("int")
+    return rows.select(
+        "protein_id", "seq_len", windows_.alias("num_windows"), F.when(F.col("known"), F.col("indices")).otherwise(lost).alias("old_chunk_indices"),
+        F.concat(safe_key(F.col("protein_id")), F.lit(".resfeat.txt")).alias("output"), F.lit(dry_run).alias("dry_run"),
+    )
+
+
+def merge_summary(report: DataFrame) -> DataFrame:
+    """merged_proteins, deleted_chunk_files, chunk_stems_found over a merge report; nothing is merged in a dry run."""
+    done = ~F.col("dry_run")
+    return report.agg(F.count_if(done).alias("merged_proteins"), F.coalesce(F.sum(F.when(done, F.size("old_chunk_indices")).otherwise(0)), F.lit(0)).alias("deleted_chunk_files"), F.count("*").alias("chunk_stems_found"))

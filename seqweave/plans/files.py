@@ -13,7 +13,8 @@ from seqweave.functions.expressions import safe_key, sanitize
 from seqweave.functions.shared import shared_folder, written
 from seqweave.operators import metrics, splits, windows
 from seqweave.plans.registry import query
-from seqweave.sources import scans, sinks, structures
+from seqweave.sources import named_texts, scans, sinks, structures
+from seqweave.sources.snapshots import FeatureStore
 from seqweave.sources.adapters import EMBEDDING_POSITIONS, EVENT_RESIDUES, EVENT_SEQUENCES, embedding_positions, event_residues, event_sequences, table
 
 ES = f"WITH {EVENT_RESIDUES}, {EVENT_SEQUENCES}"
@@ -27,6 +28,15 @@ def s1(spark, sf):
     return scans.labelled_fasta(spark, path).where("broken is null").select("protein_id", "sequence", "labels")
 
 
+@query("s1_labelled_fasta_splits", f"{ES} SELECT protein_id, sequence, labels FROM es")
+def s1_splits(spark, sf):
+    """The same records through the data source of named texts, in three files."""
+    path = shared_folder(spark, "fasta")
+    lines = event_sequences(spark, sf).select(F.concat(F.pmod(F.xxhash64("protein_id"), F.lit(3)).cast("string"), F.lit(".fasta")).alias("name"), "protein_id", F.concat(F.lit(">"), F.concat_ws("\n", "protein_id", "sequence", "labels")).alias("value"))
+    named_texts.write(lines, path, "protein_id")
+    return scans.labelled_fasta(spark, path, named=True).where("broken is null").select("protein_id", "sequence", "labels")
+
+
 @query("s2_plain_fasta", f"{ES} SELECT protein_id, sequence FROM es")
 def s2(spark, sf):
     path = shared_folder(spark, "fasta")
@@ -67,7 +77,8 @@ def k1(spark, sf):
 def k2(spark, sf):
     path = shared_folder(spark, "scores")
     sinks.score_files(event_residues(spark, sf), path)
-    return spark.read.text(path).select(F.col("name").cast("string").alias("protein_id"), F.col("value").alias("line"))
+    found = named_texts.read(spark, path).select(F.regexp_replace("name", "\\.txt$", "").alias("protein_id"), F.split(F.expr("rtrim('\n', value)"), "\n").alias("lines"))
+    return found.select("protein_id", F.explode("lines").alias("line"))
 
 
 @query("k3_timings", f"{ES} SELECT '# time per sequence' AS line UNION ALL SELECT 'sequence,milliseconds' UNION ALL SELECT protein_id || ',' || length(sequence) FROM es")
@@ -86,11 +97,21 @@ def k5(spark, sf):
     return spark.read.parquet(path).select("protein_id", "position", F.get("embedding", F.lit(0)).cast("double").alias("x"))
 
 
+@query("k5_feature_overwrite", f"WITH {EMBEDDING_POSITIONS} SELECT protein_id, position, CASE WHEN protein_id::BIGINT % 3 = 0 THEN -1.0 ELSE 1.0 END * embedding[1]::DOUBLE AS x FROM em")
+def k5_overwrite(spark, sf):
+    """All vectors, then those of every third sequence replaced by their negatives, as of the newest snapshot."""
+    rows = embedding_positions(spark, sf).select("protein_id", "position", "embedding")
+    store = FeatureStore(spark, shared_folder(spark, "feature-store"), 16)
+    store.write(rows)
+    store.write(rows.where(F.col("protein_id").cast("long") % 3 == 0).withColumn("embedding", F.transform("embedding", lambda x: -x)), overwrite=True)
+    return store.read().select("protein_id", "position", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+
+
 @query("s5_text_features", f"WITH {EMBEDDING_POSITIONS} SELECT protein_id, position, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 2) AS total FROM em")
 def s5(spark, sf):
     path = shared_folder(spark, "text-features")
-    sinks.text_features(embedding_positions(spark, sf), path)
-    rows = scans.text_feature_folders(spark, path)
+    sinks.feature_files(embedding_positions(spark, sf), path)
+    rows = scans.text_features(spark, path)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rows.select("protein_id", "position", F.size("embedding").alias("width"), F.round(total, 2).alias("total"))
 
@@ -267,7 +288,8 @@ def k10(spark, sf):
     scores = event_residues(spark, sf).where("position % 3 <> 0").select(F.concat_ws(".", "protein_id", part).alias("structure_id"), F.lit("A").alias("chain"), ((F.col("position") - 1) % MOST + 1).cast("int").alias("resseq"), F.lit("").alias("icode"), "score")
     path = shared_folder(spark, "annotated")
     sinks.annotated_structures(structures.annotated_lines(atoms, scores), path)
-    lines = spark.read.text(path).select(F.col("name").cast("string").alias("structure_id"), "value").where("value like 'ATOM%' or value like 'HETATM%'")
+    files = named_texts.read(spark, path).select(F.regexp_replace("name", "\\.pdb$", "").alias("structure_id"), F.explode(F.split("value", "\n")).alias("value"))
+    lines = files.where("value like 'ATOM%' or value like 'HETATM%'")
     lines = lines.select("structure_id", F.trim(F.substring("value", 23, 4)).cast("int").alias("number"), F.substring("value", 61, 6).alias("b"), F.length("value").alias("width"))
     protein, position = _place("structure_id", "number")
     rows = lines.select(protein.alias("protein_id"), position.alias("position"), F.when(F.col("width") == 80, "residue").otherwise("other").alias("kind"), "b", "width")
@@ -281,3 +303,29 @@ def s6b(spark, sf):
     n = F.col("protein_id").cast("long")
     names = ids.where(n % 2 == 0).select(F.concat("protein_id", F.lit(".npy")).alias("name")).unionByName(ids.where(n % 3 == 0).select(F.concat("protein_id", F.lit(".resfeat.txt")).alias("name")))
     return scans.resolve_sources(ids, names.withColumn("path", F.concat(F.lit("/f/"), "name")))
+
+
+@query("k6_exclusion_report", """WITH d AS (SELECT DISTINCT p_brand || ' ' || p_type AS id, p_brand FROM part), e AS (SELECT id FROM d WHERE p_brand = 'Brand#11' UNION SELECT 'lost ' || r_name FROM region), h AS (SELECT id FROM d WHERE p_brand IN ('Brand#11', 'Brand#22') UNION SELECT 'elsewhere')
+SELECT (SELECT count(*) FROM e) AS error_id_count_in_file, (SELECT string_agg(id, ',' ORDER BY id) FROM e JOIN d USING (id)) AS present, (SELECT string_agg(id, ',' ORDER BY id) FROM e ANTI JOIN d USING (id)) AS missing,
+  (SELECT string_agg(id, ',' ORDER BY id) FROM h JOIN d USING (id)) AS overlap, (SELECT count(*) FROM e JOIN d USING (id)) + (SELECT count(*) FROM h JOIN d USING (id)) AS excluded_total""")
+def k6_report(spark, sf):
+    """Kinds of parts, one brand in error, two in the holdout."""
+    parts = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("protein_id"), "p_brand").distinct()
+    error = parts.where("p_brand = 'Brand#11'").select("protein_id").unionByName(table(spark, sf, "region").select(F.concat(F.lit("lost "), "r_name").alias("protein_id")))
+    holdout = parts.where("p_brand in ('Brand#11', 'Brand#22')").select("protein_id").unionByName(spark.createDataFrame([("elsewhere",)], "protein_id string"))
+    path = shared_folder(spark, "exclusions")
+    sinks.exclusion_report(parts.select("protein_id"), error, holdout, path, "parts")
+    found = spark.read.json(path)
+    joined = lambda c: F.array_join(c, ",")
+    return found.select("error_id_count_in_file", joined("error_ids_present_in_source").alias("present"), joined("error_ids_missing_from_source").alias("missing"), joined("holdout_overlap_ids").alias("overlap"), "excluded_total")
+
+
+@query("k7_merge_report", f"""{ES}, w AS (SELECT protein_id, length(sequence) AS n, unnest(list_sort(list_distinct(list_append(range(0, greatest(length(sequence) - 24, 0) + 1, 16), greatest(length(sequence) - 24, 0))))) AS start FROM es)
+SELECT protein_id, n::INT AS seq_len, ceil(n / 24.0)::INT AS num_windows, array_to_string(range(1, count(*) + 1), ',') AS old_chunk_indices, protein_id || '.resfeat.txt' AS output, true AS dry_run FROM w GROUP BY protein_id, n""")
+def k7_merge(spark, sf):
+    """What merging every sequence's chunks would do."""
+    rows = event_sequences(spark, sf)
+    path = shared_folder(spark, "merge-report")
+    sinks.chunk_index(windows.merge_report(windows.chunk_index(rows, 24, 8), rows, 24, dry_run=True), path)
+    found = spark.read.schema("protein_id string, seq_len int, num_windows int, old_chunk_indices array<int>, output string, dry_run boolean").json(path)
+    return found.withColumn("old_chunk_indices", F.array_join(F.transform("old_chunk_indices", lambda i: i.cast("string")), ","))

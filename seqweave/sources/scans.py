@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import sanitize
+from seqweave.sources import named_texts
 
 #: Column names that a prediction table may use, the first that occurs wins.
 CANDIDATES = {
@@ -22,9 +23,13 @@ CANDIDATES = {
 EDGE = "^[\\s\\uFEFF]+|[\\s\\uFEFF]+$"
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """record_ix, lines: the stripped lines of each record that begins with >, blank lines left out."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("record_ix"), "value")
+def _records(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """record_ix, lines: the stripped lines of each record that begins with >, blank lines left out; named: by the data
+    source of named texts, else by Spark's own text scan."""
+    if named:
+        raw = named_texts.read(spark, path, ">").select("record_ix", "value")
+    else:
+        raw = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("record_ix"), "value")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
     return raw.select("record_ix", lines.alias("lines")).where(F.size("lines") > 0)
 
@@ -33,23 +38,23 @@ def _header(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.get(lines, F.lit(0)), "^>", ""), EDGE, "")
 
 
-def labelled_fasta(spark: SparkSession, path: str) -> DataFrame:
+def labelled_fasta(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
     """record_ix, protein_id, sequence (upper case), labels, broken: records of three lines; broken names what is wrong with the layout."""
-    rows = _records(spark, path)
+    rows = _records(spark, path, named)
     broken = F.when(F.size("lines") != 3, "line_count").when(_header(F.col("lines")) == "", "empty_id")
     return rows.select("record_ix", _header(F.col("lines")).alias("protein_id"), F.upper(F.get("lines", F.lit(1))).alias("sequence"), F.get("lines", F.lit(2)).alias("labels"), broken.alias("broken"))
 
 
-def strict_fasta(spark: SparkSession, path: str) -> DataFrame:
+def strict_fasta(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
     """record_ix, protein_id, sequence, broken: records of two lines."""
-    rows = _records(spark, path)
+    rows = _records(spark, path, named)
     broken = F.when(F.size("lines") != 2, "line_count").when(_header(F.col("lines")) == "", "empty_id")
     return rows.select("record_ix", _header(F.col("lines")).alias("protein_id"), F.upper(F.get("lines", F.lit(1))).alias("sequence"), broken.alias("broken"))
 
 
-def wrapped_fasta(spark: SparkSession, path: str) -> DataFrame:
+def wrapped_fasta(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
     """record_ix, protein_id, sequence, broken: any number of sequence lines, joined; ambiguous symbols become X."""
-    rows = _records(spark, path)
+    rows = _records(spark, path, named)
     sequence = sanitize(F.array_join(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1))), ""))
     broken = F.when(_header(F.col("lines")) == "", "empty_id").when(F.size("lines") < 2, "no_sequence")
     return rows.select("record_ix", _header(F.col("lines")).alias("protein_id"), sequence.alias("sequence"), broken.alias("broken"))
@@ -72,22 +77,27 @@ def id_list(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     return lines.where(F.startswith("value", F.lit(">"))).select(F.regexp_replace(F.expr("substring(value, 2)"), EDGE, "").alias("protein_id")).where("protein_id <> ''").distinct()
 
 
-def _matrix_rows(files: DataFrame) -> DataFrame:
+def _matrix_rows(files: DataFrame, refuse_ragged: bool = True) -> DataFrame:
     """protein_id, position, embedding of text matrices (protein_id, value): a line per position, numbers between blanks."""
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: x != "")
+    widths = F.transform(lines, lambda x: F.size(F.split(x, "\\s+")))
+    ragged = F.raise_error(F.concat(F.lit("rows of different width in the features of "), "protein_id")).cast("array<string>")
+    if refuse_ragged:
+        lines = F.when(F.coalesce(F.array_min(widths) != F.array_max(widths), F.lit(False)), ragged).otherwise(lines)
     rows = files.select("protein_id", F.posexplode_outer(lines).alias("ix", "line"))
     none = F.raise_error(F.concat(F.lit("no rows in the features of "), "protein_id")).cast("int")
     return rows.select("protein_id", F.when(F.col("ix").isNull(), none).otherwise(F.col("ix") + 1).alias("position"), F.transform(F.split("line", "\\s+"), lambda x: x.cast("float")).alias("embedding"))
 
 
-def text_features(spark: SparkSession, path: str, suffix: str = ".resfeat.txt") -> DataFrame:
-    """protein_id, position, embedding of text matrices <id><suffix>; a file without rows is an error."""
+def text_features(spark: SparkSession, path: str, suffix: str = ".resfeat.txt", refuse_ragged: bool = True) -> DataFrame:
+    """protein_id, position, embedding of text matrices <id><suffix>; a file without rows is an error, as is one with rows of
+    different width, unless ragged() is to name those."""
     files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
-    return _matrix_rows(files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("protein_id"), "value"))
+    return _matrix_rows(files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("protein_id"), "value"), refuse_ragged)
 
 
 def text_feature_folders(spark: SparkSession, path: str) -> DataFrame:
-    """text_features where each id has a folder (protein_id=<id>) with one file, as sinks.text_features writes them."""
+    """text_features where each id has a folder (protein_id=<id>) with one file."""
     return _matrix_rows(spark.read.text(path, wholetext=True).select(F.col("protein_id").cast("string").alias("protein_id"), "value"))
 
 

@@ -22,7 +22,7 @@ def test_fasta_layouts(spark, tmp_path):
 def test_features(spark, tmp_path):
     (tmp_path / "a.resfeat.txt").write_text("1 2\n3 4\n")
     (tmp_path / "b.resfeat.txt").write_text("1 2\n3\n")
-    rows = scans.text_features(spark, str(tmp_path))
+    rows = scans.text_features(spark, str(tmp_path), refuse_ragged=False)
     assert sorted((r["protein_id"], r["position"], r["embedding"]) for r in rows.collect())[1] == ("a", 2, [3.0, 4.0])
     assert [r["protein_id"] for r in scans.ragged(rows).collect()] == ["b"]
     np.save(tmp_path / "c.npy", np.ones((3, 2)))

@@ -30,21 +30,27 @@ def _binned(spans: DataFrame, start: str, end: str, level: Column) -> DataFrame:
     return own.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, by: list[str], position: Column, start: str, end: str, longest: int | None = None) -> DataFrame:
+def points_in_spans(points: DataFrame, spans: DataFrame, by: list[str], position: Column, start: str, end: str, longest: int | None = None, how: str = "inner") -> DataFrame:
     """Every pair of a point and a span [start, end) of the same group that holds its position, once.
 
     A position is in one bin of each width, and a span's bins of that width differ, so no pair can be found twice. Rows
     with a null group, position or end pair with nothing. Columns of both are returned; beside those in by they must
     have different names. Where spans are known to be no longer than longest, one width serves for all (a span that
     is longer all the same meets more bins); else the widths in use are asked for first, so spans should be a table.
+    With how="left" and longest given, points in no span are kept, with nulls.
     """
+    if how == "left" and longest is None:
+        raise ValueError("points in no span can be kept where one width serves for all spans")
     widths = levels_of(spans, start, end) if longest is None else [max(longest - 1, 0).bit_length()]
     level = _level(F.col(end) - F.col(start)) if longest is None else F.lit(widths[0])
     at = points.withColumn("_at", position.cast("long"))
     at = at.withColumn("_level", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
     at = at.withColumn("_bin", F.call_function("shiftright", F.col("_at"), F.col("_level")))
-    found = at.join(_binned(spans, start, end, level), [*by, "_level", "_bin"])
-    return found.where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end))).drop("_level", "_bin", "_at")
+    keys = [*by, "_level", "_bin"]
+    right = _binned(spans, start, end, level)
+    right = right.select(*(F.col(c).alias(f"_on_{c}" if c in keys else c) for c in right.columns))
+    on = [F.col(c) == F.col(f"_on_{c}") for c in keys] + [F.col("_at") >= F.col(start), F.col("_at") < F.col(end)]
+    return at.join(right, reduce(lambda x, y: x & y, on), how).drop("_level", "_bin", "_at", *(f"_on_{c}" for c in keys))
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:

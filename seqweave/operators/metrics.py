@@ -9,7 +9,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.expressions import ratio
@@ -17,6 +17,8 @@ from seqweave.functions.shared import written
 from seqweave.operators.rank import group_join, running
 
 GRID = (0.05, 0.95, 0.05)
+#: Distinct scores up to which a group's running sums are one window.
+FEW = 10_000
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -69,9 +71,17 @@ def _distinct(df: DataFrame, by: list[str], sign: int = 1) -> DataFrame:
     return written(rows.withColumn("neg", F.col("n") - F.col("pos")).withColumn("_key", sign * F.col("score")), "distinct-scores")
 
 
+def _summed(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """running() over a table of distinct scores; where that has few rows, one window a group gives the same."""
+    if rows.count() > FEW:
+        return running(rows, by, "_key", values)
+    along = Window.partitionBy(*by).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *(F.sum(v).over(along).alias(f"cum_{v}") for v in values))
+
+
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """auroc, ties counted half; null where a class is missing. Sorting is over distinct scores only."""
-    rows = running(_distinct(df, by), by, "_key", ["neg"])
+    rows = _summed(_distinct(df, by), by, ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     u = rows.groupBy(*by).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return u.select(*by, F.try_divide(F.col("u"), F.col("p").cast("double") * F.col("q")).alias("auroc"))
@@ -90,7 +100,7 @@ def average_precision(df: DataFrame, by: list[str], order: list[str]) -> DataFra
 
 def pr_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """pr_auc: trapezoid over one point per distinct score, from recall 0 and precision 1; NaN without positives."""
-    rows = running(_distinct(df, by, -1), by, "_key", ["pos", "n"])
+    rows = _summed(_distinct(df, by, -1), by, ["pos", "n"])
     total = rows.groupBy(*by).agg(F.sum("pos").alias("p"))
     before_n, before_pos = F.col("cum_n") - F.col("n"), F.col("cum_pos") - F.col("pos")
     precision, earlier = F.col("cum_pos") / F.col("cum_n"), F.when(before_n > 0, F.try_divide(before_pos.cast("double"), before_n.cast("double"))).otherwise(1.0)

@@ -130,17 +130,26 @@ def special_tokens(motifs: DataFrame) -> DataFrame:
     return motifs.groupBy("token").agg(F.min("motif_order").alias("motif_order"))
 
 
-def position_motifs(residues: DataFrame, found: DataFrame, motifs: DataFrame, max_per_residue: int = 1) -> DataFrame:
-    """residues (protein_id, position) with motif_id: the vocab id of the first motif in library order that covers the position, else 0."""
+def position_motifs(residues: DataFrame, found: DataFrame, motifs: DataFrame, max_per_residue: int = 1, longest: int | None = 64) -> DataFrame:
+    """residues (protein_id, position) with motif_id: the vocab id of the first motif in library order that covers the position, else 0.
+
+    Matches are put into bins as wide as longest, which few exceed (those meet more bins); None asks found for the
+    widths in use, and serves where matches are long.
+    """
     if max_per_residue <= 0:
         raise ValueError("max_per_residue must be positive")
     # Of matches at one span only the first in library order can decide, so the others go before the join.
-    spans = found.groupBy("protein_id", "start", "end").agg(F.min(F.struct("motif_order", "motif_id")).alias("_first"))
-    spans = written(spans, "motif-spans")
-    at = points_in_spans(residues.select("protein_id", "position"), spans, ["protein_id"], F.col("position") - 1, "start", "end")
-    first = at.groupBy("protein_id", "position").agg(F.min("_first").alias("_first")).select("protein_id", "position", F.col("_first.motif_id").alias("name"))
-    known = first.join(F.broadcast(vocabulary(motifs)), F.col("name") == F.col("motif_id")).select("protein_id", "position", F.col("vocab_id").alias("motif_id"))
-    return residues.join(known, ["protein_id", "position"], "left").withColumn("motif_id", F.coalesce("motif_id", F.lit(0)))
+    spans = found.groupBy("protein_id", "start", "end").agg(F.min("motif_order").alias("_order"))
+    names = motifs.groupBy("motif_order").agg(F.max("motif_id").alias("_name")).join(vocabulary(motifs), F.col("_name") == F.col("motif_id")).select(F.col("motif_order").alias("_first"), F.col("vocab_id").alias("motif_id"))
+    rows = residues.withColumn("_row", F.monotonically_increasing_id())  # rows that repeat stay apart
+    if not longest:
+        spans = written(spans, "motif-spans")
+        met = points_in_spans(rows, spans, ["protein_id"], F.col("position") - 1, "start", "end")
+        met = rows.join(met.groupBy("protein_id", "position").agg(F.min("_order").alias("_order")), ["protein_id", "position"], "left")
+    else:
+        met = points_in_spans(rows, spans, ["protein_id"], F.col("position") - 1, "start", "end", longest, "left")
+    first = met.groupBy(*residues.columns, "_row").agg(F.min("_order").alias("_first")).drop("_row")
+    return first.join(F.broadcast(names), "_first", "left").select(*residues.columns, F.coalesce("motif_id", F.lit(0)).alias("motif_id"))
 
 
 def coverage(encoded: DataFrame, by: list[str]) -> DataFrame:
@@ -152,8 +161,10 @@ def coverage(encoded: DataFrame, by: list[str]) -> DataFrame:
 
 def top_motifs(encoded: DataFrame, motifs: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     """by, motif_id, hits, nth: motifs by covered positions; ties in library order, motifs without a hit take part."""
-    hits = encoded.where("motif_id <> 0").groupBy(*by, F.col("motif_id").alias("vocab_id")).agg(F.count("*").alias("hits"))
-    every = encoded.select(*by).distinct().crossJoin(F.broadcast(vocabulary(motifs)))  # groups x library, both small
+    # One pass over the positions; uncovered ones count too, so that every group is in the small table that it gives.
+    counts = written(encoded.groupBy(*by, F.col("motif_id").alias("vocab_id")).agg(F.count("*").alias("hits")), "motif-hits")
+    hits = counts.where("vocab_id <> 0")
+    every = counts.select(*by).distinct().crossJoin(F.broadcast(vocabulary(motifs)))  # groups x library, both small
     joined = every.join(hits, [*by, "vocab_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("hits"), "vocab_id"))
     return joined.withColumn("nth", nth).where(F.col("nth") <= max(1, k)).select(*by, "motif_id", "hits", "nth")

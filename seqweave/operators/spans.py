@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.folding import folded
 from seqweave.functions.ordering import numbered
 from seqweave.functions.shared import cut, written
 
-#: Starts of one sequence that one task takes in order; a longer list is cut into blocks of so many.
-BLOCK = 1 << 15
+#: Matches of one sequence that one task takes in order; the starts of a longer list are cut into blocks of so many.
+BLOCK = 1 << 18
+SPAN = "protein_id string, motif_order int, motif_id string, token string, start int, end int"
 
 
 def first_at_start(found: DataFrame) -> DataFrame:
@@ -21,11 +23,24 @@ def first_at_start(found: DataFrame) -> DataFrame:
     return found.groupBy("protein_id", "start").agg(F.min(rest).alias("x")).select("protein_id", "x.motif_order", "x.motif_id", "x.token", "start", "x.end")
 
 
-def _short(best: DataFrame) -> DataFrame:
-    kind = "struct<start:int,motif_order:int,motif_id:string,token:string,end:int>"
-    rows = best.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("start", "motif_order", "motif_id", "token", "end"))).alias("all"))
-    taken = folded(F.col("all"), F.lit(0), kind, lambda upto, x: (F.when(x["start"] >= upto, x["end"]).otherwise(upto), x["start"] >= upto, x))
-    return rows.select("protein_id", F.inline(taken)).select("protein_id", "motif_order", "motif_id", "token", "start", "end")
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The choice over rows in order of sequence and start, the longest first; the end of the last one taken is all that is kept."""
+    now, upto = None, 0
+    for batch in batches:
+        taken = []
+        for i, (p, start, end) in enumerate(zip(batch["protein_id"].tolist(), batch["start"].tolist(), batch["end"].tolist(), strict=True)):
+            if p != now:
+                now, upto = p, 0
+            if start >= upto:
+                upto = end
+                taken.append(i)
+        yield batch.iloc[taken]
+
+
+def _short(found: DataFrame) -> DataFrame:
+    order = ["protein_id", "start", F.col("start") - F.col("end"), "motif_order", "motif_id"]
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(n, "protein_id").sortWithinPartitions(*order).mapInPandas(_streamed, SPAN)
 
 
 def _exits(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -115,11 +130,11 @@ def _long(best: DataFrame, block: int) -> DataFrame:
 def greedy_spans(found: DataFrame, block: int = BLOCK) -> DataFrame:
     """Matches that don't overlap: by start, the longest, then library order; one is taken if it begins after the last taken ends.
 
-    Sequences with at most block starts are folded, one at a time. A longer one is cut into blocks of starts, each
-    handled by a task of its own. Repeated matches count once; a table without matches gives no rows.
+    Sequences with at most block matches are dealt out whole and run through in order. A longer one is cut into blocks
+    of starts, each handled by a task of its own. Repeated matches count once; a table without matches gives no rows.
     """
-    best = written(first_at_start(found), "span-starts")
-    long = written(best.groupBy("protein_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("protein_id"), "long-sequences")
-    if long.isEmpty():
-        return _short(best)
-    return _short(best.join(long, "protein_id", "left_anti")).unionByName(_long(best.join(long, "protein_id", "left_semi"), block))
+    found = written(found.select("protein_id", "motif_order", "motif_id", "token", "start", "end"), "matches")
+    long = found.groupBy("protein_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("protein_id")
+    if found.count() <= block or long.isEmpty():
+        return _short(found)
+    return _short(found.join(long, "protein_id", "left_anti")).unionByName(_long(first_at_start(found.join(long, "protein_id", "left_semi")), block))

@@ -81,6 +81,7 @@ def text_features(rows: DataFrame, path: str) -> None:
 
 def feature_manifest(spark, path: str, hidden_size: int, backbone_name: str, suffix: str = ".resfeat.txt", **more) -> None:
     """What a folder of text features holds, as one JSON object: how its files are laid out, by which model, and more."""
+    # How such a manifest describes its files.
     layout = {"format": "one_file_per_protein", "file_suffix": suffix, "lines_format": "whitespace_separated_float32", "row_axis": "residue_position"}
     one_json(spark, {"generated_at_utc": datetime.now(UTC).replace(microsecond=0).isoformat(), **layout, "hidden_size": int(hidden_size), "backbone_name": str(backbone_name), **more}, path)
 
@@ -90,6 +91,10 @@ def one_json(spark, values: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
+#: Fixed value: the key under which a manifest lists the whole holdout.
+HOLDOUT_KEY = "caid_holdout_ids"
+
+
 def _few(counts: dict[str, int], bound: int) -> None:
     if (most := max(counts.values(), default=0)) > bound:
         raise ValueError(f"one object holds at most {bound} ids of a kind, not {most}; write a split table")
@@ -118,7 +123,7 @@ def split_manifest(split: DataFrame, path: str, seed: int, ratio: float, bound:
         more = {"source_records": ids.select("protein_id").distinct().count(), "eligible_records": sum(counts.values()), "train_records": counts.get("train", 0), "val_records": counts.get("val", 0)}
         sizes = {"excluded_error_records": "excluded_error_ids", "excluded_holdout_overlap_records": "excluded_holdout_overlap_ids"}
         numbers = F.struct(*(F.lit(v).cast("long").alias(k) for k, v in more.items()), *(F.size(c).cast("long").alias(k) for k, c in sizes.items()))
-        fields = [F.lit(source).alias("source_fasta"), *fields[:2], numbers.alias("counts"), "train_ids", "val_ids", "excluded_error_ids", "excluded_holdout_overlap_ids", F.col("holdout_ids").alias("caid_holdout_ids")]
+        fields = [F.lit(source).alias("source_fasta"), *fields[:2], numbers.alias("counts"), "train_ids", "val_ids", "excluded_error_ids", "excluded_holdout_overlap_ids", F.col("holdout_ids").alias(HOLDOUT_KEY)]
     lists.select(*fields).coalesce(1).write.json(path)
 
 

@@ -744,10 +744,13 @@ ADDED = [
 
 
 def test_trees_add_named_spans_and_keep_the_base(spark, trained):
-    """Obfuscated, reformatted and neighbouring spans come in by name, decoys don't, and base spans stay."""
+    """Obfuscated, reformatted and neighbouring spans come in by name, decoys don't, and base spans stay; the report is
+    of forms that the trees haven't seen, of which nine in ten are found, and eight in ten of each kind."""
     assert trained.trees and max(trained.thresholds) <= 1
     for there, proposed, good, wrong in trained.report.values():
-        assert there >= 20 and proposed >= 0.95 * there and good >= 0.9 * there and good >= 0.98 * (good + wrong)
+        assert there >= 20 and proposed >= 0.95 * there and good >= 0.8 * there and good >= 0.98 * (good + wrong)
+    there, _, good, _ = map(sum, zip(*trained.report.values(), strict=True))
+    assert good >= 0.9 * there
     rows = spark.createDataFrame([x[:2] for x in ADDED], "doc_id long, text string")
     for r in pii.find(rows, trained).collect():
         _, text, more = ADDED[r["doc_id"] - 1]
@@ -756,12 +759,15 @@ def test_trees_add_named_spans_and_keep_the_base(spark, trained):
         assert set(r["spans"].split(",")) - {""} == base | more, (r["spans"], base)
 
 
+    (6, "ring 0176/12345678 or mail john dot smith at example dot com", [("phone", "0176/12345678"), ("email", "john dot smith at example dot com")]),
+    (7, "pi is 3.14159265, zip 12345-6789, ratio 0.123456789, isbn 0-306-40615-2", []),
 def test_added_spans_come_from_the_generators(spark, docs, trained):
     """What is added is what a generator proposes, apart from the base and from one another."""
     for r in pii.find(docs, trained).collect():
         text, (_, base) = r["text"] or "", base_reference(r["text"] or "")
         extra = sorted(set(r["spans"].split(",")) - {""} - set(base))
         taken = [tuple(map(int, x.split(":")[1:])) for x in base]
+    assert not set(pii.UNSEEN + pii.UNSEEN_DECOYS) & set(pii.POSITIVE + pii.DECOYS)
         for span in extra:
             kind, a, b = span.split(":")
             a, b = int(a), int(b)

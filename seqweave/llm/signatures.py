@@ -191,14 +191,23 @@ NAMES = (
 
 #: Priority, confidence, and how a name stands in a statement.
 TEMPLATES = (
-    (IDENTIFIER, 0.99, "spdx license identifier {name}(?: only| or later)?"),
-    (STATEMENT, 0.95, "(?:licen[sc]ed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (STATEMENT, 0.8, "under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (STATEMENT, 0.8, "{name} licen[sc]e"),
-    (MENTION, 0.6, "{name}(?= copyright)|licen[sc]e {name}"),
+    (IDENTIFIER, 0.99, "spdx(?: license)?(?: id| identifier)? {name}(?: only| or later)?"),
+    (STATEMENT, 0.95, "spdx license identifier(?: [^ ]+){1,5}? (?:or|and) {name}(?: only| or later)?"),
+    (STATEMENT, 0.95, "(?:licen[sc]ed|released|distributed|published|available|shared) under (?:either |both )?(?:of )?(?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]es?)?"),
+    (STATEMENT, 0.9, "licen[sc]ed (?:as|with|by|via|using) (?:the )?{name}(?: licen[sc]e)?"),
+    (STATEMENT, 0.9, "{name} licen[sc]ed"),
+    (STATEMENT, 0.8, "(?:under|terms of|terms and conditions of) (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
+    (STATEMENT, 0.8, "{name} licen[sc]es?"),
+    (MENTION, 0.6, "{name}(?= copyright)|licen[sc]es?(?: is| are| type| name| id)?(?: the)? {name}"),
 )
+#: The names that say enough alone, so that they need no statement; their confidence.
+ALONE = (
+    "mit-0", "apache-1.1", "apache-2", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-1.1", "mpl-2", "epl-1", "epl-2",
+    "bsl-1", "artistic-2", "ofl-1.1", "wtfpl", "cc0", "eupl-1.2", "ms-pl", "odbl-1", "gfdl", "psf-2",
+)
+NAMED = 0.6
 #: One of these is in the text of every statement, and of every license text.
-ANCHORS = (" licen", " under ", " copyright")
+ANCHORS = (" licen", " under ", " copyright", " spdx ", " terms ")
 TEXT_ANCHORS = (" licen", " copyright", " software ", " public ", " redistribution", " distribut", " terms ", " liable ", " library ", " exception ", " invariant ", " worth ", " charityware ", " prohibited", " proprietary ", " openrail ", " fuck ", " advertising ")
 
 
@@ -215,10 +224,12 @@ def creative_commons() -> list[tuple[str, tuple[str, ...], str]]:
 
 
 def signature_rules() -> list[Rule]:
-    """The ordered rules, each once: the texts, then every name in every statement. The order breaks ties."""
+    """The ordered rules, each once: the texts, then every name in every statement, then the names that need none. The
+    order breaks ties."""
     whole = lambda regex: f"(?<![^ ])(?:{regex})(?![^ ])"
     rules = [Rule(label, (keyword,), whole(regex), TEXT, 0.97, TEXT_ANCHORS) for label, keyword, regex in TEXTS]
     for priority, confidence, template in TEMPLATES:
         for label, keywords, name in (*NAMES, *creative_commons()):
             rules.append(Rule(label, keywords, whole(template.replace("{name}", f"(?:{name})")), priority, confidence, ANCHORS))
-    return rules
+    alone = [x for x in NAMES if x[0] in ALONE]
+    return rules + [Rule(label, keywords, whole(name), MENTION, NAMED) for label, keywords, name in (*alone, *creative_commons())]

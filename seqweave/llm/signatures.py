@@ -200,9 +200,10 @@ TEMPLATES = (
     (STATEMENT, 0.8, "{name} licen[sc]es?"),
     (MENTION, 0.6, "{name}(?= copyright)|licen[sc]es?(?: is| are| type| name| id)?(?: the)? {name}"),
 )
-#: The names that say enough alone, so that they need no statement; their confidence.
+#: The names that say enough alone, so that they need no statement; their confidence. "mit 0" isn't one:
+#: in German it says "with 0".
 ALONE = (
-    "mit-0", "apache-1.1", "apache-2", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-1.1", "mpl-2", "epl-1", "epl-2",
+    "apache-1.1", "apache-2", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-1.1", "mpl-2", "epl-1", "epl-2",
     "bsl-1", "artistic-2", "ofl-1.1", "wtfpl", "cc0", "eupl-1.2", "ms-pl", "odbl-1", "gfdl", "psf-2",
 )
 NAMED = 0.6

@@ -233,7 +233,7 @@ def x1_scores(spark, sf):
 @query("x2_best_structure", f"""WITH {LINEITEM_PREDICTIONS}, c AS (SELECT protein_id, position AS source_order, l_q AS mapped, 50 AS query_length, score AS identity FROM (SELECT li.*, (price / 2500)::INT AS l_q FROM li)),
 r AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY mapped / 50.0 DESC, mapped DESC, identity DESC, source_order) AS i FROM c WHERE mapped > 0) SELECT protein_id, source_order, mapped, identity FROM r WHERE i = 1""")
 def x2(spark, sf):
-    rows = lineitem_predictions(spark, sf).select("protein_id", F.col("position").alias("source_order"), F.round(F.col("price") / 2500).cast("int").alias("mapped"), F.lit(50).alias("query_length"), F.col("score").alias("identity"))
+    rows = lineitem_predictions(spark, sf).select("protein_id", F.col("position").alias("source_order"), F.rint(F.col("price") / 2500).cast("int").alias("mapped"), F.lit(50).alias("query_length"), F.col("score").alias("identity"))
     return structure.best_structure(rows).select("protein_id", "source_order", "mapped", "identity")
 
 

@@ -1,23 +1,28 @@
 """A Spark data source for text files that keep their own names: read in splits, written one file a name.
 
 spark.read.format("named_texts") gives name, record_ix, value. With the option recordStart records begin at lines that
-begin with it, and files are read in splits; without it a file is one record. df.write.format("named_texts") takes
-name and value, the lines of each name together in one partition and in order.
+begin with it, and files are read in splits; without it a file is one record. Many small files are read by one task.
+df.write.format("named_texts") takes name and value, the lines of each name together in one partition and in order.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FORMAT = "named_texts"
 SPLIT_BYTES = 64 << 20
+#: Bytes that one task reads of small files, what opening a file counts as, and files that a commit places at once.
+PACK_BYTES, OPEN_BYTES, MOVES = 16 << 20, 16 << 10, 16
 STAGING = "_staging"
 
 
@@ -40,10 +45,11 @@ def _files(path: str) -> list[fs.FileInfo]:
 
 @dataclass
 class Split(InputPartition):
+    """Pieces (name, start, end) of files in a folder, numbered from nth; several only where they are small."""
+
     nth: int
-    file: str
-    start: int
-    end: int
+    folder: str
+    pieces: list[tuple[str, int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -52,22 +58,39 @@ class _Reader(DataSourceReader):
         self.size = int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self) -> list[Split]:
-        spans = [(f.path, a, min(a + self.size, f.size) if self.mark else f.size) for f in _files(self.path) for a in (range(0, max(f.size, 1), self.size) if self.mark else (0,))]
-        return [Split(i, *span) for i, span in enumerate(spans)]
+        out: list[Split] = []
+        room = 0
+        for n, (folder, piece) in enumerate(self._pieces()):
+            cost = piece[2] - piece[1] + OPEN_BYTES
+            if not out or cost > room:
+                out.append(Split(n, folder, []))
+                room = min(self.size, PACK_BYTES)
+            out[-1].pieces.append(piece)
+            room -= cost
+        return out
+
+    def _pieces(self) -> Iterator[tuple[str, tuple[str, int, int]]]:
+        for f in _files(self.path):
+            folder, _, name = f.path.rpartition("/")
+            for start in range(0, max(f.size, 1), self.size) if self.mark else (0,):
+                yield folder, (name, start, min(start + self.size, f.size) if self.mark else f.size)
 
     def read(self, split: Split) -> Iterator[tuple[str, int, str]]:
-        """The records that begin in the split; the last one is read to its end, wherever that is."""
         store, _ = _store(self.path)
-        name, mark = split.file.rpartition("/")[2], self.mark.encode()
-        first = split.nth << 33
-        with store.open_input_file(split.file) as file:
+        for n, piece in enumerate(split.pieces, split.nth):
+            yield from self._records(store, split.folder, *piece, n << 33)
+
+    def _records(self, store: fs.FileSystem, folder: str, name: str, begin: int, end: int, first: int) -> Iterator[tuple[str, int, str]]:
+        """The records that begin in the piece; the last one is read to its end, wherever that is."""
+        mark = self.mark.encode()
+        with store.open_input_file(f"{folder}/{name}") as file:
             if not mark:
                 yield name, first, file.read().decode()
                 return
-            at = max(split.start - 1, 0)
+            at = max(begin - 1, 0)
             file.seek(at)
             lines = _lines(file)
-            if split.start:
+            if begin:
                 at += len(next(lines, b""))  # what is left of a line that began in the split before
             held: list[bytes] = []
             for line in lines:
@@ -76,12 +99,12 @@ class _Reader(DataSourceReader):
                         yield name, first, b"".join(held).decode()
                         first += 1
                     held = []
-                    if at >= split.end:
+                    if at >= end:
                         return
                     held = [line]
-                elif held or split.start == 0:  # before the first mark only the file's own beginning counts
+                elif held or begin == 0:  # before the first mark only the file's own beginning counts
                     held.append(line)
-                elif at >= split.end:
+                elif at >= end:
                     return
                 at += len(line)
             if held:
@@ -105,33 +128,35 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Tasks write below a staging folder of the job; only its commit gives files their names, so a task that fails or
     runs twice leaves none."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
         folder, names, sink, now = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", [], None, None
         seen: set[str] = set()
         try:
-            for row in iterator:
-                if row["name"] != now:
-                    if sink is not None:
-                        sink.close()
-                    now = row["name"]
-                    if not now or now in (".", "..", STAGING) or "/" in now or "\\" in now:
-                        raise ValueError(f"{now!r} can't be a file's name")
-                    if now in seen:
-                        raise ValueError(f"the lines of {now!r} don't stand together")
-                    if not names:
-                        store.create_dir(folder)
-                    seen.add(now)
-                    names.append(now)
-                    sink = store.open_output_stream(f"{folder}/{now}")
-                sink.write((row["value"] or "").encode() + b"\n")
+            for batch in iterator:
+                lines = zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True)
+                for name, own in groupby(lines, lambda line: line[0]):
+                    if sink is None or name != now:
+                        if sink is not None:
+                            sink.close()
+                        now = name
+                        if not now or now in (".", "..", STAGING) or "/" in now or "\\" in now:
+                            raise ValueError(f"{now!r} can't be a file's name")
+                        if now in seen:
+                            raise ValueError(f"the lines of {now!r} don't stand together")
+                        if not names:
+                            store.create_dir(folder)
+                        seen.add(now)
+                        names.append(now)
+                        sink = store.open_output_stream(f"{folder}/{now}")
+                    sink.write("".join(f"{value or ''}\n" for _, value in own).encode())
         finally:
             if sink is not None:
                 sink.close()
@@ -150,8 +175,9 @@ class _Writer(DataSourceWriter):
             if there & names:
                 self.abort(messages)
                 raise ValueError(f"{len(there & names)} of the names are taken; write with mode overwrite")
-        for folder, name in placed:
-            store.move(f"{folder}/{name}", f"{root}/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda p: store.move(f"{p[0]}/{p[1]}", f"{root}/{p[1]}"), placed):
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -174,7 +200,7 @@ class NamedTexts(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], overwrite)
 
 

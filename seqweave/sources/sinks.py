@@ -25,11 +25,10 @@ def score_files(scores: DataFrame, path: str, threshold: float = 0.5, suffix: st
     label between tabs. Ids that share a name are refused."""
     lines = scores.select("protein_id", "position", F.concat_ws("\t", F.col("position").cast("string"), "symbol", F.format_string("%.3f", "score"), at_threshold(F.col("score"), threshold).cast("string")).alias("value"))
     heads = scores.select("protein_id").distinct().select("protein_id", F.lit(0).alias("position"), F.concat(F.lit(">"), "protein_id").alias("value"))
-    both = lines.unionByName(heads).withColumn("name", F.concat(F.regexp_replace("protein_id", "[/\\\\]", "_"), F.lit(suffix)))
-    shared = both.where("position = 0").groupBy("name").count().where("count > 1")
-    if not shared.isEmpty():
+    name = F.concat(F.regexp_replace("protein_id", "[/\\\\]", "_"), F.lit(suffix))
+    if not heads.groupBy(name).count().where("count > 1").isEmpty():
         raise ValueError("several ids would share one file's name")
-    named_texts.write(both, path, "position", overwrite)
+    named_texts.write(lines.unionByName(heads).withColumn("name", name), path, "position", overwrite)
 
 
 def timings_csv(timings: DataFrame, path: str, comment: str = "# time per sequence") -> None:

@@ -123,3 +123,16 @@ def test_merge_report_of_chunks(spark):
     assert tuple(windows.merge_summary(windows.merge_report(chunks, records, 20, dry_run=True)).first()) == (0, 0, 2)
     with pytest.raises(Exception, match="unknown sequence: r"):
         windows.merge_report(spark.createDataFrame([("r_1",)], "chunk_id string"), records, 20).collect()
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    lines = spark.range(6000).select(F.format_string("%04d.txt", F.col("id") % 2000).alias("name"), F.col("id").alias("ix"), F.concat(F.lit(">"), F.col("id").cast("string")).alias("value"))
+    named_texts.write(lines, str(tmp_path / "s"), "ix")
+    for mark, records in (("", 2000), (">", 6000)):
+        read = named_texts.read(spark, str(tmp_path / "s"), mark)
+        assert read.rdd.getNumPartitions() <= 3
+        rows = sorted((r["record_ix"], r["name"], r["value"]) for r in read.collect())
+        assert len(rows) == records == len({r[0] for r in rows}) and [r[1] for r in rows] == sorted(r[1] for r in rows)
+        assert "".join(r[2] for r in rows) == "".join(f">{i + k}\n" for i in range(2000) for k in (0, 2000, 4000))
+    (tmp_path / "s" / "0000.txt").write_bytes(b"x" * (20 << 20))
+    assert named_texts.read(spark, str(tmp_path / "s")).rdd.getNumPartitions() == 1 + 2  # a large one is read alone

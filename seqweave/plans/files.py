@@ -254,12 +254,16 @@ def _atoms(spark, sf):
     models = F.col("protein_id").cast("long") % 2 == 0
     code = F.when(models, F.col("code")).otherwise(F.lower("code"))
 
-    def line(kind: str, atom: str, alternate: str, residue) -> F.Column:
-        return F.format_string(f"{kind}%5d  {atom} {alternate}%s A%4d      11.000  12.000  13.000  1.00 20.00", "n", residue, "n")
+    def line(kind: str, atom: str, alternate: str, x, residue) -> F.Column:
+        return F.concat(F.lit(kind), F.lpad(x["number"], 5, " "), F.lit(f"  {atom} {alternate}"), residue, F.lit(" A"), F.lpad(x["number"], 4, " "), F.lit("      11.000  12.000  13.000  1.00 20.00"))
 
-    lines = F.array(line("ATOM  ", "CA", " ", code), line("ATOM  ", "CB", " ", code), line("ATOM  ", "CB", "B", code), line("HETATM", " O", " ", F.lit("HOH")))
-    texts = rows.groupBy("protein_id", "part").agg(F.array_sort(F.collect_list(F.struct("n", F.array_join(lines, "\n").alias("lines")))).alias("at"))
-    body = F.array_join("at.lines", "\n")
+    def residue(x) -> F.Column:
+        return F.concat_ws("\n", line("ATOM  ", "CA", " ", x, x["code"]), line("ATOM  ", "CB", " ", x, x["code"]), line("ATOM  ", "CB", "B", x, x["code"]), line("HETATM", " O", " ", x, F.lit("HOH")))
+
+    # Numbers and codes are collected and not lines, which are longer by far.
+    at = F.array_sort(F.collect_list(F.struct("n", F.col("n").cast("string").alias("number"), code.alias("code"))))
+    texts = rows.groupBy("protein_id", "part").agg(at.alias("at")).select("protein_id", "part", F.array_join(F.transform("at", residue), "\n").alias("body"))
+    body = F.col("body")
     whole = F.when(models, F.concat(F.lit("MODEL        1\n"), body, F.lit("\nENDMDL\nMODEL        2\n"), body, F.lit("\nENDMDL\n"))).otherwise(F.concat(F.lit("HEADER\nENDMDL\n"), body, F.lit("\nEND\n")))
     return structures.atom_lines(texts.select(F.concat_ws(".", "protein_id", "part").alias("structure_id"), whole.alias("text")))
 

@@ -14,6 +14,8 @@ LETTERS = {
 
 #: Where a text's lines end.
 LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: Ends other than a line feed.
+RARE_END = "[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def letters() -> Column:
@@ -27,16 +29,20 @@ def atom_lines(texts: DataFrame) -> DataFrame:
     ENDMDL line if there was a MODEL line before. Alternate locations other than blank, A and 1, unknown residue codes
     (water, ligands) and lines of fewer than 27 characters belong to no residue.
     """
-    body = F.regexp_replace("text", f"(?:{LINE_END})$", "")
-    lines = texts.select("structure_id", F.posexplode(F.split(body, LINE_END)).alias("line_ix", "line"))
-    so_far = Window.partitionBy("structure_id").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, 0)
-    model = F.startswith("line", F.lit("MODEL"))
-    lines = lines.withColumn("models", F.sum(F.when(model, 1).otherwise(0)).over(so_far))
-    ends = (model & (F.col("models") > 1)) | (F.startswith("line", F.lit("ENDMDL")) & (F.col("models") > 0))
-    lines = lines.withColumn("ended", F.max(F.when(ends, 1).otherwise(0)).over(so_far))
+    # A text is one row, so where its first model ends is known before its lines part: nothing is shuffled or sorted.
+    body = F.concat(F.expr("left(text, length(text) - 4)"), F.regexp_replace(F.expr("right(text, 4)"), f"(?:{LINE_END})$", ""))
+    rows = texts.select("structure_id", body.alias("text"))
+    rows = rows.select("structure_id", F.when(F.rlike("text", F.lit(RARE_END)), F.split("text", LINE_END)).otherwise(F.split("text", "\n")).alias("lines"))
+    model = lambda x: F.startswith(x, F.lit("MODEL"))
+    # The few MODEL lines by their places and ENDMDL lines by -1 - place; from them -2: no model yet, -1: it doesn't end.
+    marks = F.filter(F.transform("lines", lambda x, i: F.when(F.startswith(x, F.lit("MODEL")), i).when(F.startswith(x, F.lit("ENDMDL")), -1 - i)), lambda m: m.isNotNull())
+    over = F.aggregate(marks, F.lit(-2), lambda a, m: F.when(a >= 0, a).when(a == -1, F.greatest(m, -1 - m)).when(m >= 0, -1).otherwise(-2))
+    # Outer, since Spark would otherwise build and split every text once more to filter by the number of its lines.
+    lines = rows.withColumn("over", over).select("structure_id", "over", F.posexplode_outer("lines").alias("line_ix", "line")).where("line is not null")
+    in_first = (F.col("over") < 0) | (F.col("line_ix") < F.col("over"))
     cut = lambda a, b: F.substring("line", a, b)
     resseq, symbol = F.trim(cut(23, 4)).try_cast("int"), F.try_element_at(letters(), F.upper(F.trim(cut(18, 3))))
-    atom = cut(1, 6).isin("ATOM  ", "HETATM") & (F.length("line") >= 27) & cut(17, 1).isin(" ", "A", "1") & (F.col("ended") == 0)
+    atom = cut(1, 6).isin("ATOM  ", "HETATM") & (F.length("line") >= 27) & cut(17, 1).isin(" ", "A", "1") & in_first
     rows = lines.select("structure_id", "line_ix", "line", F.trim(cut(22, 1)).alias("chain"), resseq.alias("resseq"), F.trim(cut(27, 1)).alias("icode"), symbol.alias("symbol"), atom.alias("atom"))
     is_atom = F.col("atom") & F.col("symbol").isNotNull() & F.col("resseq").isNotNull()
     return rows.select("structure_id", "line_ix", "line", is_atom.alias("is_atom"), "chain", "resseq", "icode", "symbol")
@@ -64,9 +70,9 @@ def annotated_lines(atoms: DataFrame, scores: DataFrame) -> DataFrame:
     scores: structure_id, chain, resseq, icode, score.
     """
     joined = atoms.join(scores, ["structure_id", "chain", "resseq", "icode"], "left")
-    wide = F.rpad("line", F.greatest(F.length("line"), F.lit(80)), F.lit(" "))
-    new = F.concat(F.substring(wide, 1, 60), F.format_string("%6.2f", F.coalesce("score", F.lit(-1.0))), F.expr("substring(wide, 67)"))
-    return joined.withColumn("wide", wide).select("structure_id", "line_ix", F.when(F.col("is_atom"), new).otherwise(F.col("line")).alias("line"))
+    rows = joined.select("structure_id", "line_ix", "is_atom", "line", "score", F.rpad("line", F.greatest(F.length("line"), F.lit(80)), F.lit(" ")).alias("wide"))
+    new = F.concat(F.substring("wide", 1, 60), F.format_string("%6.2f", F.coalesce("score", F.lit(-1.0))), F.expr("substring(wide, 67)"))
+    return rows.select("structure_id", "line_ix", F.when(F.col("is_atom"), new).otherwise(F.col("line")).alias("line"))
 
 
 def cross_references(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

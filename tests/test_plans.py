@@ -1,6 +1,7 @@
 """Registered queries on small tables of the cases that the given ones rarely hold."""
 
 from seqweave.plans import modelling
+from seqweave.sources import structures
 
 
 def test_best_structure_rounds_halves_to_even(spark, tmp_path):
@@ -8,3 +9,18 @@ def test_best_structure_rounds_halves_to_even(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_discount double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = {tuple(r) for r in modelling.x2(spark, str(tmp_path)).collect()}
     assert found == {("1", 2, 25, 0.01), ("2", 1, 24, 0.07), ("4", 1, 4, 0.02)}  # 24.5 and 0.5 go down, 3.5 goes up
+
+
+def test_lines_of_structures_part_without_a_shuffle(spark):
+    atom = "ATOM      1  CA  SER A%4d      11.000"
+    texts = [
+        ("plain", "\n".join([atom % 1, "ENDMDL", atom % 2, "MODEL 1", atom % 3, "ENDMDL", atom % 4]) + "\n"),
+        ("second", "\r\n".join(["MODEL 1", atom % 1, "MODEL 2", atom % 2]) + "\r\n"),
+        ("rare", " ".join(["x", "", atom % 1]) + "\n\n"), ("empty", ""), ("none", None),
+    ]
+    rows = structures.atom_lines(spark.createDataFrame(texts, "structure_id string, text string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    found = {name: [(r["line"], r["is_atom"]) for r in sorted(rows.where(rows.structure_id == name).collect(), key=lambda r: r["line_ix"])] for name, _ in texts}
+    assert [a for _, a in found["plain"]] == [True, False, True, False, True, False, False] and [a for _, a in found["second"]] == [False, True, False, False]
+    assert found["rare"] == [("x", False), ("", False), (atom % 1, True)] and found["empty"] == [("", False)] and not found["none"]

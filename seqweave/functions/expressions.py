@@ -32,7 +32,8 @@ def safe_key(name: Column) -> Column:
     """A name fit for storage: blanks at the ends go, slashes become underscores, and runs of anything but letters and
     numbers of any script, underscores, dots and hyphens become one underscore each."""
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, f"^{BLANK}+|{BLANK}+$", ""), "[/\\\\]", "_"), "[^\\p{L}\\p{N}_.\\-]+", "_")
-    return F.when(flat == "", "empty_id").otherwise(flat)
+    fit = F.rlike(name, F.lit("^[\\p{L}\\p{N}_.\\-]+\\z"))  # most names are as they should be
+    return F.when(fit, name).when(flat == "", "empty_id").otherwise(flat)
 
 
 def sigmoid(x: Column) -> Column:

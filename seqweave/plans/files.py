@@ -292,7 +292,7 @@ def k10(spark, sf):
     scores = event_residues(spark, sf).where("position % 3 <> 0").select(F.concat_ws(".", "protein_id", part).alias("structure_id"), F.lit("A").alias("chain"), ((F.col("position") - 1) % MOST + 1).cast("int").alias("resseq"), F.lit("").alias("icode"), "score")
     path = shared_folder(spark, "annotated")
     sinks.annotated_structures(structures.annotated_lines(atoms, scores), path)
-    files = named_texts.read(spark, path).select(F.regexp_replace("name", "\\.pdb$", "").alias("structure_id"), F.explode(F.split("value", "\n")).alias("value"))
+    files = named_texts.read(spark, path).select(F.regexp_replace("name", "\\.pdb$", "").alias("structure_id"), F.explode_outer(F.split("value", "\n")).alias("value"))
     lines = files.where("value like 'ATOM%' or value like 'HETATM%'")
     lines = lines.select("structure_id", F.trim(F.substring("value", 23, 4)).cast("int").alias("number"), F.substring("value", 61, 6).alias("b"), F.length("value").alias("width"))
     protein, position = _place("structure_id", "number")

@@ -58,7 +58,8 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_span: tuple[str, st
 
     The wider of the two widths decides: each span also goes into the bins of every greater width that is in use, one
     or two a width, and a pair is joined at the greater of both widths. Where it meets in two bins, only that bin
-    reports it which holds the first position that both have.
+    reports it which holds the first position that both have. The bytes of a file say little of the rows in bins, so
+    neither side is broadcast; a join by sorting can spill.
     """
     widths = F.array(*map(F.lit, sorted({*levels_of(a, *a_span), *levels_of(b, *b_span)}))).cast("array<int>")
 
@@ -68,7 +69,7 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_span: tuple[str, st
         bins = F.sequence(F.call_function("shiftright", low, F.col("_level")), F.call_function("shiftright", high - 1, F.col("_level")))
         return own.withColumn("_bin", F.explode(bins))
 
-    pairs = dealt(a, a_span, "a").join(dealt(b, b_span, "b"), [*by, "_level", "_bin"])
+    pairs = dealt(a, a_span, "a").join(dealt(b, b_span, "b").hint("merge"), [*by, "_level", "_bin"])
     first = F.greatest(F.col(a_span[0]).cast("long"), F.col(b_span[0]).cast("long"))
     conditions = [
         F.col("_level") == F.greatest("_own_a", "_own_b"),

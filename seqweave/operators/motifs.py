@@ -83,9 +83,11 @@ def library(spark: SparkSession, motifs: list[dict], matching: str = "prosite")
     return spark.createDataFrame(rows, "motif_order int, motif_id string, kind string, pattern string, regex string, token string")
 
 
-def matches(records: DataFrame, motifs: DataFrame) -> DataFrame:
+def matches(records: DataFrame, motifs: DataFrame, with_length: bool = False) -> DataFrame:
     """protein_id, motif_order, motif_id, token, start (from 0), end: for every motif each start at which it matches, greedily; overlaps stay.
 
+    with_length adds length, that of the sequence, to every match.
+
     The library is small by definition. Literals that its patterns require are put into one automaton, which is built
     once and broadcast; a sequence is read once for all of them, and a pattern is tried only where one of its
     literals stands. Sequences stream through in Arrow batches.
@@ -99,10 +101,11 @@ def matches(records: DataFrame, motifs: DataFrame) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = unpickled(packed.value)
         for batch in batches:
-            out = [(p, *known[i][:3], start, end) for p, s in zip(batch["protein_id"], batch["sequence"], strict=True) for i, start, end in matcher.find(s or "")]
-            yield pd.DataFrame(out, columns=["protein_id", "motif_order", "motif_id", "token", "start", "end"])
+            out = [(p, *known[i][:3], start, end, len(s)) for p, s in zip(batch["protein_id"], batch["sequence"], strict=True) for i, start, end in matcher.find(s or "")]
+            yield pd.DataFrame(out, columns=["protein_id", "motif_order", "motif_id", "token", "start", "end", "length"])
 
-    return records.select("protein_id", "sequence").mapInPandas(search, "protein_id string, motif_order int, motif_id string, token string, start int, end int")
+    found = records.select("protein_id", "sequence").mapInPandas(search, "protein_id string, motif_order int, motif_id string, token string, start int, end int, length int")
+    return found if with_length else found.drop("length")
 
 
 def tokens(records: DataFrame, spans: DataFrame) -> DataFrame:

@@ -20,6 +20,18 @@ def sliding_starts(length: Column, width: int, stride: int) -> Column:
     return F.when(last <= 0, F.array(F.lit(0))).when(last % step == 0, starts).otherwise(F.array_append(starts, last))
 
 
+def met_starts(start: Column, end: Column, length: Column, width: int, stride: int) -> Column:
+    """Those of sliding_starts() whose windows share a position with the span [start, end) of the same sequence, by arithmetic alone."""
+    last, step = length - width, max(1, stride)
+    before = start - width  # a window that begins here ends where the span begins
+    first = F.greatest(F.lit(0), before - F.pmod(before, F.lit(step)) + step)
+    upto = F.least(end - 1, last)
+    regular = F.when(first <= upto, F.sequence(first, F.greatest(first, upto), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    closing = (last % step != 0) & (last > before) & (last < end)
+    none = (end <= start) | (start >= length) | (end <= 0)
+    return F.when(none, F.array().cast("array<int>")).when(last <= 0, F.array(F.lit(0))).when(closing, F.array_append(regular, last)).otherwise(regular)
+
+
 def tumbling_starts(length: Column, width: int) -> Column:
     """Windows that don't overlap; the last may be short."""
     if width <= 0:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqweave.functions.intervals import overlapping
-from seqweave.functions.shared import written
 from seqweave.operators import motifs, windows
 from seqweave.plans.registry import query
 from seqweave.plans.windowing import SPANS
@@ -120,8 +118,7 @@ def m9(spark, sf):
 
 @query("j10_window_motifs", f"""{ES}, {SPANS}, {FOUND} SELECT s.protein_id, s.start AS window_start, f.start, f."end", f.motif_id FROM sp s JOIN fo f ON f.protein_id = s.protein_id AND f.start < s.end_exclusive AND f."end" > s.start""")
 def j10_motifs(spark, sf):
-    """Every window with every match that it meets, wholly or in part."""
-    rows = event_sequences(spark, sf)
-    spans = windows.windows(rows, windows.sliding_starts(F.length("sequence"), 24, 16), 24).select("protein_id", F.col("start").alias("window_start"), "end_exclusive")
-    found = written(_found(spark, sf).select("protein_id", "motif_id", "start", "end"), "matches")
-    return overlapping(spans, found, ["protein_id"], ("window_start", "end_exclusive"), ("start", "end")).select("protein_id", "window_start", "start", "end", "motif_id")
+    """Every window with every match that it meets, wholly or in part; a match's windows follow from its place, without a join."""
+    found = motifs.matches(event_sequences(spark, sf), _library(spark), with_length=True)
+    met = windows.met_starts(F.col("start"), F.col("end"), F.col("length"), 24, 16)
+    return found.select("protein_id", F.explode(met).alias("window_start"), "start", "end", "motif_id")

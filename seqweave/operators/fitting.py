@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.shared import written
-from seqweave.functions.tiling import opened, with_halos
+from seqweave.functions.tiling import in_order, opened, tiles, with_halos
 from seqweave.operators.scoring import receptive_reach
 
 #: Weights at most of a head, and sums that one task adds up.
@@ -130,8 +130,8 @@ def fit_head(rows: DataFrame, layers: list[dict], pos_weight: float | None = Non
     convolutions {weight [out, in, odd kernel], bias, dilation}, the last 1 wide. pos_weight is negatives by positives
     unless given. Each step, every task adds up the gradients of its rows, the sums are added in a tree, and the driver,
     which holds the weights and no row, takes one step of Adam. A head that looks at neighbours sees windows as
-    tiles with halos, in which only a tile's own positions have a label. Masked labels take no part; without any
-    label nothing changes.
+    tiles with halos, in which only a tile's own positions have a label; a task adds up tile by tile, and gives one sum
+    however many tiles it has. Masked labels take no part; without any label nothing changes.
     """
     values = flat(layers)
     if len(values) > MAX_WEIGHTS:
@@ -161,14 +161,17 @@ def fit_head(rows: DataFrame, layers: list[dict], pos_weight: float | None = Non
                     total += of(batch, batch["label"].to_numpy(dtype=float))
             yield pd.DataFrame({"total": [total]})
 
-        def tiled(group: pd.DataFrame) -> pd.DataFrame:
-            group, own = opened(group, tile)
-            return pd.DataFrame({"total": [of(group, np.where(own, group["label"].to_numpy(dtype=float), np.nan))]})
+        def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for group in tiles(batches):
+                group, own = opened(group, tile)
+                total += of(group, np.where(own, group["label"].to_numpy(dtype=float), np.nan))
+            yield pd.DataFrame({"total": [total]})
 
         if not reach:
             sums = data.select("embedding", "label").mapInPandas(whole, "total array<double>")
         else:
-            sums = data.groupBy(*by, "_tile").applyInPandas(tiled, "total array<double>").mapInPandas(_partial, "total array<double>")
+            sums = in_order(data, by).select("position", "_tile", "_first", "embedding", "label").mapInPandas(tiled, "total array<double>")
         return _added(written(sums.withColumn("part", F.spark_partition_id().cast("long")).select("part", "total"), "gradients"))
 
     for _ in range(steps):
@@ -178,14 +181,3 @@ def fit_head(rows: DataFrame, layers: list[dict], pos_weight: float | None = Non
         losses.append(float(total[-2] / total[-1]))
         values = adam(values, total[:-2] / total[-1], state, rate, decay)
     return shaped(values, layers), losses
-
-
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sum for a task's tiles."""
-    total = None
-    for batch in batches:
-        if len(batch):
-            here = np.sum(np.stack(batch["total"].to_numpy()), axis=0)
-            total = here if total is None else total + here
-    if total is not None:
-        yield pd.DataFrame({"total": [total]})

@@ -3,9 +3,11 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from seqweave.functions import tiling
 from seqweave.operators import fitting, losses, scoring, windows
 
 ROWS = "protein_id string, position int, embedding array<float>, label int"
@@ -63,6 +65,33 @@ def test_fit_is_that_of_one_process(spark, monkeypatch, shapes, tile):
     assert np.allclose(fitting.flat(found), values, atol=1e-9) and np.allclose(means, plain) and means[-1] < means[0]
 
 
+def test_a_task_gives_one_sum_however_many_tiles_it_has(spark, monkeypatch):
+    seen, write = [], fitting.written
+
+    def spied(df, name, *more):
+        if name == "gradients":
+            seen.append((df._jdf.queryExecution().executedPlan().toString(), df.groupBy("part").count().collect()))
+        return write(df, name, *more)
+
+    monkeypatch.setattr(fitting, "written", spied)
+    draw = np.random.default_rng(8)
+    fitting.fit_head(spark.createDataFrame(labelled(draw, {"a": 60, "b": 25}), ROWS), drawn(draw, WIDE), steps=1, tile=2)
+    (plan, counts), = seen
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInPandas") == 1
+    assert counts and all(r["count"] == 1 for r in counts)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
+def test_tiles_are_whole_whatever_batches_they_come_in(most):
+    sizes = [3, 1, 1, 6, 2]
+    rows = pd.DataFrame({"tile": np.repeat(range(5), sizes), "at": np.concatenate([range(n) for n in sizes])})
+    rows["_first"] = rows["at"] == 0
+    batches = [rows.iloc[:0], *(rows.iloc[k : k + most] for k in range(0, len(rows), most)), rows.iloc[:0]]
+    found = [(group["tile"].tolist(), group["at"].tolist()) for group in tiling.tiles(iter(batches))]
+    assert found == [([i] * n, list(range(n))) for i, n in enumerate(sizes)]
+    assert list(tiling.tiles(iter([rows.iloc[:0]]))) == []
+
+
 def test_fitted_head_ranks_positives_first_and_empty_fits_change_nothing(spark):
     draw = np.random.default_rng(5)
     rows = spark.createDataFrame(labelled(draw, {"a": 300}), ROWS)

@@ -60,8 +60,9 @@ def test_met_starts_are_the_sliding_starts_that_a_span_meets(spark):
             assert r["found"] == r["want"], (w, t, r)
 
 
-def test_overlapping_spans_are_joined_by_sorting(spark):
-    spans = spark.createDataFrame([("a", 0, 5)], "g string, s int, e int")
+def test_overlapping_spans_are_joined_by_sorting(spark, tmp_path):
+    spark.createDataFrame([("a", 0, 5)], "g string, s int, e int").write.parquet(str(tmp_path / "spans"))
+    spans = spark.read.parquet(str(tmp_path / "spans"))
     out = overlapping(spans, spans.toDF("g", "t", "f"), ["g"], ("s", "e"), ("t", "f"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
